@@ -28,16 +28,20 @@ FIELD = "<*>"
 
 def masked(line: Column) -> Column:
     """The line with single spaces, and ``<*>`` for each token that holds a digit."""
-    spaced = F.btrim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " "), F.lit(" "))
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(spaced, r"[^ ]*[0-9][^ ]*", FIELD)).otherwise(spaced)
+    spaced = F.when(line.rlike(r"[\t\x0B\f\r]|  |^ | $"), F.btrim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " "), F.lit(" "))).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(spaced, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(spaced)
+
+
+def _place(m: Column) -> Column:
+    """Of a masked line: its tokens, its leaf, and 128 bits that stand for it."""
+    n = (F.octet_length(m) - F.octet_length(F.replace(m, F.lit(" "), F.lit(""))) + 1).alias("n")
+    return F.struct(n, F.xxhash64(n, F.substring_index(m, " ", DEPTH)).alias("leaf"), F.xxhash64(m).alias("h1"), F.xxhash64(F.lit(1), m).alias("h2"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Each line of at least SHORTEST tokens: document, number, tokens, leaf, and an id of the masked line."""
-    each = docs.select("doc", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("masked", masked(F.col("line")))
-    counted = each.withColumn("n", F.length("masked") - F.length(F.translate("masked", " ", "")) + 1).filter(F.col("n") >= SHORTEST)
-    head = F.substring_index("masked", " ", DEPTH)
-    return counted.select("doc", "th", "line_no", "n", "masked", F.xxhash64("n", head).alias("leaf"), F.unhex(F.md5("masked")).alias("line"))
+    """Each line of at least SHORTEST tokens: document, number, leaf and hashes. The text itself is not exploded."""
+    each = F.transform(F.transform(F.split("text", "\n"), masked), _place)
+    return docs.select("doc", "th", F.posexplode(each).alias("line_no", "l")).filter(F.col("l.n") >= SHORTEST).select("doc", "th", "line_no", "l.leaf", "l.h1", "l.h2")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -45,32 +49,29 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
     ``docs`` has doc (an id), th (a hash of the text) and text.
     """
-    lines = materialize(_lines(docs).drop("masked"), "lines")
-    place = F.struct("doc", "line_no", "th")
-    by_line = materialize(lines.groupBy("leaf", "line").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("rows")), "by_line")
-    # leaves with different lines, from several documents
-    mixed = by_line.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("c"), F.max("most").alias("d")).filter("n > 1 and c <> d").select("leaf")
-    open_lines = materialize(by_line.join(mixed, "leaf", "left_semi"), "open_lines")
-    # one place of each of their lines, to see its words
-    first = lines.join(open_lines.select("leaf", "line", "least", "rows"), ["leaf", "line"]).filter(F.col("doc") == F.col("least")).groupBy("leaf", "line", "rows").agg(F.min(place).alias("p"))
-    places = materialize(first.select("leaf", "line", "rows", F.col("p.doc").alias("doc"), F.col("p.line_no").alias("line_no"), F.col("p.th").alias("th")), "places")
-    seen = docs.join(places.select("doc", "th").distinct(), ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"])
-    words = _lines(seen).select("doc", "th", "line_no", "masked").join(places, ["doc", "th", "line_no"]).select("leaf", "line", "rows", "masked")
-    words = materialize(words, "words")
-    tokens = words.select("leaf", "line", "rows", F.posexplode(F.split("masked", " ")).alias("at", "token"))
-    votes = tokens.groupBy("leaf", "at", "token").agg(F.sum("rows").alias("rows"))
-    # the token of most rows; of ties, the least: the order of (-rows, token)
-    usual = votes.groupBy("leaf", "at").agg(F.min(F.struct((-F.col("rows")).alias("r"), "token")).alias("t")).select("leaf", "at", F.col("t.token").alias("usual"))
-    agree = tokens.join(usual, ["leaf", "at"]).groupBy("leaf", "line").agg(F.sum((F.col("token") == F.col("usual")).cast("long")).alias("same"), F.count(F.lit(1)).alias("n"))
-    general = agree.filter(F.col("same") >= SIMILAR * F.col("n")).select("leaf", "line", F.lit(True).alias("general"))
-    known = by_line.join(materialize(general, "general"), ["leaf", "line"], "left")
-    template = F.when(F.col("general"), F.lit(b"")).otherwise(F.col("line")).alias("template")
-    known = materialize(known.select("leaf", "line", template, "least", "most"), "known")
-    recurring = known.groupBy("leaf", "template").agg(F.min("least").alias("first"), F.max("most").alias("last")).filter(F.col("first") != F.col("last"))
-    of_line = materialize(known.join(recurring, ["leaf", "template"]).select("leaf", "line", "template", "first"), "of_line")
-    repeats = materialize(lines.select("doc", "th", "line_no", "leaf", "line").join(of_line, ["leaf", "line"]), "repeats")
-    keep = repeats.filter(F.col("doc") == F.col("first")).groupBy("leaf", "template").agg(F.min(place).alias("keep"))
-    gone = repeats.join(keep, ["leaf", "template"]).filter((F.col("doc") != F.col("first")) | (F.struct(F.col("doc"), F.col("line_no"), F.col("th")) != F.col("keep")))
+    lines = materialize(_lines(docs), "lines")
+    # each different line: its first place, the last document that has it, and how often it stands
+    by_line = lines.groupBy("leaf", "h1", "h2").agg(F.min(F.struct("doc", "line_no", "th")).alias("first"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("rows"))
+    by_line = materialize(by_line, "by_line")
+    # leaves with different lines, from several documents: their words decide
+    mixed = by_line.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("first.doc").alias("a"), F.max("most").alias("b")).filter("n > 1 and a <> b").select("leaf")
+    wanted = by_line.join(mixed, "leaf", "left_semi").groupBy(F.col("first.doc").alias("d"), F.col("first.th").alias("t")).agg(F.collect_list(F.struct("leaf", "h1", "h2", "first", "most", "rows")).alias("open"))
+    seen = docs.hint("merge").join(wanted.hint("merge"), (F.col("doc") == F.col("d")) & (F.col("th") == F.col("t"))).dropDuplicates(["doc", "th"])
+    words = seen.select(F.split("text", "\n").alias("all"), F.explode("open").alias("o")).select("o.*", masked(F.get("all", F.col("o.first.line_no"))).alias("masked"))
+    words = materialize(words.select("leaf", "h1", "h2", "first", "most", "rows", F.split("masked", " ").alias("tokens")), "words")
+    votes = words.select("leaf", "rows", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.sum("rows").alias("rows"))
+    # at each place of a leaf the token of most rows, of ties the least: the order of (-rows, token)
+    usual = votes.groupBy("leaf", "at").agg(F.min(F.struct((-F.col("rows")).alias("r"), "token")).alias("u"))
+    usual = usual.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "u.token"))), lambda x: x["token"]).alias("usual"))
+    same = F.size(F.filter(F.zip_with("tokens", "usual", lambda a, b: a == b), lambda x: x))
+    general = words.join(usual, "leaf").filter(same >= SIMILAR * F.size("tokens")).select("leaf", "h1", "h2", "first", "most")
+    general = materialize(general, "general")
+    # templates that recur, line by line, with the one place to keep
+    leaf = general.groupBy("leaf").agg(F.min("first").alias("keep"), F.max("most").alias("most")).filter("keep.doc <> most").select("leaf", "keep")
+    varied = general.join(leaf, "leaf").select("h1", "h2", "keep")
+    exact = by_line.filter("first.doc <> most").join(general.select("h1", "h2"), ["h1", "h2"], "left_anti").select("h1", "h2", F.col("first").alias("keep"))
+    recurring = materialize(varied.unionByName(exact), "recurring")
+    gone = lines.select("doc", "th", "line_no", "h1", "h2").join(recurring, ["h1", "h2"]).filter(F.struct("doc", "line_no", "th") != F.col("keep"))
     return gone.groupBy("doc", "th").agg(F.collect_set("line_no").alias("gone"))
 
 
@@ -87,7 +88,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keyed = docs.withColumn("__doc", F.col(id_col).cast("long")).withColumn("__th", F.xxhash64(text))
     gone = dropped_lines(keyed.filter(F.col("__doc").isNotNull() & text.isNotNull()).select(F.col("__doc").alias("doc"), F.col("__th").alias("th"), text.alias("text")))
     gone = gone.select(F.col("doc").alias("__d"), F.col("th").alias("__t"), F.col("gone").alias("__gone"))
-    out = keyed.join(gone, (F.col("__doc") == F.col("__d")) & (F.col("__th") == F.col("__t")), "left")
+    out = keyed.hint("merge").join(gone.hint("merge"), (F.col("__doc") == F.col("__d")) & (F.col("__th") == F.col("__t")), "left")
     lines = F.split(text, "\n")
     kept = F.filter(lines, lambda _, i: ~F.array_contains("__gone", i))
     out = out.withColumn("n_lines", F.when(text.isNull(), 0).otherwise(F.size(lines))).withColumn("n_dropped", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")))
