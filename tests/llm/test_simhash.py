@@ -1,0 +1,105 @@
+import random
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from edictum.llm import simhash
+
+SCHEMA = "doc_id long, text string"
+
+
+def slow_fingerprint(text, n=3):
+    words = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").translate({i: " " for i in (9, 10, 11, 12, 13)}).split(" ") if w]
+    if not words:
+        return 0
+    hs = [xxhash.xxh64_intdigest(" ".join(words[i : i + n]).encode(), 42) for i in range(max(1, len(words) - n + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def brute(rows):
+    fps = [(d, slow_fingerprint(t)) for d, t in rows]
+    label = {d: d for d, _ in fps if d is not None}
+    changed = True
+    while changed:
+        changed = False
+        for a, x in fps:
+            for b, y in fps:
+                if a is not None and b is not None and (x ^ y).bit_count() <= 2 and label[a] != label[b]:
+                    label[a] = label[b] = min(label[a], label[b])
+                    changed = True
+    return sorted(((d, f, label.get(d)) for d, f in fps), key=str)
+
+
+def got(df):
+    return sorted(((r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in df.collect()), key=str)
+
+
+@given(st.text(max_size=80))
+@settings(max_examples=200, deadline=None)
+def test_fingerprint(text):
+    assert simhash.fingerprint(text.encode()) == slow_fingerprint(text)
+
+
+@given(st.integers(0, 2**64 - 1), st.sets(st.integers(0, 63), max_size=2))
+@settings(max_examples=500, deadline=None)
+def test_close_fingerprints_share_an_anchor(x, bits):
+    y = x ^ sum(1 << b for b in bits)
+    a, i = simhash.anchors_of(np.array([x, y], dtype=np.uint64))
+    assert set(a[i == 0].tolist()) & set(a[i == 1].tolist())
+    assert len(a) <= 66 and all((int(k) ^ (x, y)[j]).bit_count() <= 3 for k, j in zip(a, i))
+
+
+def test_anchor_groups_are_bounded():
+    rng = np.random.default_rng(1)
+    centre = rng.integers(0, 2**63, dtype=np.uint64)
+    near = np.unique(np.concatenate([centre ^ (np.uint64(1) << np.arange(64, dtype=np.uint64)), *(centre ^ (np.uint64(1) << np.uint64(i)) ^ (np.uint64(1) << np.arange(64, dtype=np.uint64)) for i in range(64))]))
+    a, _ = simhash.anchors_of(near)
+    assert np.unique(a, return_counts=True)[1].max() <= 2100
+
+
+def words(seed, n):
+    r = random.Random(seed)
+    return [r.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + str(r.randrange(60)) for _ in range(n)]
+
+
+def test_classes_match_brute_force(spark):
+    base = words(1, 400)
+    rows = [(i, " ".join(words(i, 60))) for i in range(40)]
+    rows += [(100 + i, " ".join([*base[:i], "x", *base[i + 1 :]])) for i in range(0, 60, 2)]  # near copies
+    rows += [(200, " ".join(base)), (201, " ".join(base).upper()), (7, " ".join(words(7, 60)))]  # exact copies, a repeated row
+    rows += [(300, None), (301, ""), (302, " \t\n"), (None, " ".join(base)), (303, "one"), (304, "one two"), (305, "ONE  two")]
+    out = got(simhash.near_duplicate_classes(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as fp", "2 as component_id")))
+    assert out == brute(rows)
+    assert len({c for d, _, c in out if d is not None and d >= 100 and d < 202}) < 30
+
+
+def test_chains_of_links_are_one_class(spark):
+    chain = [0]
+    for i in range(40):
+        chain.append(chain[-1] ^ (0b11 << (i % 62)))
+    distinct = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f, i) for i, f in enumerate(dict.fromkeys(chain))], "fp long, rep long")
+    from edictum.llm.components import connected_components
+
+    found = connected_components(simhash.near_duplicate_links(distinct), "a", "b")
+    assert {r["component"] for r in found.collect()} == {0} and found.count() == distinct.count()
+
+
+def test_one_of_each_is_kept(spark):
+    t, u = " ".join(words(1, 80)), " ".join(words(2, 80))
+    rows = [(3, t, "a"), (2, t, "b"), (2, t, "b"), (9, u, "c"), (None, t, "d"), (5, "", "e"), (4, None, "f")]
+    out = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert out.columns == ["doc_id", "text", "source"]
+    assert sorted(((r["doc_id"], r["source"]) for r in out.collect()), key=str) == [(2, "b"), (4, "f"), (9, "c"), (None, "d")]
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "only one")]])
+def test_small_tables(spark, rows):
+    assert got(simhash.near_duplicate_classes(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+
+
+def test_very_long_text(spark):
+    t = "lorem ipsum dolor " * 60_000
+    assert simhash.fingerprint(t.encode()) == slow_fingerprint(t)
