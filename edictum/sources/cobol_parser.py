@@ -274,19 +274,16 @@ class Parser:
 
     def _rest(self, s: Statement) -> list[Token]:
         """Tokens up to the statement's end, kept as text; handlers become parts."""
-        start = self.at
         toks: list[Token] = []
         while (t := self.peek()).kind not in ("PERIOD", "END"):
             if t.kind == "WORD":
                 if t.value == "END-" + s.verb:
                     self.at += 1
                     break
-                if h := self._handler():
-                    line = t.line
-                    s.parts.append(Part("handler", None, line, self.statements()))
-                    del h
+                if self._handler():
+                    s.parts.append(Part("handler", None, t.line, self.statements()))
                     continue
-                if (t.value in VERBS and self.at > start) or t.value in ("ELSE", "WHEN") or t.value.startswith("END-"):
+                if t.value in VERBS or t.value in ("ELSE", "WHEN") or t.value.startswith("END-"):
                     break
             toks.append(self.next())
         s.text = " ".join([s.verb, *(repr(x.value) if x.kind == "STR" else x.value for x in toks)])

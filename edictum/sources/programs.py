@@ -11,9 +11,11 @@ import json
 from collections.abc import Iterable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from edictum.plans.ir import NAME, base_name, leaves
 from edictum.sources.cobol_rules import extract
@@ -101,16 +103,17 @@ def program_row(path: str, file: str, content: str, library: dict[str, tuple[str
 def extract_programs(programs: DataFrame, glossary: dict[str, str] | None = None) -> DataFrame:
     """A row a program: rules and slices as JSON, dictionary, calls, files, and errors."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.strip().partition(" ")[0] for c in "path,file,program,kind,sha256,error,problems,copybooks,using,rules,slices,dictionary,defaults,calls,files,uses".split(",")]
+    kinds = to_arrow_schema(T.StructType.fromDDL(EXTRACTED))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for r in batch.itertuples(index=False):
-                library = {x["name"]: (x["file"], x["content"]) for x in (r.library if r.library is not None else ())}
-                rows.append(program_row(r.path, r.file, r.content, library, glossary))
-            yield pd.DataFrame(rows, columns=names)
+            for r in batch.to_pylist():
+                library = {x["name"]: (x["file"], x["content"]) for x in r["library"] or ()}
+                rows.append(program_row(r["path"], r["file"], r["content"], library, glossary))
+            yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return programs.select("path", "file", "content", "library").mapInPandas(run, EXTRACTED)
+    return programs.select("path", "file", "content", "library").mapInArrow(run, EXTRACTED)
 
 
 def rules_of(extracted: DataFrame) -> DataFrame:
@@ -131,17 +134,18 @@ STEPS = "path string, job string, file string, step string, line int, pgm string
 def job_steps(members: DataFrame) -> DataFrame:
     """A row a step of each job (a job without steps has one row, with null step)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.strip().partition(" ")[0] for c in "path,job,file,step,line,pgm,proc,utility,members,dds".split(",")]
+    kinds = to_arrow_schema(T.StructType.fromDDL(STEPS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for r in batch.itertuples(index=False):
-                for j in parse_jcl(r.content or "", r.file):
-                    for s in j.steps or [None]:
-                        rows.append((r.path, j.name, j.file, s and s.name, s and s.line, s and s.pgm, s and s.proc, s and s.utility, s.members() if s else [], [d.__dict__ for d in s.dds.values()] if s else []))
-            yield pd.DataFrame(rows, columns=names)
+            for r in batch.to_pylist():
+                for j in parse_jcl(r["content"] or "", r["file"]):
+                    head = {"path": r["path"], "job": j.name, "file": j.file, "members": [], "dds": []}
+                    rows += [head | {"step": s.name, "line": s.line, "pgm": s.pgm, "proc": s.proc, "utility": s.utility, "members": s.members(), "dds": [d.__dict__ for d in s.dds.values()]} for s in j.steps] or [head]
+            yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return members.select("path", "file", "content").mapInPandas(run, STEPS)
+    return members.select("path", "file", "content").mapInArrow(run, STEPS)
 
 
 def read_jobs(spark: SparkSession, folder: str) -> DataFrame:
