@@ -1,0 +1,111 @@
+import random
+
+import pytest
+
+from edictum.operators import algebra, verify
+from edictum.plans import canon
+from edictum.plans.evaluate import holds
+from edictum.plans.ir import Action, Rule, Trace, leaf
+from edictum.plans.solver import equivalent, witness
+from edictum.queries import _some_rules
+
+a, b = leaf("A", ">", 5), leaf("B", "==", "x")
+
+
+@pytest.mark.parametrize("x,y", [
+    (leaf("A", "in", [1, 2]), {"any": [leaf("A", "==", 2), leaf("A", "==", 1)]}), (leaf("A", "between", [1, 9]), {"all": [leaf("A", "<=", 9), leaf("A", ">=", 1)]}),
+    ({"not": {"all": [a, b]}}, {"any": [{"not": b}, {"not": a}]}), (leaf("A", "==", 5000), leaf("A", "==", 5000.00)), (leaf("B", "==", "Y "), leaf("B", "==", "Y")),
+    ({"not": {"not": a}}, a), ({"all": [a, {"all": [b, a]}]}, {"all": [b, a]}), (leaf("A", "not_in", [1]), leaf("A", "!=", 1)),
+])
+def test_equal_keys(x, y):
+    assert canon.condition_key(x) == canon.condition_key(y)
+    assert equivalent(x, y)[0] is True
+
+
+def test_different_keys_and_typed_literals():
+    assert canon.condition_key(a) != canon.condition_key(leaf("A", ">=", 5))
+    assert canon.literal_key("01") == canon.literal_key(1) and canon.literal_key("01", typed=True) != canon.literal_key(1)
+    assert canon.rewrites_a_target((Action("set", "f", "F", 1), Action("set", "f", "F", 2)))
+
+
+def test_witnesses():
+    same, example = equivalent(leaf("AGE", ">=", 18), leaf("AGE", ">", 18))
+    assert same is False and example == {"AGE": 18}
+    assert witness([leaf("N", ">", 700), leaf("N", "<", 701)])[0] is True
+    assert witness([leaf("N", ">", 700), leaf("N", "<", 700)])[0] is False
+    assert witness([leaf("N", "<", ref="M")])[0] is None
+    assert witness([{"all": [leaf("T", "!=", "a"), leaf("T", "in", ["a"])]}])[0] is False
+    assert witness([leaf("N", "is_zero"), leaf("N", ">", 0)])[0] is False
+
+
+def test_solver_agrees_with_sampling():
+    r = random.Random(3)
+
+    def some(depth):
+        if depth == 0 or r.random() < 0.3:
+            return leaf("N", r.choice(["==", "!=", "<", "<=", ">", ">="]), r.randrange(4)) if r.random() < 0.7 else leaf("T", r.choice(["==", "!="]), r.choice("ab"))
+        kind = r.choice(["all", "any", "not"])
+        return {"not": some(depth - 1)} if kind == "not" else {kind: [some(depth - 1) for _ in range(r.randrange(1, 4))]}
+
+    states = [{"N": n / 2, "T": t} for n in range(-2, 9) for t in "abc"]
+    for _ in range(150):
+        x, y = some(3), some(3)
+        found, example = witness([x, y], ["N"])
+        real = [s for s in states if holds(x, s) and holds(y, s)]
+        assert found == bool(real), (x, y)
+        if found:
+            full = {"N": 0.25, "T": "zz"} | example
+            assert holds(x, full) or "N" not in example
+        same, _ = equivalent(x, y, ["N"])
+        assert same == all(holds(x, s) == holds(y, s) for s in states)
+
+
+def test_duplicates_conflicts_and_matching(spark):
+    rules = _some_rules()
+    assert {(r["first"], r["rule_id"]) for r in algebra.duplicates(algebra.rule_keys(spark, rules)).collect()} == {("PRG-R001", "PRG-R002"), ("PRG-R003", "PRG-R004")}
+    t = lambda p: Trace("P", "f", p, 1, 2)
+    pair = [Rule("A1", leaf("SCORE", ">", 700), (Action("set", "lim", "LIM", 1),), trace=t("X")), Rule("B1", leaf("SCORE", "<", 705), (Action("set", "lim", "LIM", 2),), trace=t("Y")), Rule("C1", leaf("SCORE", "<", 100), (Action("set", "lim", "LIM", 3),), trace=t("Y"))]
+    found = algebra.conflicts(spark, pair)
+    assert [(c["kind"], c["rules"], c["method"]) for c in found] == [("conflict", ["A1", "B1"], "solved")] and 700 < found[0]["example"]["score"] < 705
+    ref = [pair[0].with_(conditions=leaf("SCORE", ">", ref="BASE")), pair[1]]
+    df = spark.createDataFrame([(10, 5)], "SCORE int, BASE int")
+    assert [(c["method"], c["example"]) for c in algebra.conflicts(spark, ref, df, {"SCORE": "SCORE", "BASE": "BASE"})] == [("rows", {"score": 10, "base": 5})]
+    keys = algebra.rule_keys(spark, [rules[0], rules[0].with_(rule_id="PRG-R009")])
+    s = algebra.match_summary(algebra.match_rules(keys, algebra.rule_keys(spark, [rules[0]]))).first()
+    assert (s["tp"], s["n_pred"], s["precision"], s["recall"]) == (1, 2, 0.5, 1.0)
+
+
+def test_drift_notes_and_witness():
+    old = Rule("D1", leaf("F", "==", "+"), (Action("set", "g", "G", 1),))
+    new = old.with_(conditions=leaf("F", "==", "#"))
+    assert algebra.leaf_changes(old, new) == ["F ==: + -> #"] and algebra.changed_witness(old, new)["F"] in ("+", "#")
+    assert algebra.leaf_changes(old, old.with_(conditions=leaf("F", "!=", "+"))) == ["F: operator == -> !="]
+    assert algebra.line_overlap(_some_rules()[0], _some_rules()[1]) == 0.0
+
+
+def test_faults_are_seen(spark):
+    rng = random.Random(1)
+    rule = Rule("M1", {"all": [leaf("N", ">", 100), leaf("T", "==", "A")]}, (Action("set", "out", "OUT", "Y"),), (Action("set", "out", "OUT", "N"),))
+    grid = verify.build_grid(spark, [rule.conditions])
+    rows = [{k: v for k, v in r.asDict().items() if k != "row_id"} for r in grid.collect()]
+    kinds = set()
+    for _ in range(30):
+        wrong, kind = verify.mutate(rule, rng)
+        kinds.add(kind)
+        assert not verify.behaves_alike(rule, wrong, rows)
+    assert kinds == {"threshold", "operator", "action"}
+    bindings = {c: c for c in grid.columns}
+    assert verify.structural(rule.conditions, {"all": rule.conditions["all"][::-1]}) == 1.0
+    assert 0 < verify.structural(leaf("N", ">", 101), leaf("N", ">", 100), grid) < 0.5
+    assert verify.agreement(grid, rule.conditions, rule.conditions, bindings).first()["agreement"] == 1.0
+
+
+def test_confidence(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1.0, None, None, 0.5)], "structural double, differential double, consistency double, naming double")
+    assert df.select(verify.combined({k: F.col(k) for k in df.columns}).alias("s")).first()["s"] == 0.9
+    assert verify.consistency([({"A": "age"}, "customers under 18"), ({"a": "Age"}, "customers under 18")]) == 1.0
+    assert verify.consistency([({}, "x")]) == 0.5 and verify.consistency([]) == 0.0
+    shares = dict(verify.influence(_some_rules()[:1], "f", n=200))
+    assert shares == {"age": 1.0}

@@ -1,0 +1,205 @@
+"""Own programs with all constructs, from text to rules."""
+
+import json
+
+import pytest
+
+from edictum.plans.canon import condition_key
+from edictum.plans.evaluate import decide
+from edictum.plans.ir import leaf
+from edictum.sources.cobol_rules import extract, read_table
+from edictum.sources.cobol_text import SourceError, apply_replacements, code_lines, detect_format, parse_copy, read_source, split_comment, tokenize
+
+HEAD = "IDENTIFICATION DIVISION.\nPROGRAM-ID. {}.\nDATA DIVISION.\nWORKING-STORAGE SECTION.\n"
+
+
+def program(body, data, name="TST"):
+    return extract(read_source(f"{name.lower()}.cbl", HEAD.format(name) + data + "\nPROCEDURE DIVISION.\n" + body))
+
+
+DATA = """01 REC.
+   05 AGE        PIC 9(3).
+      88 MINOR   VALUE 0 THRU 17.
+   05 KIND       PIC X.
+      88 SAVER   VALUE 'S'.
+      88 RICH    VALUE 'P' 'G'.
+   05 BAL        PIC S9(7)V99.
+   05 CODE-X     PIC X(2).
+01 OUT-RATE      PIC 9V999 VALUE 0.
+01 BAND          PIC X VALUE SPACE.
+01 FLAG          PIC X VALUE 'N'.
+   88 MARKED     VALUE 'Y'."""
+
+
+def rule(e, i):
+    return e.rules[i - 1]
+
+
+def test_if_else_is_one_rule_and_nested_ifs_are_paths():
+    e = program("P1.\n IF AGE < 18 MOVE 'Y' TO FLAG ELSE MOVE 'N' TO FLAG END-IF.\nP2.\n IF SAVER\n IF BAL >= 100 MOVE 0.045 TO OUT-RATE ELSE MOVE 0.03 TO OUT-RATE END-IF\n ELSE MOVE 'Z' TO BAND END-IF.", DATA)
+    assert len(e.rules) == 4 and not e.program.problems
+    assert rule(e, 1).conditions == leaf("AGE", "<", 18) and rule(e, 1).else_actions[0].value == "N" and rule(e, 1).trace.paragraph == "P1"
+    s = leaf("KIND", "==", "S")
+    assert condition_key(rule(e, 3).conditions) == condition_key({"all": [s, {"not": leaf("BAL", ">=", 100)}]})
+    assert condition_key(rule(e, 4).conditions) == condition_key({"not": s})
+
+
+@pytest.mark.parametrize("text,want", [
+    ("AGE > 17 AND < 65", {"all": [leaf("AGE", ">", 17), leaf("AGE", "<", 65)]}), ("KIND = 'A' OR 'B'", {"any": [leaf("KIND", "==", "A"), leaf("KIND", "==", "B")]}),
+    ("BAL NOT < 500", leaf("BAL", ">=", 500)), ("BAL IS GREATER THAN OR EQUAL TO 100", leaf("BAL", ">=", 100)), ("BAL IS NOT EQUAL TO ZERO", leaf("BAL", "!=", 0)),
+    ("5 < AGE", leaf("AGE", ">", 5)), ("BAL IS NEGATIVE", leaf("BAL", "is_negative")), ("CODE-X IS NOT NUMERIC", {"not": leaf("CODE-X", "is_numeric")}), ("BAL IS ZERO", leaf("BAL", "is_zero")),
+    ("NOT (AGE = 1 OR KIND = 'S')", {"not": {"any": [leaf("AGE", "==", 1), leaf("KIND", "==", "S")]}}), ("MINOR AND NOT RICH", {"all": [leaf("AGE", "between", [0, 17]), {"not": leaf("KIND", "in", ["P", "G"])}]}),
+    ("(BAL + 5) * 2 > 10", leaf("(BAL + 5) * 2", ">", 10)), ("AGE > 5 OR AGE < 2 AND SAVER", {"any": [leaf("AGE", ">", 5), {"all": [leaf("AGE", "<", 2), leaf("KIND", "==", "S")]}]}),
+    ("AGE <> 5 AND BAL = AGE", {"all": [leaf("AGE", "!=", 5), leaf("BAL", "==", ref="AGE")]}), ("KIND = SPACES", leaf("KIND", "==", "")), ("AGE LESS 3", leaf("AGE", "<", 3)), ("AGE IS > OR = 3", leaf("AGE", ">=", 3)),
+])
+def test_conditions(text, want):
+    e = program(f"P1.\n IF {text} MOVE 'Y' TO FLAG END-IF.", DATA)
+    assert not e.program.problems and condition_key(rule(e, 1).conditions) == condition_key(want), rule(e, 1).conditions
+    assert not rule(e, 1).unsupported
+
+
+def test_evaluate():
+    e = program("""P1.
+    EVALUATE AGE ALSO KIND
+        WHEN 0 THRU 10 ALSO ANY MOVE 'A' TO BAND
+        WHEN 11 ALSO 'S'
+        WHEN 12 ALSO NOT 'P' MOVE 'B' TO BAND
+        WHEN OTHER ADD 1 TO OUT-RATE
+    END-EVALUATE
+    EVALUATE TRUE WHEN MINOR MOVE 'C' TO BAND WHEN BAL > 5 AND SAVER MOVE 'D' TO BAND END-EVALUATE
+    EVALUATE KIND WHEN 'S' MOVE 'E' TO BAND WHEN 'X' WHEN OTHER MOVE 'F' TO BAND END-EVALUATE.""", DATA)
+    assert len(e.rules) == 7 and not e.program.problems
+    first, second = leaf("AGE", "between", [0, 10]), {"any": [{"all": [leaf("AGE", "==", 11), leaf("KIND", "==", "S")]}, {"all": [leaf("AGE", "==", 12), {"not": leaf("KIND", "==", "P")}]}]}
+    assert condition_key(rule(e, 2).conditions) == condition_key({"all": [{"not": first}, second]})
+    assert condition_key(rule(e, 3).conditions) == condition_key({"all": [{"not": first}, {"not": second}]}) and rule(e, 3).actions[0].expr == "OUT-RATE + 1"
+    assert rule(e, 7).actions[0].value == "F" and len(rule(e, 7).conditions["all"]) == 2
+
+
+def test_actions():
+    e = program("""P1.
+    IF AGE > 1
+        MOVE BAL TO OUT-RATE  COMPUTE OUT-RATE ROUNDED = BAL * 2 + 1
+        SUBTRACT 1 FROM BAL  SUBTRACT 1 FROM BAL GIVING OUT-RATE  MULTIPLY 2 BY BAL  DIVIDE BAL BY 4 GIVING OUT-RATE  DIVIDE 2 INTO BAL  ADD 1 2 TO BAL  ADD 1 TO AGE GIVING BAL
+        SET MARKED TO TRUE  SET AGE UP BY 1  PERFORM P2 THRU P3  CALL 'AUDIT' USING REC  CALL DYN-NAME  GO TO P3
+    END-IF.
+P2. CONTINUE.
+P3.
+    IF AGE > 2 EXEC SQL SELECT 1 FROM T END-EXEC STOP RUN END-IF
+    IF AGE > 3 GO TO P1 P2 DEPENDING ON AGE END-IF
+    IF AGE > 4 DISPLAY 'nothing' END-IF
+    IF AGE > 5 PERFORM UNTIL AGE > 9 ADD 1 TO AGE END-PERFORM END-IF.""", DATA)
+    assert not e.program.problems
+    acts = [(a.type, a.source_name, a.expr if a.expr else a.value) for a in rule(e, 1).actions]
+    assert acts == [("set", "OUT-RATE", "BAL"), ("compute", "OUT-RATE", "BAL * 2 + 1"), ("compute", "BAL", "BAL - 1"), ("compute", "OUT-RATE", "BAL - 1"), ("compute", "BAL", "BAL * 2"), ("compute", "OUT-RATE", "BAL / 4"), ("compute", "BAL", "BAL / 2"), ("compute", "BAL", "BAL + 1 + 2"), ("compute", "BAL", "1 + AGE"), ("set", "FLAG", "Y"), ("compute", "AGE", "AGE + 1"), ("perform", "P2 THRU P3", None), ("call", "AUDIT", None), ("call", "DYN-NAME", None), ("goto", "P3", None)]
+    assert rule(e, 1).external_dependency and len(e.rules) == 4
+    assert rule(e, 2).unsupported == ("EXEC SQL",) and rule(e, 2).actions[-1].type == "stop"
+    assert rule(e, 3).unsupported == ("GO TO DEPENDING ON AGE",) and "inline PERFORM loop" in rule(e, 4).unsupported
+
+
+def test_periods_close_all_scopes_and_errors_are_recovered():
+    e = program("P1.\n IF AGE > 1 IF BAL > 2 MOVE 'A' TO BAND. MOVE 'B' TO FLAG.\nP2.\n MOVE 5\n IF AGE > 3 MOVE 'C' TO BAND END-IF.", DATA)
+    assert [r.actions[0].value for r in e.rules] == ["A", "C"] and len(e.program.problems) == 1
+
+
+FLOW = """MAIN-PARA.
+    PERFORM CHECK-IN THRU CHECK-EXIT
+    IF OK-X = 'Y' PERFORM SCORING ELSE MOVE 'R' TO DECISION END-IF
+    STOP RUN.
+CHECK-IN.
+    IF AGE < 18 MOVE 'N' TO OK-X GO TO CHECK-EXIT END-IF
+    IF INCOME = 0 MOVE 'N' TO OK-X GO TO CHECK-EXIT END-IF.
+CHECK-EXIT.
+    EXIT.
+DEAD-PARA.
+    IF AGE > 100 MOVE 'X' TO DECISION END-IF.
+SCORING.
+    COMPUTE SCORE-X = AGE * 2 + YEARS
+    IF SCORE-X > 100 MOVE 'A' TO DECISION ELSE MOVE 'C' TO DECISION END-IF."""
+FLOW_DATA = "01 AGE PIC 9(3).\n01 INCOME PIC 9(7).\n01 YEARS PIC 9(2).\n01 OK-X PIC X VALUE 'Y'.\n01 SCORE-X PIC 9(4).\n01 DECISION PIC X VALUE '-'."
+
+
+def test_flow():
+    e = program(FLOW, FLOW_DATA)
+    by = {r.trace.paragraph + str(r.trace.line_start): r for r in e.rules}
+    score = next(r for r in e.rules if r.trace.paragraph == "SCORING")
+    assert condition_key(score.context) == condition_key(leaf("OK-X", "==", "Y")) and score.derivations == {"SCORE-X": "AGE * 2 + YEARS"} and score.trace.performed_from == ("MAIN-PARA",)
+    second = [r for r in e.rules if r.trace.paragraph == "CHECK-IN"][1]
+    assert condition_key(second.context) == condition_key({"not": leaf("AGE", "<", 18)})
+    assert [r.reachable for r in e.rules if r.trace.paragraph == "DEAD-PARA"] == [False] and len(by) == 5
+    only = [score]
+    assert decide(only, {"AGE": 60, "YEARS": 5, "OK-X": "Y"})[0] == {"decision": "A"} and decide(only, {"AGE": 30, "YEARS": 5, "OK-X": "Y"})[0] == {"decision": "C"}
+    assert decide(only, {"AGE": 60, "YEARS": 5, "OK-X": "N"}) == ({}, [])
+
+
+def test_search_over_a_table():
+    from edictum.queries import RATE_TABLE
+
+    e = extract(read_source("t.cbl", RATE_TABLE))
+    t = read_table(e.program.dictionary, "RATE-ROW")
+    assert t.rows[1] == {"R-SEG": "MACHINERY", "R-RATE": 0.025} and t.lines == [[11], [12], [13]]
+    assert len(e.rules) == 4 and e.rules[3].lookup["at_end"]
+    got = {seg: decide(e.rules, {"CUST-SEG": seg}, e.defaults())[0] for seg in ("HOUSEHOLD", "OTHER")}
+    assert {k: (float(v["ws_rate"]), v["ws_found"]) for k, v in got.items()} == {"HOUSEHOLD": (0.04, "Y"), "OTHER": (0.05, "N")}
+    changed = extract(read_source("t.cbl", RATE_TABLE.replace("           SET RX TO 1", "           MOVE 1 TO R-RATE(1)\n           SET RX TO 1")))
+    assert changed.rules[0].unsupported == ("SEARCH over a table the program modifies",)
+    unset = extract(read_source("t.cbl", RATE_TABLE.replace("           SET RX TO 1\n", "")))
+    assert "SET index TO 1" in unset.rules[0].unsupported[0]
+
+
+FIXED = """000100 IDENTIFICATION DIVISION.
+000200 PROGRAM-ID. FIX.
+000300*A comment line
+000400 DATA DIVISION.
+000500 WORKING-STORAGE SECTION.
+000600     COPY CUSTREC REPLACING ==:T:== BY ==CU==.
+000700 01 LONG-TEXT PIC X(40) VALUE 'begins here and
+000800-    'goes on'.
+000900 PROCEDURE DIVISION.
+001000 P1.
+001100D    IF CU-AGE > 1 MOVE 1 TO CU-AGE END-IF.
+001200     IF CU-AGE < 18 AND CU-LIM > 500
+001300         MOVE 'Y' TO LONG-TEXT
+001400     END-IF.
+"""
+COPYBOOK = "       01 :T:-REC.\n      * age in years\n          05 :T:-AGE PIC 9(3).\n          05 :T:-LIM PIC 9(5)V99. *> limit\n           COPY INNER.\n"
+INNER = "          05 EXTRA-X PIC X.\n"
+
+
+def test_fixed_format_includes_and_comments():
+    src = read_source("fix.cbl", FIXED, {"CUSTREC": ("custrec.cpy", COPYBOOK), "INNER": ("inner.cpy", INNER)})
+    e = extract(src)
+    assert src.format == "fixed" and src.includes == ["custrec.cpy", "inner.cpy"] and not e.program.problems
+    assert [x.name for x in e.program.dictionary.items] == ["CU-REC", "CU-AGE", "CU-LIM", "EXTRA-X", "LONG-TEXT"]
+    d = e.program.dictionary
+    assert d.find("CU-AGE").comment == "age in years" and d.find("CU-LIM").comment == "limit" and d.find("CU-AGE").file == "custrec.cpy" and d.find("EXTRA-X").parent.name == "CU-REC"
+    assert d.find("LONG-TEXT").value.startswith("begins here and") and d.find("LONG-TEXT").value.endswith("goes on")
+    assert len(e.rules) == 1 and e.rules[0].trace.copybooks == ("custrec.cpy",) and e.rules[0].trace.line_start == 12
+    with pytest.raises(SourceError):
+        read_source("fix.cbl", FIXED, {})
+    with pytest.raises(SourceError):
+        read_source("x.cbl", "       COPY LOOP.\n", {"LOOP": ("loop.cpy", "       COPY LOOP.\n")})
+
+
+def test_text_helpers():
+    assert split_comment("MOVE '*> no' TO A *> yes") == ("MOVE '*> no' TO A ", "yes")
+    assert detect_format(["       IDENTIFICATION DIVISION."]) == "fixed" and detect_format(["IDENTIFICATION DIVISION."]) == "free" and detect_format([">>SOURCE FORMAT FREE"]) == "free"
+    assert parse_copy("COPY ABC OF LIB SUPPRESS REPLACING ==X== BY ==Y== AAA BY BBB.") == ("ABC", [("X", "Y", True), ("AAA", "BBB", False)])
+    assert apply_replacements("AAA-1 aaa X", [("AAA", "BBB", False)]) == "AAA-1 BBB X"
+    assert [t.value for t in tokenize(code_lines("f", ["MOVE -1.5 TO A-B(3). PIC S9(3)V99. X'41' \"it's\""], "free"))] == ["MOVE", "-1.5", "TO", "A-B", "(", "3", ")", ".", "PIC", "S9(3)V99", ".", "41", "it's"]
+
+
+def test_large_programs_take_linear_time():
+    import time
+
+    def seconds(n):
+        body = "P1.\n" + "".join(f" IF AGE > {i} AND BAL < {i * 3} MOVE 'Y' TO FLAG ELSE MOVE 'N' TO FLAG END-IF\n" for i in range(n)) + " STOP RUN."
+        t = time.perf_counter()
+        assert len(program(body, DATA).rules) == n
+        return time.perf_counter() - t
+
+    seconds(20)
+    assert seconds(800) < 8 * seconds(200) + 1
+
+
+def test_rules_are_json():
+    assert json.dumps([r.document() for r in program(FLOW, FLOW_DATA).rules])

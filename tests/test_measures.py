@@ -1,0 +1,79 @@
+import random
+import statistics
+
+import pytest
+from pyspark.sql import functions as F
+
+from edictum.functions import text
+from edictum.operators import metrics, search
+from edictum.plans.ir import Action, Rule, leaf
+from edictum.streaming import limits
+from edictum.streaming.scoring import score_stream
+
+
+def test_calibration_and_ranking(spark):
+    r = random.Random(4)
+    rows = [(round(r.random(), 2), r.random() < 0.5) for _ in range(300)]
+    df = spark.createDataFrame(rows, "p double, y boolean")
+    pos, neg = [p for p, y in rows if y], [p for p, y in rows if not y]
+    want = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg)
+    assert metrics.auroc(df, F.col("p"), F.col("y")).first()["auroc"] == pytest.approx(want)
+    got = metrics.calibration_error(df, F.col("p"), F.col("y")).first()
+    assert got["brier"] == pytest.approx(statistics.mean((p - y) ** 2 for p, y in rows))
+    knots = sorted((k["x"], k["y"]) for k in metrics.isotonic_knots(df, F.col("p"), F.col("y")).collect())
+    assert [y for _, y in knots] == sorted(y for _, y in knots)
+    mid = spark.createDataFrame([(-1.0,), (0.5,), (2.0,)], "x double").select(metrics.interpolate(F.col("x"), [(0.0, 0.1), (1.0, 0.9)]).alias("v")).collect()
+    assert [v["v"] for v in mid] == [0.1, 0.5, 0.9]
+    assert metrics.auroc(df.limit(0), F.col("p"), F.col("y")).first()["auroc"] is None
+
+
+def test_histogram_and_index_percentile(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(1, 101)], "v double")
+    rows = metrics.histogram(df, F.col("v"), (10.0, 50.0))
+    assert [(r["le"], r["n"]) for r in rows.collect()] == [("10", 10), ("50", 50), ("+Inf", 100)]
+    assert list(metrics.exposition(rows, "lat"))[-1] == "lat_count 100"
+    assert metrics.percentile_by_index(df, F.col("v")).first()["value"] == 95.0
+
+
+def test_sets_and_names(spark):
+    df = spark.createDataFrame([("Customer under 1,800 and 5.5%", "cstmr", "WS-Cust Amt(3)", "a + +b")], "t string, s string, n string, e string")
+    r = df.select(text.numbers(F.col("t")).alias("n"), text.grounded(F.col("t"), F.array(F.lit(18.0), F.lit(0.055))).alias("g"), text.is_subsequence(F.col("s"), F.lit("customer")).alias("u"), text.is_subsequence(F.lit("mc"), F.lit("customer")).alias("v"), text.base(F.col("n")).alias("b"), text.snake(F.col("n")).alias("k"), text.canonical_expression(F.col("e")).alias("x"), text.content_words_column(F.col("t")).alias("w")).first()
+    assert r["n"] == [1800.0, 5.5] and r["g"] and r["u"] and not r["v"] and r["b"] == "WS-CUST AMT" and r["k"] == "ws_cust_amt_3" and r["x"] == "A+B" and "and" not in r["w"]
+    assert text.abbreviates("cust", {"customer"}) and text.abbreviates("amt", {"amount"}) and not text.abbreviates("xyz", {"amount"})
+    e = spark.createDataFrame([([], []), (["a"], []), (["a", "b"], ["b", "c"])], "a array<string>, b array<string>")
+    assert [tuple(r) for r in e.select(metrics.jaccard(F.col("a"), F.col("b")), metrics.token_f1(F.col("a"), F.col("b"))).collect()] == [(1.0, 1.0), (0.0, 0.0), (pytest.approx(1 / 3), 0.5)]
+
+
+def test_search(spark):
+    rules = [Rule("A1", leaf("CUST-AGE", "<", 18), (Action("set", "flag", "FLAG", "Y"),), title="Minor review", concepts=("age",)), Rule("A2", leaf("CUST-AGE", ">=", 18), (Action("set", "fee", "FEE", 1),), title="Adult fee"), Rule("A3", leaf("BAL", ">", 5), (Action("set", "x", "X", 1),), title="Balance")]
+    t = search.rules_table(spark, rules)
+    assert [r["rule_id"] for r in search.search(t, "customers under 18").collect()][0] == "A1"
+    assert search.search(t, "zebra crossings").count() == 0 and [r["score"] for r in search.search(t, " ").collect()] == [0.0, 0.0, 0.0]
+    assert search.search(t, "the rules").count() == 3 and search.search(t, "fees", limit=1).count() == 1
+    v = t.withColumn("vector", F.when(F.col("rule_id") == "A3", F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))))
+    assert search.search(v, "zebra", vector=[1.0, 0.0]).first()["rule_id"] == "A3"
+    assert search.read_question("at least 1,000 over 5")[1] == [((">", ">="), 5.0), ((">=", ">"), 1000.0)]
+
+
+def test_token_buckets(spark, tmp_path):
+    rows = [("a", "write", 0.1 * i) for i in range(130)] + [("b", "read", 0.0), ("a", "write", 60.0)]
+    df = spark.createDataFrame(rows, "key string, kind string, at double")
+    got = limits.limit_requests(df).collect()
+    a = sorted((r["at"], r["allowed"]) for r in got if r["key"] == "a")
+    assert all(x for _, x in a) and len(got) == 132
+    burst = limits.limit_requests(spark.createDataFrame([("a", "write", 0.0)] * 125, "key string, kind string, at double")).collect()
+    assert sum(r["allowed"] for r in burst) == 120 and all(r["wait"] == pytest.approx(0.5) for r in burst if not r["allowed"])
+    src = tmp_path / "in"
+    spark.createDataFrame([("a", "write", 0.0)] * 121, "key string, kind string, at double").coalesce(1).write.parquet(str(src))
+    q = limits.limit_stream(spark.readStream.schema(df.schema).parquet(str(src))).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("limited").filter("allowed").count() == 120
+
+
+def test_stream_scoring(spark, tmp_path):
+    src = tmp_path / "in"
+    df = spark.createDataFrame([(1, 5.0), (2, 50.0)], "id int, v double")
+    df.write.parquet(str(src))
+    rules = [Rule("S1", leaf("V", ">", 10), (Action("set", "flag", "FLAG", "Y"),))]
+    score_stream(spark.readStream.schema(df.schema).parquet(str(src)), rules, str(tmp_path / "out"), str(tmp_path / "ck"), {"V": "v"}, {"FLAG": "N"}).awaitTermination(120)
+    assert {r["id"]: (r["flag"], r["fired_rules"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: ("N", []), 2: ("Y", ["S1"])}
