@@ -67,7 +67,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
     types = pa.schema([(n, t) for n, t in zip(["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"], _TYPES)] + [("ids", pa.binary())] * with_ids)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer).encode_column
         sequence = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
         rests: list[tuple[int | None, int, int, bytes]] = []  # doc_id, start of the rest, tokens of the document, ids
@@ -90,8 +90,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
             return out
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                ids += end
                 tokens = len(ids) // 4
                 whole = tokens // capacity * capacity
                 for at in range(0, whole, capacity):

@@ -17,9 +17,18 @@ COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 _COUNT = np.array([1, *COUNTS, 0], dtype=np.int64)
 _BITS = np.array([0, *(60 // c for c in COUNTS), 0], dtype=np.uint8)
 _WIDE = BLOCK + max(COUNTS)
+#: Bits of numbers below 65,536.
+_WIDTH = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 _MASK60 = np.uint64((1 << 60) - 1)
 
 
+def _widths(ids: np.ndarray) -> np.ndarray:
+    """Bits that each id needs (over 60: more than a word has)."""
+    if ids.max(initial=0) < 1 << 16:
+        return _WIDTH[ids]
+    return np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
+
+
 def _selectors(widths: np.ndarray) -> np.ndarray:
     """For each place of each block, the selector that packs most ids from there on."""
     n = widths.shape[1]
@@ -56,7 +65,7 @@ def encode(ids: np.ndarray, escaped: int = 0) -> tuple[np.ndarray, np.ndarray, n
     grid[full:, : len(ids) - full * BLOCK] = ids[full * BLOCK :]
     lengths = np.full(blocks, BLOCK, dtype=np.int64)
     lengths[-1] = len(ids) - (blocks - 1) * BLOCK
-    best = _selectors(np.frexp(grid[:, :BLOCK].astype(np.float64))[1].astype(np.uint8))
+    best = _selectors(_widths(grid[:, :BLOCK]))
     flat, at, row = best.reshape(-1), np.zeros(blocks, dtype=np.int64), np.arange(blocks) * BLOCK
     places, chosen = [], []
     while (live := at < lengths).any():

@@ -123,10 +123,10 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int, id_
         fs, path = _open(out_dir)
         fs.create_dir(path, recursive=True)
         uri = f"{out_dir}/shard-{shard:06d}.eds8b"
-        out, encode = ShardWriter(uri), encoder(tokenizer).encode
+        out, encode = ShardWriter(uri), encoder(tokenizer).encode_column
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out.add(doc_id, encode(text) + end)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                out.add(doc_id, ids + end)
         n_docs, n_tokens = out.close()
         yield pa.RecordBatch.from_pylist([{"shard": shard, "path": uri, "n_docs": n_docs, "n_tokens": n_tokens}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
