@@ -608,7 +608,7 @@ class Parser:
             return Operand(f"({inner.text})", simple=False)
         found, v = self._literal()
         if found:
-            return Operand(str(v), v, True)
+            return Operand(t.value if t.kind == "NUM" else str(v), v, True)  # numbers as they are written
         if t.kind != "WORD":
             raise ParseError(f"operand expected, not {t.value!r}")
         if t.value == "FUNCTION":
