@@ -17,6 +17,7 @@ from edictum.plans import canon
 from edictum.plans.compile import Scope, condition
 from edictum.plans.ir import Condition, Rule, inputs, leaves
 from edictum.plans.solver import equivalent, witness
+from edictum.shipping import ship_package
 
 #: Overlap of lines that counts as the same place; similarity that counts as the same rule.
 SAME_PLACE, SAME_RULE = 0.8, 0.45
@@ -137,6 +138,7 @@ def match_rules(predicted: DataFrame, gold: DataFrame) -> DataFrame:
         rows += [(p["program"], None, p["rule_id"], "unmatched prediction", 0.0) for i, p in enumerate(pred) if i not in used]
         return pd.DataFrame(rows, columns=["program", "gold_id", "pred_id", "outcome", "overlap"])
 
+    ship_package(predicted.sparkSession)
     return predicted.groupBy("program").cogroup(gold.groupBy("program")).applyInPandas(pair, MATCHED)
 
 
@@ -191,6 +193,7 @@ def drift(old: DataFrame, new: DataFrame, threshold: float = SAME_RULE) -> DataF
                 keep.append(r)
         return pd.DataFrame(keep, columns=["old_id", "new_id", "similarity"])
 
+    ship_package(old.sparkSession)
     changed = pairs.groupBy(F.lit(1).alias("__all")).applyInPandas(lambda x: greedy(x[["old_id", "new_id", "similarity"]]), "old_id string, new_id string, similarity double")
     was = old.select(F.col("rule_id").alias("old_id"), (F.col("status") == "approved").alias("was_approved"))
     out = out.unionByName(changed.join(was, "old_id").select("old_id", "new_id", F.lit("changed").alias("kind"), "similarity", "was_approved"))

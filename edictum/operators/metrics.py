@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edictum.shipping import ship_package
+
 #: Upper bounds of latency buckets, in seconds.
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
@@ -61,6 +63,7 @@ def isotonic_knots(df: DataFrame, score: Column, correct: Column) -> DataFrame:
                 blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + w, blocks[-1][2], last]
         return pd.DataFrame([(x, s / w) for s, w, a, b in blocks for x in ([a, b] if a < b else [a])], columns=["x", "y"])
 
+    ship_package(df.sparkSession)
     return per.groupBy(F.lit(1).alias("__all")).applyInPandas(pool, "x double, y double")
 
 

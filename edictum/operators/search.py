@@ -55,6 +55,12 @@ def stemmed_words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1)), lambda w: F.when((F.length(w) > 3) & w.endswith("s"), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w)))
 
 
+def has_stem(text: Column, term: str) -> Column:
+    """Whether a word of the text has this stem: one pass of a pattern, without splitting the text into words."""
+    words = ([term] if stem(term) == term else []) + ([term + "s"] if len(term) > 2 else [])
+    return F.lower(text).rlike(f"(?<![a-z0-9])(?:{'|'.join(map(re.escape, words))})(?![a-z0-9])") if words else F.lit(False)
+
+
 def rules_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
     """Rules as rows to search: rule_id, title, concepts, body, and their comparisons (op, values)."""
     rows = []
@@ -70,13 +76,13 @@ def keyword_score(terms: set[str], numbers: list[tuple[tuple[str, ...], float]],
     """Each term counts once, by the best place it is found in; each number by the best comparison with it."""
     if not terms and not numbers:
         return F.lit(1.0)
-    places = [(stemmed_words(F.concat_ws(" ", concepts)), CONCEPT)] if concepts is not None else []
-    places += [(stemmed_words(title), TITLE), (stemmed_words(body), BODY)]
+    places = [(F.concat_ws(" ", concepts), CONCEPT)] if concepts is not None else []
+    places += [(title, TITLE), (body, BODY)]
     total = F.lit(0.0)
     for t in sorted(terms):
         found = F.when(F.lit(False), 0)
-        for words, weight in places:
-            found = found.when(F.array_contains(words, t), weight)
+        for place, weight in places:
+            found = found.when(has_stem(place, t), weight)
         total = total + found.otherwise(0)
     for relations, n in numbers:
         if tests is not None:

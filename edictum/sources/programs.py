@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from edictum.plans.ir import NAME, base_name, leaves
+from edictum.shipping import ship_package
 from edictum.sources.cobol_rules import extract
 from edictum.sources.cobol_text import COPY_DEPTH, INCLUDES, JOBS, PROGRAMS, read_source
 from edictum.sources.jcl import parse_jcl
@@ -103,6 +104,7 @@ def program_row(path: str, file: str, content: str, library: dict[str, tuple[str
 def extract_programs(programs: DataFrame, glossary: dict[str, str] | None = None) -> DataFrame:
     """A row a program: rules and slices as JSON, dictionary, calls, files, and errors."""
 
+    ship_package(programs.sparkSession)
     kinds = to_arrow_schema(T.StructType.fromDDL(EXTRACTED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,6 +136,7 @@ STEPS = "path string, job string, file string, step string, line int, pgm string
 def job_steps(members: DataFrame) -> DataFrame:
     """A row a step of each job (a job without steps has one row, with null step)."""
 
+    ship_package(members.sparkSession)
     kinds = to_arrow_schema(T.StructType.fromDDL(STEPS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

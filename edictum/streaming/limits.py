@@ -8,6 +8,8 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from edictum.shipping import ship_package
+
 #: Requests a minute by class.
 RATES = {"read": 1200, "write": 120, "score": 6000}
 DECISIONS = "key string, kind string, at double, allowed boolean, wait double"
@@ -36,6 +38,7 @@ def limit_requests(requests: DataFrame, rates: dict[str, int] | None = None) ->
         rate = known[rows["kind"].iloc[0]]
         return _walk(rows, float(rate), float(rows["at"].min()), rate)[0]
 
+    ship_package(requests.sparkSession)
     return requests.groupBy("key", "kind").applyInPandas(run, DECISIONS)
 
 
@@ -51,4 +54,5 @@ def limit_stream(requests: DataFrame, rates: dict[str, int] | None = None) -> Da
         state.update((level, last))
         yield out
 
+    ship_package(requests.sparkSession)
     return requests.groupBy("key", "kind").applyInPandasWithState(run, DECISIONS, "level double, last double", "append", "NoTimeout")
