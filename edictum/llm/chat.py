@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edictum.shipping import ship_package
+
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: A segment ends with the turn that takes it past so many characters.
 SEGMENT = 1 << 18
@@ -131,6 +133,7 @@ def format_conversations(turns: DataFrame, tokenizer: str) -> DataFrame:
         if rows:
             yield flush()
 
+    ship_package(turns.sparkSession)
     cols = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")]
     return turns.select(*cols).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, SEGMENTS)
 
@@ -179,5 +182,6 @@ def read_back(segments: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.types)], schema=kinds)
 
+    ship_package(segments.sparkSession)
     ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
     return ordered.mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")

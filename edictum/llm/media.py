@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edictum.shipping import ship_package
+
 
 @dataclass(frozen=True)
 class Found:
@@ -257,6 +259,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([to_wav(padded(t)) for t in texts], pa.binary()), pa.array(["application/octet-stream"] * len(texts))], ["doc_id", "n_bytes", "media", "declared"])
 
+    ship_package(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(store, "doc_id bigint, n_bytes bigint, media binary, declared string")
 
 
@@ -287,4 +290,5 @@ def inspect_media(media: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.types)], schema=kinds)
 
     schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, declared string, media_type string, embedded array<string>"
+    ship_package(media.sparkSession)
     return media.select("doc_id", "n_bytes", "media", "declared").mapInArrow(inspect, schema)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edictum.llm.vocabulary import encoder
+from edictum.shipping import ship_package
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Documents whose rests are dealt out together.
@@ -107,4 +108,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
         if rows:
             yield flush()
 
+    ship_package(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pack, schema)

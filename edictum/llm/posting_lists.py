@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edictum.llm.workspace import materialize
+from edictum.shipping import ship_package
 
 
 @dataclass(frozen=True)
@@ -35,8 +36,8 @@ class Settings:
     copies: int = 4  #: most lists of a vector
     boundary: float = 1.12  #: distance to another centroid over that to the nearest, up to which a vector is replicated
     neighbours: int = 16  #: of a centroid in the graph
-    beam: int = 96  #: centroids that a search keeps
-    ratio: float = 1.25  #: distance to a centroid over that to the nearest, up to which its list is read
+    beam: int = 112  #: centroids that a search keeps
+    ratio: float = 1.3  #: distance to a centroid over that to the nearest, up to which its list is read
     shard: int = 8_192  #: about so many vectors, and so many queries, meet in one group
 
 
@@ -130,6 +131,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, settings: Settings
     length than most of the sample's are compared with none. Of repeated ids, one is returned a
     rank. An empty table gives no rows.
     """
+    ship_package(vectors.sparkSession)
     rows = materialize(usable(vectors, id_col, vector_col), "vectors")
     width = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     schema = "query_id bigint, rank int, vec_id bigint, score double"

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edictum.shipping import ship_package
+
 #: Byte classes of UTF-8 text; their counts are the raw statistics.
 CLASSES = {
     "upper": bytes(range(65, 91)), "lower": bytes(range(97, 123)), "digit": bytes(range(48, 58)), "blank": b" \t\v\f\r", "line": b"\n",
@@ -174,6 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_ro
     Labels other than 0 and 1 and rows without doc_id are ignored; of several labels of a
     document the more frequent counts, of ties 0. Only statistics reach the driver.
     """
+    ship_package(docs.sparkSession)
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("__id")).agg((F.avg(label_col) > 0.5).cast("int").alias("__label"))
     sample = known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
@@ -186,5 +189,6 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_ro
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text; null texts are scored as empty ones. A column named as the score is replaced."""
+    ship_package(docs.sparkSession)
     stats = docs.withColumn("__stats", statistics_column(F.col(text_col)))
     return stats.withColumn(score_col, model.column(feature_columns("__stats"))).drop("__stats")

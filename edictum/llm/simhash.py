@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edictum.llm.components import connected_components
-from edictum.llm.workspace import discard, materialize
+from edictum.llm.workspace import materialize
+from edictum.shipping import ship_package
 
 THRESHOLD = 2
 SEED = 42
@@ -130,6 +131,7 @@ def near_duplicate_links(distinct: DataFrame) -> DataFrame:
 
     ``distinct``: ``fp`` (each once) and ``rep`` (a long that names it), without nulls.
     """
+    ship_package(distinct.sparkSession)
     placed = distinct.select("fp", "rep").mapInArrow(_replicate, "anchor bigint, fp bigint, rep bigint")
     return placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "a bigint, b bigint").distinct()
 
@@ -141,6 +143,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     part in links and have a null component. Repeated rows are kept as they are. An empty table
     gives no rows. Other columns are left out, whatever they are called.
     """
+    ship_package(docs.sparkSession)
     fps = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_column(F.col(text_col), words).alias("fp")), "fingerprints")
     distinct = materialize(fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     found = connected_components(near_duplicate_links(distinct), "a", "b")

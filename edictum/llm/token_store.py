@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from edictum.llm import simple8b
 from edictum.llm.vocabulary import encoder
+from edictum.shipping import ship_package
 
 MAGIC = b"EDS8B\x00\x00\x01"
 #: Ids that are coded or decoded at once.
@@ -66,6 +67,11 @@ class ShardWriter:
         self.escapes.append(escapes)
         self.blocks.append(per_block)
 
+    def abort(self) -> None:
+        """Leave nothing behind."""
+        self.out.close()
+        self.fs.delete_file(self.part)
+
     def close(self) -> tuple[int, int]:
         """Numbers of documents and ids."""
         self._code(self.n_waiting)
@@ -124,12 +130,17 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int, id_
         fs.create_dir(path, recursive=True)
         uri = f"{out_dir}/shard-{shard:06d}.eds8b"
         out, encode = ShardWriter(uri), encoder(tokenizer).encode_column
-        for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
-                out.add(doc_id, ids + end)
+        try:
+            for batch in batches:
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                    out.add(doc_id, ids + end)
+        except BaseException:
+            out.abort()
+            raise
         n_docs, n_tokens = out.close()
         yield pa.RecordBatch.from_pylist([{"shard": shard, "path": uri, "n_docs": n_docs, "n_tokens": n_tokens}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
+    ship_package(docs.sparkSession)
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     spark = docs.sparkSession
     manifest = f"{out_dir}/manifest"
@@ -165,5 +176,6 @@ def read_tokens(spark: SparkSession, shards: DataFrame, digests_only: bool = Fal
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds.types)], schema=kinds)
 
+    ship_package(spark)
     todo = spark.createDataFrame(rows, "path string, start bigint").repartition(max(1, len(rows)), "path")
     return todo.mapInArrow(read, f"doc_id bigint, start bigint, n_tokens bigint, {last[0]} {last[1]}")

@@ -7,9 +7,12 @@ only where that is unset, as in unit tests, a temporary folder is made and set.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +26,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _delete(sc: SparkContext, path: str) -> None:
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/edictum/{name}-{uuid.uuid4().hex}"
+    """A path below the shared folder that nothing uses yet, in a folder of the application that goes when the driver ends."""
+    sc = spark.sparkContext
+    own = f"{shared_dir(spark)}/edictum/{sc.applicationId}"
+    if getattr(sc, "_edictum_folder", None) != own:
+        sc._edictum_folder = own
+
+        def clean() -> None:
+            with contextlib.suppress(Exception):  # the JVM may have ended first
+                _delete(sc, own)
+
+        atexit.register(clean)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -41,9 +59,7 @@ def discard(df: DataFrame | None) -> None:
     """Delete a materialized table that nothing will read again."""
     path = getattr(df, "_edictum_path", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        where = sc._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession.sparkContext, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
