@@ -146,10 +146,10 @@ def score_derivation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rc.score(_t(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), rules, {BALANCE: F.col("c_acctbal").cast(MONEY)}).select("c_custkey", "decision")
 
 
-@_query("select event_id, case when event_type = 'purchase' and value > 50 then 'Y' else 'N' end as flag, case when value > 50 then 1 else 0 end::int as over_50 from (select event_id, event_type, case when event_id % 7 = 0 then null else value end as value from events)")
+@_query("select event_id, case when event_type = 'purchase' and value > 50 then 'Y' else 'N' end as flag, case when value > 50 then 1 else 0 end::int as over_50 from (select event_id, event_type, case when event_type = 'view' then null else value end as value from events)")
 def score_defaults_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing operands make a leaf false, and its negation true; outputs begin at their defaults."""
-    df = _t(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"))
+    df = _t(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("event_type") != "view", F.col("value")).alias("value"))
     rules = [Rule("E-R001", _all(leaf("EV-TYPE", "==", "purchase"), leaf("EV-VAL", ">", 50)), (_set("FLAG", "Y"),)), Rule("E-R002", _not(leaf("EV-VAL", ">", 50)), (_set("OVER-50", 0),))]
     out = rc.score(df, rules, {"EV-TYPE": "event_type", "EV-VAL": "value"}, {"FLAG": "N", "OVER-50": 1})
     return out.select("event_id", "flag", F.col("over_50").cast("int").alias("over_50"))
@@ -478,11 +478,11 @@ def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.latest(_t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey", "o_orderkey")
 
 
-@_query("select c_custkey, coalesce(case when c_custkey % 5 = 0 then null else c_acctbal end, 0) as confidence from customer where c_mktsegment in ('BUILDING', 'FURNITURE') order by 2, 1 limit 50")
+@_query("select c_custkey, coalesce(case when c_acctbal > 9000 then null else c_acctbal end, 0) as confidence from customer where c_mktsegment in ('BUILDING', 'FURNITURE') order by 2, 1 limit 50")
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least sure first, missing confidence as 0."""
     df = _t(spark, sf_dir, "customer").filter(F.col("c_mktsegment").isin("BUILDING", "FURNITURE"))
-    return df.select("c_custkey", F.coalesce(F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")), F.lit(0.0)).alias("confidence")).orderBy("confidence", "c_custkey").limit(50)
+    return df.select("c_custkey", F.coalesce(F.when(F.col("c_acctbal") <= 9000, F.col("c_acctbal")), F.lit(0.0)).alias("confidence")).orderBy("confidence", "c_custkey").limit(50)
 
 
 @_query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25 offset 25")
@@ -571,22 +571,23 @@ def boundary_grid_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.differential(grid, CHAIN, CHAIN_B, "decision", {c: F.col(f"`{c}`") for c in grid.columns if c != "row_id"}, {"DECISION": " "}).select("row_id", "out_a", "out_b", "agree")
 
 
-@_query("""with t as (select l_orderkey, l_linenumber as n, epoch(l_shipdate)::bigint // 86400 as a, epoch(l_shipdate)::bigint // 86400 + 30 as b from lineitem where l_orderkey <= 2000)
+@_query("""with t as (select l_orderkey, l_linenumber as n, epoch(l_shipdate)::bigint // 86400 as a, epoch(l_shipdate)::bigint // 86400 + 30 as b from lineitem)
  select x.l_orderkey, x.n, y.n as m, round(greatest(0, least(x.b, y.b) - greatest(x.a, y.a) + 1) / (greatest(x.b, y.b) - least(x.a, y.a) + 1), 6) as overlap from t x join t y on x.l_orderkey = y.l_orderkey and x.n < y.n where least(x.b, y.b) >= greatest(x.a, y.a)""")
 def trace_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of spans of days within an order."""
     day = F.unix_date(F.to_date("l_shipdate"))
-    t = _t(spark, sf_dir, "lineitem").filter("l_orderkey <= 2000").select(F.col("l_orderkey").alias("program"), F.col("l_linenumber").alias("n"), day.alias("line_start"), (day + 30).alias("line_end"))
+    t = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("program"), F.col("l_linenumber").alias("n"), day.alias("line_start"), (day + 30).alias("line_end"))
     x, y = t.alias("x"), t.alias("y")
     meets = (F.col("x.program") == F.col("y.program")) & (F.col("x.n") < F.col("y.n")) & (F.col("x.line_start") <= F.col("y.line_end")) & (F.col("y.line_start") <= F.col("x.line_end"))
     return x.join(y, meets).select(F.col("x.program").alias("l_orderkey"), F.col("x.n").alias("n"), F.col("y.n").alias("m"), F.round(algebra.overlap_column("x", "y"), 6).alias("overlap"))
 
 
-@_query("select c_custkey, round((0.4 * 1 + case when c_custkey % 3 = 0 then 0 else 0.3 * 0.9 end + 0.1 * 0.5) / (0.4 + case when c_custkey % 3 = 0 then 0 else 0.3 end + 0.1), 4) as score, case when c_custkey % 3 = 0 or c_custkey % 2 = 0 then 'needs_review' else 'needs_review' end as status from customer")
+@_query("select c_custkey, case c_mktsegment when 'MACHINERY' then 0.9625 else 1.0 end::double as score, case when c_mktsegment in ('BUILDING', 'MACHINERY') then 'needs_review' else 'candidate' end as status from customer")
 def confidence_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores over what is measured, and where rules go."""
-    none = F.array().cast("array<string>")
-    df = _t(spark, sf_dir, "customer").select("c_custkey", F.lit(1.0).alias("structural"), F.when(F.col("c_custkey") % 3 != 0, F.lit(0.9)).alias("differential"), F.lit(None).cast("double").alias("consistency"), F.lit(0.5).alias("naming"), none.alias("unsupported"), none.alias("wording"), F.lit(False).alias("external_dependency"), F.lit(True).alias("reachable"), F.lit(None).cast("boolean").alias("satisfiable"), F.lit(None).cast("boolean").alias("grounded"), F.lit(None).cast("boolean").alias("enrichment_error"), F.lit("candidate").alias("status"))
+    none, unknown = F.array().cast("array<string>"), F.lit(None).cast("boolean")
+    diff = F.when(F.col("c_mktsegment") == "MACHINERY", 0.9).when(F.col("c_mktsegment") != "BUILDING", 1.0)
+    df = _t(spark, sf_dir, "customer").select("c_custkey", F.lit(1.0).alias("structural"), diff.alias("differential"), F.lit(None).cast("double").alias("consistency"), F.lit(1.0).alias("naming"), none.alias("unsupported"), none.alias("wording"), F.lit(False).alias("external_dependency"), F.lit(True).alias("reachable"), unknown.alias("satisfiable"), unknown.alias("grounded"), unknown.alias("enrichment_error"), F.lit("candidate").alias("status"))
     return verify.route(df).select("c_custkey", "score", "status")
 
 
@@ -596,11 +597,11 @@ def business_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select("p_partkey", text.snake(F.col("p_name")).alias("snake"))
 
 
-@_query("select change, count(*) as n, max(version) as version from (select case when a.k is null then 'new' when a.h = b.h then 'unchanged' else 'new_version' end as change, case when a.k is null then 1 when a.h = b.h then 3 else 4 end as version from (select o_orderkey as k, o_orderpriority as h from orders) b left join (select o_orderkey as k, case when o_orderkey % 4 = 0 then 'x' else o_orderpriority end as h from orders where o_orderkey % 3 <> 0) a on a.k = b.k) group by 1")
+@_query("select change, count(*) as n, max(version) as version from (select case when a.k is null then 'new' when a.h = b.h then 'unchanged' else 'new_version' end as change, case when a.k is null then 1 when a.h = b.h then 3 else 4 end as version from (select o_orderkey as k, o_orderpriority as h from orders) b left join (select o_orderkey as k, case when o_orderstatus = 'F' then 'x' else o_orderpriority end as h from orders where o_orderpriority <> '5-LOW') a on a.k = b.k) group by 1")
 def merge_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What saving does to each of many rules."""
-    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rule_id"), F.col("o_orderpriority").alias("content_hash"), F.lit("candidate").alias("status"))
-    old = o.filter("rule_id % 3 <> 0").withColumn("content_hash", F.when(F.col("rule_id") % 4 == 0, "x").otherwise(F.col("content_hash"))).withColumn("version", F.lit(3))
+    """What saving does to each of many rules: the store lacks some, and has others with older content."""
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rule_id"), F.col("o_orderpriority").alias("content_hash"), F.lit("candidate").alias("status"), "o_orderstatus")
+    old = o.filter("content_hash <> '5-LOW'").withColumn("content_hash", F.when(F.col("o_orderstatus") == "F", "x").otherwise(F.col("content_hash"))).withColumn("version", F.lit(3))
     return store.merge_versions(old, o).groupBy("change").agg(F.count(F.lit(1)).alias("n"), F.max("version").alias("version"))
 
 
@@ -609,3 +610,105 @@ def visible_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that a user's grants show."""
     grants = [{"user": "ann", "programs": ["build*"]}, {"group": "audit", "programs": ["*0000001?"]}, {"user": "bob", "programs": ["*"]}]
     return store.visible(_t(spark, sf_dir, "customer"), "ann", ["audit"], grants, "c_mktsegment", "c_name").select("c_custkey")
+
+
+@_query("select o_orderstatus as status, count(*) as n from orders group by 1")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by status."""
+    return _t(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("select l_orderkey, count(distinct l_suppkey) as approvers, count(distinct l_suppkey) >= 2 as enough from lineitem group by 1")
+def approvals_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different approvers of each thing, and whether they are enough."""
+    out = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("approvers"))
+    return out.withColumn("enough", F.col("approvers") >= 2)
+
+
+@_query("select event_id, user_id, event_type from events where event_type = 'purchase' order by event_id desc limit 200")
+def newest_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 200."""
+    return _t(spark, sf_dir, "events").filter("event_type = 'purchase'").select("event_id", "user_id", "event_type").orderBy(F.desc("event_id")).limit(200)
+
+
+@_query("select event_id from events where ts >= (select max(ts) from events) - interval 3 day")
+def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last three days."""
+    e = _t(spark, sf_dir, "events").select("event_id", "ts")
+    last = F.broadcast(e.agg(F.max("ts").alias("last")))
+    return e.crossJoin(last).filter(F.col("ts") >= F.col("last") - F.make_dt_interval(F.lit(3))).select("event_id")
+
+
+@_query("select l_orderkey, l_linenumber, l_suppkey from lineitem qualify row_number() over (partition by l_orderkey, l_returnflag order by l_linenumber) = 1")
+def first_edge_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of several equal edges."""
+    w = Window.partitionBy("l_orderkey", "l_returnflag").orderBy("l_linenumber")
+    return _t(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(w)).filter("n = 1").select("l_orderkey", "l_linenumber", "l_suppkey")
+
+
+@_query("select o_custkey, list(o_orderkey order by o_orderkey)[1] as first_key, count(*) as versions, string_agg(o_orderstatus, '' order by o_orderkey) as states from orders group by 1")
+def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of each thing in order."""
+    ordered = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus")))
+    out = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(ordered.alias("v"))
+    return out.select("o_custkey", F.col("v")[0]["o_orderkey"].alias("first_key"), F.size("v").cast("long").alias("versions"), F.array_join(F.transform("v", lambda x: x["o_orderstatus"]), "").alias("states"))
+
+
+@_query("""with w as (select o_orderkey, o_custkey, o_totalprice, sum(case when gap > 50000 then 1 else 0 end) over (partition by o_custkey order by o_orderkey rows unbounded preceding) as block from (select *, abs(o_totalprice - lag(o_totalprice, 1, o_totalprice) over (partition by o_custkey order by o_orderkey)) as gap from orders))
+ select o_custkey, block::bigint as block, count(*) as n from w group by 1, 2""")
+def rule_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of neighbours that belong together, as numbered blocks."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = _t(spark, sf_dir, "orders").withColumn("gap", F.abs(F.col("o_totalprice") - F.lag("o_totalprice", 1).over(w)))
+    o = o.withColumn("block", F.sum(F.when(F.col("gap") > 50000, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return o.groupBy("o_custkey", F.col("block").cast("long").alias("block")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("select event_id, list_sort(list_distinct(regexp_extract_all(lower(event_type || ' ' || props), '[a-z0-9]+')))::varchar as words, len(regexp_extract_all(props, '[0-9]+')) as numbers from events")
+def words_and_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and numbers of a text."""
+    e = _t(spark, sf_dir, "events")
+    words = metrics.token_set(F.concat_ws(" ", "event_type", "props"))
+    return e.select("event_id", F.concat(F.lit("["), F.array_join(F.array_sort(words), ", "), F.lit("]")).alias("words"), F.size(text.numbers(F.col("props"))).cast("long").alias("numbers"))
+
+
+@_query("select part, n from (select unnest(['exact', 'f1', 'concepts', 'grounded']) as part, unnest([round(avg((a.role = b.role)::int), 6), round(avg(case when a.role = b.role then 1.0 else 0.0 end), 6), round(avg((a.role = b.role)::int), 6), round(avg((a.turn % 2 = 0)::int), 6)]) as n from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1)")
+def enrichment_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of names against expected ones: exact, by tokens, by concepts, and grounded."""
+    from edictum.functions.glossary import enrichment_scores
+
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("expected_name"))
+    df = c.join(nxt, ["conv_id", "turn"]).select(F.col("role").alias("name"), "expected_name", F.array("role").alias("concepts"), F.array("expected_name").alias("expected_concepts"), (F.col("turn") % 2 == 0).alias("grounded"))
+    s = enrichment_scores(df)
+    return s.select(F.explode(F.array(*(F.struct(F.lit(n).alias("part"), F.round(c, 6).alias("n")) for n, c in (("exact", "exact"), ("f1", "token_f1"), ("concepts", "concepts"), ("grounded", "grounded"))))).alias("r")).select("r.part", "r.n")
+
+
+@_query("select user_id as key, count(*) as n, least(count(*), 120) as allowed from events group by 1")
+def burst_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All requests of a user at one moment: as many as the bucket holds are allowed."""
+    from edictum.streaming.limits import limit_requests
+
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.lit("write").alias("kind"), F.lit(0.0).alias("at"))
+    return limit_requests(e).groupBy(F.col("key").cast("long").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("allowed").cast("long")).alias("allowed"))
+
+
+GENERATED_SEEDS = 24
+
+
+@_query(f"select {GENERATED_SEEDS}::bigint as programs, true as all_read, true as all_in_place")
+def generated_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programs made from specifications, read in tasks: the rules are those that were meant."""
+    import random
+
+    from edictum.plans import canon
+    from edictum.sources import generator, programs
+
+    specs = [generator.sample(f"GEN{i:03d}", random.Random(i)) for i in range(GENERATED_SEEDS)]
+    rows = [(f"mem:/{s.program}.cbl", f"{s.program}.cbl", generator.render(s), None) for s in specs]
+    source = spark.createDataFrame(rows, "path string, file string, content string, library array<struct<name:string,file:string,content:string>>")
+    read = programs.rules_of(programs.extract_programs(source)).select("rule_id", F.sha2("document", 256).alias("h"))
+    want = spark.createDataFrame([(r.rule_id, canon.rule_key(r)) for s in specs for r in generator.expected_rules(s)], "rule_id string, rule_key string")
+    both = read.join(want, "rule_id", "full_outer")
+    n = programs.extract_programs(source).agg(F.count_distinct("program").alias("programs"), F.max(F.size("problems")).alias("p"))
+    return n.crossJoin(both.agg((F.count("h") == F.count(F.lit(1))).alias("a"), (F.count("rule_key") == F.count(F.lit(1))).alias("b"))).select("programs", (F.col("a") & (F.col("p") == 0)).alias("all_read"), F.col("b").alias("all_in_place"))

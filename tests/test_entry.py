@@ -50,3 +50,17 @@ def test_imports_without_the_training_data_operators(tmp_path):
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op1_') for n in e.queries()))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert out.returncode == 0, out.stderr
     assert out.stdout.split() == [str(len(queries.QUERIES)), "False"]
+
+
+def test_workers_import_the_package_wherever_the_driver_starts(tmp_path):
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()
+from edictum import queries
+print(queries.generated_programs(spark, {SF!r}).first()[:])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert out.stdout.strip().endswith("(24, True, True)"), out.stderr[-2000:]
