@@ -228,3 +228,26 @@ def changed_witness(a: Rule, b: Rule) -> dict[str, Any] | None:
     """An input that one version's condition accepts and the other's doesn't, if it can be told."""
     same, example = equivalent(a.conditions, b.conditions)
     return example if same is False else None
+
+
+def pair_rules(rules: DataFrame, gold: DataFrame) -> DataFrame:
+    """``rule_id``, ``gold_id``: rules with equal keys, the first with the first, and so on."""
+    nth = Window.partitionBy("rule_key").orderBy("seq")
+    a, b = (x.select("rule_key", "rule_id", F.row_number().over(nth).alias("nth")) for x in (rules, gold))
+    return a.join(b.withColumnRenamed("rule_id", "gold_id"), ["rule_key", "nth"]).select("rule_id", "gold_id")
+
+
+def nearest_by_lines(gold: DataFrame, predicted: DataFrame, least: float = 0.5) -> DataFrame:
+    """``gold_id``, ``pred_id``, ``overlap``: for each expected rule the prediction of its program that shares most lines, if enough."""
+    a, b = gold.alias("a"), predicted.alias("b")
+    meets = (F.col("a.program") == F.col("b.program")) & (F.col("a.line_start") <= F.col("b.line_end")) & (F.col("b.line_start") <= F.col("a.line_end"))
+    pairs = a.join(b, meets).select(F.col("a.rule_id").alias("gold_id"), F.col("b.rule_id").alias("pred_id"), F.col("b.seq").alias("seq"), overlap_column("a", "b").alias("overlap")).filter(F.col("overlap") >= least)
+    best = pairs.groupBy("gold_id").agg(F.max_by(F.struct("pred_id", "overlap"), F.struct("overlap", -F.col("seq"))).alias("p"))
+    return best.select("gold_id", "p.pred_id", "p.overlap")
+
+
+def similar_rules(keys: DataFrame, threshold: float = SAME_RULE) -> DataFrame:
+    """Pairs of rules of one table that are alike but not equal."""
+    a, b = keys.alias("a"), keys.alias("b")
+    s = F.round(similarity("a", "b"), 6)
+    return a.join(b, (F.col("a.seq") < F.col("b.seq")) & (F.col("a.rule_key") != F.col("b.rule_key")) & F.arrays_overlap("a.tests", "b.tests")).select(F.col("a.rule_id").alias("rule_a"), F.col("b.rule_id").alias("rule_b"), s.alias("similarity")).filter(F.col("similarity") >= threshold)

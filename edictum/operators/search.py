@@ -7,8 +7,9 @@ table of rules, ranking a top-k with rule_id as the last word.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,3 +113,22 @@ def search(rules: DataFrame, question: str | None, limit: int | None = None, off
     out = out.orderBy(F.desc("score"), "rule_id")
     out = out.offset(offset) if offset else out
     return out.limit(limit) if limit is not None else out
+
+
+def with_vectors(rules: DataFrame, embed: Callable[[list[str]], list[list[float]]], text_col: str = "body", vector_col: str = "vector", batch: int = 32) -> DataFrame:
+    """Rules with a vector of their text, by a model that the caller brings; it runs in tasks, ``batch`` texts a call, three tries."""
+
+    @F.arrow_udf("array<double>")
+    def of(texts: pa.Array) -> pa.Array:
+        values, out = [t or "" for t in texts.to_pylist()], []
+        for at in range(0, len(values), batch):
+            for attempt in range(3):
+                try:
+                    out += embed(values[at : at + batch])
+                    break
+                except Exception:  # noqa: BLE001  a model's failures are its own
+                    if attempt == 2:
+                        raise
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return rules.withColumn(vector_col, of(F.col(text_col)))

@@ -154,3 +154,11 @@ def job_steps(members: DataFrame) -> DataFrame:
 def read_jobs(spark: SparkSession, folder: str) -> DataFrame:
     """Steps of all jobs below a folder."""
     return job_steps(read_files(spark, folder, JOBS))
+
+
+def read_rules(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Rule documents from JSON files, each a list or an object with ``rules``: path, program, rule_id, document."""
+    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value"))
+    each = F.from_json(F.coalesce(F.get_json_object("value", "$.rules"), F.col("value")), "array<string>")
+    rules = raw.select("path", F.get_json_object("value", "$.program").alias("program"), F.explode(each).alias("document"))
+    return rules.select("path", "program", F.get_json_object("document", "$.rule_id").alias("rule_id"), "document")
