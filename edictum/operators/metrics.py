@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edictum.operators.ordered import running_sum
 from edictum.shipping import ship_package
 
 #: Upper bounds of latency buckets, in seconds.
@@ -39,11 +40,10 @@ def calibration_error(df: DataFrame, p: Column, correct: Column, bins: int = 10)
 def auroc(df: DataFrame, score: Column, positive: Column) -> DataFrame:
     """``auroc``: the chance that a positive row scores above a negative one, ties counting half.
 
-    Counts by score are summed below each score: one row a different score is windowed, not one a row.
+    Counts by score are summed below each score, range by range.
     """
     per = df.select(score.alias("s"), positive.cast("boolean").alias("y")).filter("s is not null and y is not null").groupBy("s").agg(F.sum(F.col("y").cast("long")).alias("p"), F.sum((~F.col("y")).cast("long")).alias("n"))
-    below = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    won = per.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0))).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    won = running_sum(per, "s", "n", "below").agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return won.select(F.try_divide(F.col("w").cast("double"), (F.col("p") * F.col("n")).cast("double")).alias("auroc"))
 
 
@@ -98,8 +98,9 @@ def percentile_by_index(df: DataFrame, value: Column, share: float = 0.95) -> Da
     """``value`` at the index int(share x n) - 1 of the sorted values (the first, at least)."""
     rows = df.select(value.alias("value")).filter("value is not null")
     counted = rows.groupBy("value").count()
-    upto = counted.withColumn("upto", F.sum("count").over(Window.orderBy("value"))).withColumn("all", F.sum("count").over(Window.partitionBy()))
-    return upto.filter(F.col("upto") >= F.greatest(F.floor(F.col("all") * share), F.lit(1))).agg(F.min("value").alias("value"))
+    total = counted.agg(F.sum("count").alias("all"))
+    upto = running_sum(counted, "value", "count", "before").crossJoin(F.broadcast(total))
+    return upto.filter(F.col("before") + F.col("count") >= F.greatest(F.floor(F.col("all") * share), F.lit(1))).agg(F.min("value").alias("value"))
 
 
 def token_set(text: Column) -> Column:

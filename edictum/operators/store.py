@@ -16,6 +16,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from edictum.operators.ordered import previous
 from edictum.plans.ir import Rule, rule_from
 
 #: States from which an action is allowed; fields that an edit can't change; the first hash.
@@ -57,12 +58,9 @@ def link_hash(prev: Column, payload: Column) -> Column:
 
 
 def verify_chain(log: DataFrame, order: str, payload: Column, prev: str = "prev_hash", own: str = "hash", genesis: str = GENESIS) -> DataFrame:
-    """``entries``, ``ok``, ``broken_at`` (the first row that doesn't fit). Every row is checked by itself; only the link looks one row back.
-
-    The whole log is one window, in one task: it holds hashes, a row an action of a reviewer.
-    """
-    linked = log.withColumn("__before", F.coalesce(F.lag(own).over(Window.orderBy(order)), F.lit(genesis)))
-    bad = (F.col(prev) != F.col("__before")) | (F.col(own) != link_hash(F.col(prev), payload))
+    """``entries``, ``ok``, ``broken_at`` (the first row that doesn't fit). Every row is checked by itself; only the link looks one row back."""
+    linked = previous(log, order, own, "__before")
+    bad = (F.col(prev) != F.coalesce("__before", F.lit(genesis))) | (F.col(own) != link_hash(F.col(prev), payload))
     return linked.agg(F.count(F.lit(1)).alias("entries"), F.min(F.when(bad, F.col(order))).alias("broken_at")).withColumn("ok", F.col("broken_at").isNull())
 
 

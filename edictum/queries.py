@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from edictum.functions import pic, text
 from edictum.operators import algebra, codec, metrics, search, store, verify
 from edictum.operators import graph as graphs
+from edictum.operators.ordered import previous
 from edictum.plans import compile as rc
 from edictum.plans.ir import Action, Condition, Rule, Trace, leaf
 from edictum.sources import cobol_rules, cobol_text, cobol_tree
@@ -496,10 +497,10 @@ def audit_chain_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chain of hashes with one tampered row, found where it breaks."""
     e = _t(spark, sf_dir, "events").select("event_id", F.concat_ws("|", "event_type", "user_id").alias("payload"))
     # each link is made over the stored hash before it, as a log's writer does
-    base = e.withColumn("seed", F.sha2("payload", 256)).withColumn("prev_hash", F.coalesce(F.lag("seed").over(Window.orderBy("event_id")), F.lit(store.GENESIS)))
+    base = previous(e.withColumn("seed", F.sha2("payload", 256)), "event_id", "seed", "p").withColumn("prev_hash", F.coalesce("p", F.lit(store.GENESIS)))
     log = base.withColumn("payload", F.when(F.col("event_id") == 500, F.lit("forged")).otherwise(F.col("payload"))).withColumn("hash", F.col("seed"))
-    linked = log.withColumn("__before", F.coalesce(F.lag("hash").over(Window.orderBy("event_id")), F.lit(store.GENESIS)))
-    bad = (F.col("prev_hash") != F.col("__before")) | (F.col("hash") != F.sha2("payload", 256))
+    linked = previous(log, "event_id", "hash", "__before")
+    bad = (F.col("prev_hash") != F.coalesce("__before", F.lit(store.GENESIS))) | (F.col("hash") != F.sha2("payload", 256))
     return linked.agg(F.count(F.lit(1)).alias("entries"), F.min(F.when(bad, F.col("event_id"))).alias("broken_at")).withColumn("ok", F.col("broken_at").isNull())
 
 

@@ -77,3 +77,18 @@ def test_stream_scoring(spark, tmp_path):
     rules = [Rule("S1", leaf("V", ">", 10), (Action("set", "flag", "FLAG", "Y"),))]
     score_stream(spark.readStream.schema(df.schema).parquet(str(src)), rules, str(tmp_path / "out"), str(tmp_path / "ck"), {"V": "v"}, {"FLAG": "N"}).awaitTermination(120)
     assert {r["id"]: (r["flag"], r["fired_rules"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: ("N", []), 2: ("Y", ["S1"])}
+
+
+def test_running_sums_and_previous_rows_over_ranges(spark):
+    from edictum.operators.ordered import previous, running_sum
+
+    r = random.Random(1)
+    data = [(i, r.randrange(100)) for i in r.sample(range(10_000), 3000)]
+    df = spark.createDataFrame(data, "k long, v long").repartition(7)
+    data.sort()
+    sums, got = 0, {x["k"]: (x["s"], x["p"]) for x in previous(running_sum(df, "k", "v", "s"), "k", "v", "p").collect()}
+    before = None
+    for k, v in data:
+        assert got[k] == (sums, before)
+        sums, before = sums + v, v
+    assert running_sum(df.limit(0), "k", "v", "s").count() == 0
