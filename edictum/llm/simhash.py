@@ -17,13 +17,13 @@ group grows with the data. Identical fingerprints are one entry from the start.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edictum.llm.components import connected_components
@@ -151,13 +151,39 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return fps.join(classes, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, classes_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The documents without all but the one of least (doc_id, text hash) of each class.
+
+    ``classes_of`` gives doc, th and class for each row of a table of doc, th and text. Documents
+    are told apart by id and text: different texts of one id each stay or go with their own
+    class. Of rows repeated in both, one stays. Rows without a doc_id are kept.
+    """
+    keyed = docs.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__th", F.xxhash64("text"))
+    classed = classes_of(keyed.filter("__doc is not null").select(F.col("__doc").alias("doc"), F.col("__th").alias("th"), "text"))
+    classed = materialize(classed.groupBy("doc", "th").agg(F.first("class").alias("class"), F.count(F.lit(1)).alias("n")), "classed")
+    first = classed.groupBy("class").agg(F.min(F.struct("doc", "th")).alias("keep"))
+    status = classed.join(first, "class").select(F.col("doc").alias("__d"), F.col("th").alias("__t"), (F.struct("doc", "th") == F.col("keep")).alias("kept"), "n")
+    gone = materialize(status.filter("not kept or n > 1"), "gone")
+    same = (F.col("__doc") == F.col("__d")) & (F.col("__th") == F.col("__t"))
+    out = keyed.join(gone, same, "left_anti")
+    repeated = materialize(gone.filter("kept"), "repeated")
+    if not repeated.isEmpty():
+        out = out.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates(["__doc", "__th"]))
+    return out.select(*docs.columns)
+
+
 def keep_one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
-    """The documents without all but the one of least doc_id of each class; repeated rows count as copies.
+    """The documents without all but the one of least (doc_id, text hash) of each class of fingerprints.
 
-    Rows without a doc_id are kept. Columns are those of ``docs``.
+    Repeated rows count as copies; rows without a doc_id are kept. Columns are those of ``docs``.
     """
-    classes = near_duplicate_classes(docs, words=words)
-    gone = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
-    again = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
-    return kept.withColumn("__n", F.row_number().over(again)).filter("doc_id is null or __n = 1").drop("__n")
+
+    def classes_of(keyed: DataFrame) -> DataFrame:
+        ship_package(keyed.sparkSession)
+        fps = materialize(keyed.select("doc", "th", fingerprint_column("text", words).alias("fp")), "fingerprints")
+        # a fingerprint is named by itself: an id that has several would join their classes
+        distinct = materialize(fps.select("fp").distinct().withColumn("rep", F.col("fp")), "distinct")
+        found = connected_components(near_duplicate_links(distinct), "a", "b")
+        return fps.join(found, fps["fp"] == found["node"], "left").select("doc", "th", F.coalesce("component", "fp").alias("class"))
+
+    return one_of_each(docs, classes_of)

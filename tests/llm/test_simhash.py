@@ -103,3 +103,10 @@ def test_small_tables(spark, rows):
 def test_very_long_text(spark):
     t = "lorem ipsum dolor " * 60_000
     assert simhash.fingerprint(t.encode()) == slow_fingerprint(t)
+
+
+def test_texts_of_one_id_stay_or_go_with_their_own_class(spark):
+    a, b, c = (" ".join(words(i, 80)) for i in (1, 2, 3))
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, c), (5, c)] + [(9, " ".join(words(i, 80))) for i in range(10, 20)]
+    out = [(r["doc_id"], r["text"]) for r in simhash.keep_one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(out) == sorted([(3, a), (5, b), (5, c), *rows[6:]])
