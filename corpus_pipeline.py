@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edictum.llm import line_templates, mixing, packing, queries, rule_ensemble, simhash
+from edictum.llm import jaccard, line_templates, mixing, packing, queries, rule_ensemble
 from edictum.llm.workspace import materialize, table
 
 
@@ -26,8 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, that of least doc_id."""
-    return simhash.keep_one_of_each(docs)
+    """One document of each class of near-duplicates (5-word shingles, similarity 0.8 or more) stays, that of least doc_id."""
+    return jaccard.keep_one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
