@@ -5,9 +5,10 @@ its size; what is clamped away goes to the other sources by weight until none is
 fixed point is found at once: with sources in order of size over weight, a prefix of them is
 clamped, and the rest share what the prefix leaves. Each document is taken as many whole times
 as the epochs of its source, and the fraction left is a seeded sample: documents in the order
-of a hash, up to the one whose middle passes the fraction. That order is cut at a key, found by
-sums over hash buckets and then inside one bucket, so no source has to fit in a task; all else
-about a document is local to its row.
+of a hash of their id, then one of their text, then any, up to the one whose middle passes the
+fraction. That order is cut at a key, found by sums over ever longer prefixes of the keys, so
+neither a source nor an id or a repeated row has to fit in a task; all else about a document is
+local to its row.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from edictum.llm.workspace import broadcast_if_small, materialize
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources up to this number are broadcast, with their targets.
 FEW_SOURCES = 5_000
-#: Hex digits of the hash that make a bucket.
-DIGITS = 3
+#: Digits of a key up to the ends of: a bucket of ids, the id, a bucket of its texts, the text, the partition, the row.
+GROUP = 48
+LEVELS = (3, 32, 35, GROUP, 56, 65)
 
 
 def word_count(text: Column) -> Column:
@@ -29,9 +31,15 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def order_key(doc_id: Column, seed: int) -> Column:
-    """The seeded place of a document in its source."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))).alias("key")
+def order_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """The seeded place of a document in its source, the same for rows that are equal in id and text."""
+    return F.concat(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), F.lower(F.lpad(F.hex(F.xxhash64(text)), 16, "0")))
+
+
+def row_digits() -> Column:
+    """Digits that tell rows of a table apart, once it is written: those of the partition, then those of the row."""
+    row = F.monotonically_increasing_id()
+    return F.concat(F.lpad(F.hex(F.shiftright(row, 33)), 8, "0"), F.lpad(F.hex(row.bitwiseAND((1 << 33) - 1)), 9, "0"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max_epochs: float) -> DataFrame:
@@ -52,21 +60,23 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max_epochs
     return w.withColumn("flat", F.min_by("level", free).over(everything)).select("source", "source_size", F.coalesce(F.least("cap", F.col("flat") * F.col("w")), F.col("cap")).alias("target"))
 
 
-def _cuts(sized: DataFrame, goals: DataFrame) -> DataFrame:
+def _cuts(sized: DataFrame, goals: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """``source`` and ``cut``: documents with a key up to it are taken once more; null if none is."""
-    part = F.substring("key", 1, DIGITS).alias("bucket")
-    buckets = sized.groupBy("source", part).agg(F.sum("size").alias("n"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    placed = buckets.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    goal = goals.select(F.col("source").alias("s"), F.col("extra"))
-    # the middle of the last document taken is below ``extra``: it lies in the last bucket that begins below it and has words
-    last = placed.join(goal, F.col("source").eqNullSafe(F.col("s"))).filter("n > 0 and before < extra").groupBy("s", "extra").agg(F.max_by(F.struct("bucket", "before"), "bucket").alias("b"))
-    last = last.select("s", "extra", F.col("b.bucket").alias("last_bucket"), F.col("b.before").alias("before"))
-    inside = sized.select("source", "doc_id", "size", "key", part).join(F.broadcast(last) if goals._edictum_few else last, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("last_bucket")))
-    upto = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    taken = inside.withColumn("mid", F.col("before") + F.coalesce(F.sum("size").over(upto), F.lit(0)) + F.col("size") / 2).filter("size > 0 and mid < extra").groupBy(F.col("s").alias("t")).agg(F.max("key").alias("cut"))
-    # if even the bucket's first document is too much, all of the buckets before it are taken
-    return last.select("s", F.col("last_bucket").alias("floor")).join(taken, F.col("s").eqNullSafe(F.col("t")), "left").select(F.col("s").alias("source"), F.coalesce("cut", "floor").alias("cut"))
+    last = goals.select(F.col("source").alias("s"), "extra", F.lit("").alias("floor"), F.lit(0).cast("long").alias("before"))
+    upto = Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    rows = sized.select("source", "size", "key").filter("size > 0")
+    for digits in levels:
+        inside = rows.join(F.broadcast(last) if goals._edictum_few else last, F.col("source").eqNullSafe(F.col("s")) & F.col("key").startswith(F.col("floor")))
+        parts = inside.groupBy("s", "extra", "floor", "before", F.substring("key", 1, digits).alias("part")).agg(F.sum("size").alias("n"))
+        placed = parts.withColumn("from", F.col("before") + F.coalesce(F.sum("n").over(upto), F.lit(0)))
+        if digits == levels[-1]:
+            break
+        # the middle of the last document taken is below ``extra``: it lies in the last part that begins below it
+        found = placed.filter("from < extra").groupBy("s", "extra").agg(F.max_by(F.struct(F.col("part").alias("floor"), F.col("from").alias("before")), "part").alias("p"))
+        last = materialize(found.select("s", "extra", "p.floor", "p.before"), "cut")
+    taken = placed.filter("from + n / 2 < extra").groupBy(F.col("s").alias("t")).agg(F.max("part").alias("cut"))
+    # if even the part's first document is too much, all before the part are taken
+    return last.join(taken, F.col("s").eqNullSafe(F.col("t")), "left").select(F.col("s").alias("source"), F.coalesce("cut", "floor").alias("cut"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -74,10 +84,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
     A row of a source is taken ``whole`` times, and once more if its key is at most ``cut``. Null
     sources are one source, last in order. Null and empty texts have size 0 and are taken no words
-    of. Repeated rows are documents of their own, next to each other in the order. Rows of one
-    doc_id share a key and so a decision. An empty table gives an empty plan.
+    of. Repeated rows are documents of their own, next to each other in the order; so are rows that
+    share a doc_id, or have none, by their texts. The cut can fall between any two rows. An empty
+    table gives an empty plan.
     """
-    sized = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), order_key(F.col(id_col), seed)), "sized")
+    sized = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.concat(order_key(F.col(id_col), F.col(text_col), seed), row_digits()).alias("key")), "sized")
     goals = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs).withColumn("whole", F.coalesce(F.floor(F.try_divide("target", F.col("source_size").cast("double"))), F.lit(0)).cast("int")).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
     goals._edictum_few = goals.count() <= FEW_SOURCES
     cuts = _cuts(sized, goals).select(F.col("source").alias("s"), "cut")
@@ -99,9 +110,26 @@ def with_plan(rows: DataFrame, plan: DataFrame, source: Column) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken. Rows without words have nothing to take and go."""
     sized, plan = mix(docs, **options)
-    seed = options.get("seed", 17)
-    keyed = docs.withColumn("__key", order_key(F.col(options.get("id_col", "doc_id")), seed)).withColumn("__has", F.coalesce(F.col(options.get("text_col", "text")).rlike(WORD), F.lit(False)))
-    plan = plan.select("source", F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
-    out = with_plan(keyed.filter("__has"), plan, F.col(options.get("source_col", "source")).cast("string"))
-    n = F.col("__whole") + F.when(F.col("__key") <= F.col("__cut"), 1).otherwise(0)
+    id_col, text, source = F.col(options.get("id_col", "doc_id")), F.col(options.get("text_col", "text")), F.col(options.get("source_col", "source")).cast("string")
+    # of the rows that are equal in id and text and hold the cut: all, and those taken once more
+    at_cut = with_plan(sized.filter("size > 0").withColumnRenamed("source", "__of"), plan.select("source", "cut"), F.col("__of")).filter(F.substring("key", 1, GROUP) == F.substring("cut", 1, GROUP))
+    at_cut = at_cut.groupBy(F.col("__of").alias("of")).agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("key") <= F.col("cut")).alias("some"))
+    plan = plan.join(at_cut, F.col("source").eqNullSafe(F.col("of")), "left")
+    plan = materialize(plan.select("source", F.col("whole").alias("__whole"), F.substring("cut", 1, GROUP).alias("__cut"), F.coalesce(F.col("all"), F.lit(0)).alias("__all"), F.coalesce(F.col("some"), F.lit(0)).alias("__some")), "plan")
+    keyed = docs.withColumn("__key", order_key(id_col, text, options.get("seed", 17))).filter(F.coalesce(text.rlike(WORD), F.lit(False)))
+    out = with_plan(keyed, plan, source)
+    parted = plan.filter("0 < __some and __some < __all")
+    more = F.col("__key") < F.col("__cut")
+    if parted.isEmpty():
+        out = out.withColumn("__more", more | (F.col("__key") == F.col("__cut")) & (F.col("__some") > 0))
+    else:
+        split = (F.col("__key") == F.coalesce("__cut", F.lit(""))) & (F.col("__some") > 0) & (F.col("__some") < F.col("__all"))
+        equal = materialize(out.filter(split).withColumn("__of", source).withColumn("__row", row_digits()), "equal")
+        goals = parted.select("source", F.col("__some").alias("extra"))
+        goals._edictum_few = goals.count() <= FEW_SOURCES
+        cuts = _cuts(equal.select(F.col("__of").alias("source"), F.lit(1).alias("size"), F.col("__row").alias("key")), goals, (8, 17)).withColumnRenamed("cut", "__last")
+        equal = with_plan(equal, cuts, F.col("__of")).withColumn("__more", F.col("__row") <= F.col("__last"))
+        out = out.filter(~split).withColumn("__more", more | (F.col("__key") == F.col("__cut")) & (F.col("__some") > 0))
+        out = out.unionByName(equal.select(*out.columns))
+    n = F.col("__whole") + F.when(F.col("__more"), 1).otherwise(0)
     return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*docs.columns)

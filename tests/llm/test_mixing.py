@@ -102,3 +102,15 @@ def test_the_query_reaches_its_targets(spark):
     total, target = brute(rows)
     source = {d: s for d, s, _ in rows}
     check(rows, [r.asDict() | {"src": source[r["doc_id"]]} for r in op8_mixing(spark, "/root/testdata/sf0.01").collect()], target, total)
+
+
+def test_the_cut_falls_inside_a_group(spark):
+    """One id, no id and one repeated row each hold most of a source."""
+    rows = [(i, "a", "w " * 5) for i in range(60)] + [(7, "a", f"t{i} " * 5) for i in range(240)] + [(None, "b", f"t{i} " * 5) for i in range(300)] + [(8, "c", "same " * 5) for i in range(290)] + [(i, "c", "other " * 5) for i in range(10)]
+    total, target = brute(rows)
+    check(rows, run(spark, rows), target, total)
+    docs = mixing.mixed_documents(spark.createDataFrame(rows, SCHEMA).repartition(5))
+    words = defaultdict(int)
+    for r in docs.collect():
+        words[r["source"]] += 5
+    assert all(abs(words[s] - target[s]) <= 5 for s in total)
