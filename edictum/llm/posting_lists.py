@@ -4,7 +4,7 @@ Centroids are fitted by balanced k-means to a bounded sample of vectors. Every v
 the list of its nearest centroid and, if it lies near a boundary, to those of other centroids
 almost as near (fewer if they lie in the same direction). A query finds centroids by best-first
 search of an in-memory graph of centroids, and reads the lists of all whose distance is within
-a ratio of the least one. Lists are compared exactly, in double precision, and a list that has
+a ratio of the least one, at least a few, and more until they hold enough ids. Lists are compared exactly, in double precision, and a list that has
 many vectors or queries is dealt out in shards, so no group grows with the data. Centroids and
 graph are of bounded number and travel in closures; vectors and queries only by shuffle.
 """
@@ -38,9 +38,14 @@ class Settings:
     neighbours: int = 16  #: of a centroid in the graph
     beam: int = 112  #: centroids that a search keeps
     ratio: float = 1.3  #: distance to a centroid over that to the nearest, up to which its list is read
+    fewest: int = 4  #: lists that a query reads at least
     shard: int = 8_192  #: about so many vectors, and so many queries, meet in one group
 
 
+#: Distances that differ by less are equal: the root of 2 - 2 cos has rounding noise of about 2e-8 near 0.
+SLACK = 1e-6
+
+
 @dataclass(frozen=True)
 class Index:
     """Centroids (unit vectors), and for each its neighbours in the graph."""
@@ -58,7 +63,7 @@ class Index:
             far, i = heapq.heappop(todo)
             if len(best) >= beam and far > -best[0][0]:
                 break
-            new = [int(j) for j in self.graph[i] if j >= 0 and j not in seen]
+            new = [j for j in dict.fromkeys(self.graph[i].tolist()) if j >= 0 and j not in seen]
             seen.update(new)
             if new:
                 for j, dist in zip(new, np.sqrt(np.maximum(0, 2 - 2 * self.centroids[new] @ x)).tolist()):
@@ -71,10 +76,18 @@ class Index:
         return [j for _, j in found], [dist for dist, _ in found]
 
 
+def _apart(c: np.ndarray) -> np.ndarray:
+    """The unit vectors without those equal to an earlier one."""
+    equal = np.triu(2 - 2 * c @ c.T <= SLACK * SLACK, 1)
+    return c[~equal.any(axis=0)]
+
+
 def fit(x: np.ndarray, s: Settings) -> Index:
     """Balanced k-means over rows of unit vectors; a graph of nearest and ring neighbours over the centroids."""
-    k = max(1, min(s.lists, len(x) // s.per_list))
-    c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy() if len(x) else np.zeros((1, x.shape[1]))
+    different = x[np.sort(np.unique(x, axis=0, return_index=True)[1])]
+    k = max(1, min(s.lists, len(x) // s.per_list, len(different)))
+    c = _apart(different[np.linspace(0, len(different) - 1, k).astype(int)]) if len(x) else np.zeros((1, x.shape[1]))
+    k = len(c)
     size = np.zeros(k)
     for _ in range(s.rounds if len(x) else 0):
         full = size / max(1, len(x)) * k - 1 if size.any() else size  # over 0: larger than the mean
@@ -84,6 +97,8 @@ def fit(x: np.ndarray, s: Settings) -> Index:
         np.add.at(sums, at, x)
         norm = np.linalg.norm(sums, axis=1)
         c[norm > 0] = sums[norm > 0] / norm[norm > 0, None]
+    c = _apart(c)
+    k = len(c)
     near = c @ c.T
     np.fill_diagonal(near, -2)
     n = min(s.neighbours, k - 1)
@@ -102,7 +117,7 @@ def lists_of(x: np.ndarray, index: Index, s: Settings) -> list[list[int]]:
     for d, candidates in zip(dist, order.tolist()):
         chosen: list[int] = []
         for j in candidates:
-            if chosen and d[j] > s.boundary * d[candidates[0]] + 1e-12:
+            if chosen and d[j] > s.boundary * d[candidates[0]] + SLACK:
                 break
             if all(between[j, i] > d[j] for i in chosen):
                 chosen.append(j)
@@ -112,6 +127,18 @@ def lists_of(x: np.ndarray, index: Index, s: Settings) -> list[list[int]]:
     return out
 
 
+def lists_to_read(x: np.ndarray, index: Index, s: Settings, ids: np.ndarray, k: int) -> list[int]:
+    """The lists that a query reads: those within the ratio, at least ``fewest``, and by distance until they hold k ids besides its own.
+
+    ``ids`` counts for each list its ids, each as its share of the lists that it stands in.
+    """
+    near, dist = index.search(x, s.beam)
+    n = max(s.fewest, sum(d <= s.ratio * dist[0] + SLACK for d in dist))
+    held = np.cumsum(ids[near])
+    n = max(n, int(np.searchsorted(held, k + 1 - 1e-6)) + 1)
+    return near[:n] if n <= len(near) or held[-1] > k else list(range(len(ids)))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
@@ -142,16 +169,15 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, settings: Settings
     x = _matrix(sample["v"].combine_chunks())
     index = fit(x / np.linalg.norm(x, axis=1, keepdims=True), settings)
 
-    def assign(queries: bool):
+    def assign(ids: np.ndarray | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 2048):
                     part = batch.slice(at, 2048)
                     x = _matrix(part.column(1))
                     x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    if queries:
-                        found = (index.search(q, settings.beam) for q in x)
-                        lists = [[j for j, d in zip(*f) if d <= settings.ratio * f[1][0] + 1e-12] for f in found]
+                    if ids is not None:
+                        lists = [lists_to_read(q, index, settings, ids, k) for q in x]
                     else:
                         lists = lists_of(x, index, settings)
                     take = pa.array(np.repeat(np.arange(len(lists)), [len(z) for z in lists]))
@@ -160,8 +186,13 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, settings: Settings
         return run
 
     kind = "vec_id bigint, v array<double>, list int"
-    posted = materialize(rows.mapInArrow(assign(False), kind), "posted")
-    asked = materialize(rows.filter(F.col("vec_id") % every == 0).mapInArrow(assign(True), kind), "asked")
+    posted = materialize(rows.mapInArrow(assign(None), kind), "posted")
+    # at most ``lists`` rows
+    stands = posted.groupBy("vec_id").agg(F.collect_set("list").alias("in"))
+    held = stands.select(F.explode("in").alias("list"), (1 / F.size("in")).alias("share")).groupBy("list").agg(F.sum("share").alias("share")).collect()
+    ids = np.zeros(len(index.centroids))
+    ids[[r["list"] for r in held]] = [r["share"] for r in held]
+    asked = materialize(rows.filter(F.col("vec_id") % every == 0).mapInArrow(assign(ids), kind), "asked")
     # how many shards each list has on either side: at most ``lists`` rows
     parts = lambda df, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / settings.shard).cast("int").alias(name))
     shards = F.broadcast(parts(posted, "np").join(parts(asked, "nq"), "list"))
@@ -178,6 +209,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, settings: Settings
         ids, asking = (t["vec_id"].to_numpy() for t in (have, want))
         order = np.argsort(ids, kind="stable")
         x, ids = x[order], ids[order]
+        starts = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))  # of each id
         norms, y_norms = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
         out_q, out_v, out_s = [], [], []
         for at in range(0, len(y), 256):
@@ -186,10 +218,12 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, settings: Settings
             for i, (q, r) in enumerate(zip(asking[at : at + 256], rough), at):
                 r = np.where(ids == q, -np.inf, r)
                 # all that may reach the k-th largest are scored alike, so that equal vectors tie
-                least = np.partition(r, -min(k, len(r)))[-min(k, len(r))]
+                each = np.maximum.reduceat(r, starts) if len(starts) < len(r) else r
+                least = np.partition(each, -min(k, len(each)))[-min(k, len(each))]
                 best = np.flatnonzero((r >= least - 1e-9) & (r > -np.inf))
                 s = (x[best] * y[i]).sum(axis=1) / (norms[best] * y_norms[i])
-                first = np.argsort(-s, kind="stable")[:k]
+                first = np.argsort(-s, kind="stable")
+                first = first[np.sort(np.unique(ids[best[first]], return_index=True)[1])[:k]]
                 best, s = best[first], s[first]
                 out_q.append(np.full(len(best), q))
                 out_v.append(ids[best])

@@ -54,3 +54,24 @@ def test_few_rows_and_none(spark):
     assert {q: [i for i, _ in f] for q, f in got(nearest(spark.createDataFrame(rows, SCHEMA))).items()} == {0: [2, 1]}
     assert nearest(spark.createDataFrame([], SCHEMA)).count() == 0
     assert nearest(spark.createDataFrame([(0, [1.0])], SCHEMA)).count() == 0
+
+
+def test_a_query_at_a_centroid_is_refilled(spark):
+    rows = [(i, np.eye(12)[i].tolist()) for i in range(12)]
+    found = got(nearest(spark.createDataFrame(rows, SCHEMA), every=2, settings=Settings(per_list=1)))
+    assert sorted(found) == [0, 2, 4, 6, 8, 10] and all(len(f) == 5 for f in found.values())
+
+
+def test_a_third_copies_of_one_vector(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2400, 24))
+    x[::3] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    found = got(nearest(spark.createDataFrame(rows, SCHEMA), settings=Settings(sample=2000, lists=32, per_list=10)))
+    assert all(len(f) == 5 for f in found.values()) and recall(found, brute(rows)) >= 0.9
+
+
+def test_a_repeated_id_takes_one_rank(spark):
+    rows = [(1, [1.0, 0.1])] * 400 + [(i, [1.0, i / 10]) for i in (0, *range(2, 60))]
+    found = got(nearest(spark.createDataFrame(rows, SCHEMA), settings=Settings(per_list=16)))
+    assert [i for i, _ in found[0]] == [1, 2, 3, 4, 5]
