@@ -15,8 +15,8 @@ from edictum.plans.compile import score
 from edictum.plans.evaluate import decide
 from edictum.plans.ir import Rule, inputs, rule_from
 from edictum.sources import programs
-from edictum.sources.cobol_rules import Extraction, extract
-from edictum.sources.cobol_text import INCLUDES, read_source
+from edictum.sources.rule_reader import Extraction, extract
+from edictum.sources.program_text import INCLUDES, read_source
 
 Progress = Callable[[str, int, int], None]
 

@@ -13,8 +13,8 @@ from collections.abc import Callable
 
 from edictum.operators import export
 from edictum.plans import canon
-from edictum.sources.cobol_rules import Extraction, extract
-from edictum.sources.cobol_text import INCLUDES, read_source
+from edictum.sources.rule_reader import Extraction, extract
+from edictum.sources.program_text import INCLUDES, read_source
 
 
 def _read(path: str, folders: list[str]) -> Extraction:

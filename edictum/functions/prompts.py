@@ -10,8 +10,8 @@ import re
 
 from edictum.operators.export import describe_action, describe_condition
 from edictum.plans.ir import Action
-from edictum.sources.cobol_rules import Slice
-from edictum.sources.cobol_text import split_comment
+from edictum.sources.rule_reader import Slice
+from edictum.sources.program_text import split_comment
 
 FENCE = "~~~"
 

@@ -14,7 +14,7 @@ from edictum.operators import graph as graphs
 from edictum.operators.ordered import previous
 from edictum.plans import compile as rc
 from edictum.plans.ir import Action, Condition, Rule, Trace, leaf
-from edictum.sources import cobol_rules, cobol_text, cobol_tree
+from edictum.sources import rule_reader, program_text, program_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -238,8 +238,8 @@ RATE_TABLE = """
 
 
 @lru_cache(maxsize=4)
-def _extracted(source: str) -> cobol_rules.Extraction:
-    return cobol_rules.extract(cobol_text.read_source("query.cbl", source))
+def _extracted(source: str) -> rule_reader.Extraction:
+    return rule_reader.extract(program_text.read_source("query.cbl", source))
 
 
 @_query("select c_custkey, coalesce(r.rate, 0.050)::double as ws_rate, case when r.rate is null then 'N' else 'Y' end as ws_found from customer left join (values ('BUILDING', 0.015), ('MACHINERY', 0.025), ('HOUSEHOLD', 0.040)) r(seg, rate) on c_mktsegment = seg")
@@ -541,7 +541,7 @@ WORKING-STORAGE SECTION.
 
 @lru_cache(maxsize=2)
 def _layout() -> codec.Layout:
-    program: cobol_tree.Program = _extracted(RECORD).program
+    program: program_tree.Program = _extracted(RECORD).program
     return codec.Layout(program.dictionary)
 
 

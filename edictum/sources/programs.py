@@ -19,8 +19,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from edictum.plans.ir import NAME, base_name, leaves
 from edictum.shipping import ship_package
-from edictum.sources.cobol_rules import extract
-from edictum.sources.cobol_text import COPY_DEPTH, INCLUDES, JOBS, PROGRAMS, read_source
+from edictum.sources.rule_reader import extract
+from edictum.sources.program_text import COPY_DEPTH, INCLUDES, JOBS, PROGRAMS, read_source
 from edictum.sources.jcl import parse_jcl
 
 _COPY = r"(?i)(?<![\w-])COPY\s+[\"']?([\w-]+)"

@@ -10,8 +10,8 @@ from typing import Any
 
 from edictum.plans.canon import FLIPPED, NEGATED
 from edictum.plans.ir import Condition
-from edictum.sources.cobol_text import Source, Token, tokenize
-from edictum.sources.cobol_tree import Item, Operand, Paragraph, Part, Program, Statement, number
+from edictum.sources.program_text import Source, Token, tokenize
+from edictum.sources.program_tree import Item, Operand, Paragraph, Part, Program, Statement, number
 
 #: Fixed values of the language.
 VERBS = frozenset("ACCEPT ADD ALTER CALL CANCEL CLOSE COMPUTE CONTINUE DELETE DISPLAY DIVIDE EVALUATE EXEC EXIT GENERATE GO GOBACK IF INITIALIZE INITIATE INSPECT MERGE MOVE MULTIPLY NEXT OPEN PERFORM READ RELEASE RETURN REWRITE SEARCH SET SORT START STOP STRING SUBTRACT TERMINATE UNSTRING WRITE".split())
