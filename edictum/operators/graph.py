@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edictum.workspace import discard, materialize, materialize_counted
+
 
 @dataclass
 class Graph:
@@ -89,17 +91,21 @@ def build_graph(programs: DataFrame, steps: DataFrame, includes: DataFrame) -> G
 def closure(edges: DataFrame, start: DataFrame, max_depth: int = 1000) -> DataFrame:
     """``node``, ``depth`` of all nodes from which a start node is reached along src to dst; the start has depth 0.
 
-    One join a level over the frontier only; ``edges`` has src and dst, ``start`` has node.
+    One join a level, over the frontier only; each level is written once, and its job counts it.
+    ``edges`` has src and dst, ``start`` has node. Raises RuntimeError if nodes are left after
+    ``max_depth`` levels, rather than return a part.
     """
-    back = edges.select("src", "dst").distinct()
-    seen = frontier = start.select("node").distinct().withColumn("depth", F.lit(0))
-    for depth in range(1, max_depth + 1):
-        new = frontier.join(back, F.col("node") == F.col("dst")).select(F.col("src").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
-        new = new.checkpoint() if depth % 8 == 0 and edges.sparkSession.conf.get("spark.checkpoint.dir", None) else new.cache()
-        if new.isEmpty():
-            break
-        seen, frontier = seen.unionByName(new), new
-    return seen
+    back = materialize(edges.select("src", "dst").distinct(), "edges")
+    frontier, n = materialize_counted(start.select("node").distinct().withColumn("depth", F.lit(0)), "level")
+    seen = frontier
+    for depth in range(1, max_depth + 2):
+        reached = frontier.join(back, F.col("node") == F.col("dst")).select(F.col("src").alias("node")).distinct()
+        frontier, n = materialize_counted(reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "level")
+        if not n:
+            discard(back)
+            return seen
+        seen = seen.unionByName(frontier)
+    raise RuntimeError(f"there are nodes beyond depth {max_depth}")
 
 
 def impact(graph: Graph, programs: DataFrame, kind: str, name: str) -> dict[str, DataFrame]:

@@ -1,19 +1,20 @@
 """Running sums and previous rows over a whole table, without one task that holds it.
 
 Rows are dealt out by ranges of the order; what a range needs of those before it is a row a
-range, and inside a range a window does the rest. The ranges are kept while they are used, so
-both sides see the same ones.
+range, and inside a range a window does the rest. The dealt rows are written once, so both sides
+see the same ranges, and a lost executor costs a re-read.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from edictum.workspace import materialize
+
 
 def _ranges(df: DataFrame, order: str) -> DataFrame:
-    return df.repartitionByRange(order).withColumn("__range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    return materialize(df.repartitionByRange(order).withColumn("__range", F.spark_partition_id()), "ranges")
 
 
 def running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
