@@ -1,15 +1,17 @@
 """Line dedup by a log-template tree of fixed depth.
 
-A line's place in the tree is the number of its tokens and then its first DEPTH tokens, with
-tokens that hold a digit read as ``<*>``. A leaf has one template: at each place the token that
-most of its lines have (of ties, the least). Lines that agree with it in at least SIMILAR of
-their places are lines of the template, whose other fields are variable; any other line is a
-template of its own, with digits generalised. A template that recurs in several documents is
-dropped wherever it stands but in its first place, the least by document and line. Lines of
-fewer than SHORTEST tokens are left alone.
-
-Lines travel as hashes; their words are looked at again only in leaves with several different
-lines. Everything is counted by aggregates that combine before the shuffle.
+Tokens that hold a digit are read as ``<*>``. A line's leaf in the tree is the number of its
+tokens and the first DEPTH of them. A leaf holds any number of templates: each of its lines as
+it is, and each of its lines with one run of tokens after the leading ones left open, of a fifth
+of the line's tokens (in lines of at least FIFTH tokens), so that the lines of a template agree
+in at least four fifths of their places. A template that stands in several documents recurs, and
+is dropped wherever it stands but in its first place, the least by document and line. Lines and
+templates without a token that is no ``<*>`` say nothing: they are left alone, as blank lines
+are. Short lines have only themselves as a template.
+
+Lines travel as hashes, templates are keys: what recurs is found by aggregates that combine
+before the shuffle, and no task holds a leaf. Keys that hold very many lines are met by
+broadcasting them, and there can be only few of those.
 """
 
 from __future__ import annotations
@@ -17,12 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edictum.llm.workspace import materialize
+from edictum.llm.workspace import join_unevenly, materialize, materialize_counted
 
 DEPTH = 4
-SIMILAR = 0.8
-SHORTEST = 4
-DOCUMENTS = 2
+FIFTH = 5
 FIELD = "<*>"
 
 
@@ -32,16 +32,21 @@ def masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.regexp_replace(spaced, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(spaced)
 
 
-def _place(m: Column) -> Column:
-    """Of a masked line: its tokens, its leaf, and 128 bits that stand for it."""
-    n = (F.octet_length(m) - F.octet_length(F.replace(m, F.lit(" "), F.lit(""))) + 1).alias("n")
-    return F.struct(n, F.xxhash64(n, F.substring_index(m, " ", DEPTH)).alias("leaf"), F.xxhash64(m).alias("h1"), F.xxhash64(F.lit(1), m).alias("h2"))
+def _place(tokens: Column) -> Column:
+    """Of a line's tokens: its leaf, a hash of the line, hashes of its open templates, and whether it says anything."""
+    n, leading = F.size(tokens), F.slice(tokens, 1, DEPTH)
+    says = lambda of: F.exists(of, lambda t: (t != FIELD) & (t != ""))
+    run = F.floor(n / FIFTH).cast("int")
+    runs = F.sequence(F.lit(0), F.ceil((n - DEPTH) / run).cast("int") - 1)
+    without = lambda j: F.xxhash64(j, F.slice(tokens, DEPTH + 1, j * run), F.slice(tokens, DEPTH + 1 + (j + 1) * run, n))
+    templates = F.when((n >= FIFTH) & says(leading), F.transform(runs, without))
+    return F.struct(F.xxhash64(n, leading).alias("leaf"), F.xxhash64(tokens).alias("h"), templates.alias("open"), says(tokens).alias("says"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Each line of at least SHORTEST tokens: document, number, leaf and hashes. The text itself is not exploded."""
-    each = F.transform(F.transform(F.split("text", "\n"), masked), _place)
-    return docs.select("doc", "th", F.posexplode(each).alias("line_no", "l")).filter(F.col("l.n") >= SHORTEST).select("doc", "th", "line_no", "l.leaf", "l.h1", "l.h2")
+    """Each line that says anything: document, number and hashes. The text itself is not exploded."""
+    each = F.transform(F.transform(F.split("text", "\n"), lambda x: F.split(masked(x), " ")), _place)
+    return docs.select("doc", "th", F.posexplode(each).alias("line_no", "l")).filter("l.says").select("doc", "th", "line_no", "l.leaf", "l.h", "l.open")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -49,29 +54,24 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
     ``docs`` has doc (an id), th (a hash of the text) and text.
     """
-    lines = materialize(_lines(docs), "lines")
+    lines, n_lines = materialize_counted(_lines(docs), "lines")
+    place = F.struct("doc", "line_no", "th")
     # each different line: its first place, the last document that has it, and how often it stands
-    by_line = lines.groupBy("leaf", "h1", "h2").agg(F.min(F.struct("doc", "line_no", "th")).alias("first"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("rows"))
-    by_line = materialize(by_line, "by_line")
-    # leaves with different lines, from several documents: their words decide
-    mixed = by_line.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("first.doc").alias("a"), F.max("most").alias("b")).filter("n > 1 and a <> b").select("leaf")
-    wanted = by_line.join(mixed, "leaf", "left_semi").groupBy(F.col("first.doc").alias("d"), F.col("first.th").alias("t")).agg(F.collect_list(F.struct("leaf", "h1", "h2", "first", "most", "rows")).alias("open"))
-    seen = docs.hint("merge").join(wanted.hint("merge"), (F.col("doc") == F.col("d")) & (F.col("th") == F.col("t"))).dropDuplicates(["doc", "th"])
-    words = seen.select(F.split("text", "\n").alias("all"), F.explode("open").alias("o")).select("o.*", masked(F.get("all", F.col("o.first.line_no"))).alias("masked"))
-    words = materialize(words.select("leaf", "h1", "h2", "first", "most", "rows", F.split("masked", " ").alias("tokens")), "words")
-    votes = words.select("leaf", "rows", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.sum("rows").alias("rows"))
-    # at each place of a leaf the token of most rows, of ties the least: the order of (-rows, token)
-    usual = votes.groupBy("leaf", "at").agg(F.min(F.struct((-F.col("rows")).alias("r"), "token")).alias("u"))
-    usual = usual.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "u.token"))), lambda x: x["token"]).alias("usual"))
-    same = F.size(F.filter(F.zip_with("tokens", "usual", lambda a, b: a == b), lambda x: x))
-    general = words.join(usual, "leaf").filter(same >= SIMILAR * F.size("tokens")).select("leaf", "h1", "h2", "first", "most")
-    general = materialize(general, "general")
-    # templates that recur, line by line, with the one place to keep
-    leaf = general.groupBy("leaf").agg(F.min("first").alias("keep"), F.max("most").alias("most")).filter("keep.doc <> most").select("leaf", "keep")
-    varied = general.join(leaf, "leaf").select("h1", "h2", "keep")
-    exact = by_line.filter("first.doc <> most").join(general.select("h1", "h2"), ["h1", "h2"], "left_anti").select("h1", "h2", F.col("first").alias("keep"))
-    recurring = materialize(varied.unionByName(exact), "recurring")
-    gone = lines.select("doc", "th", "line_no", "h1", "h2").join(recurring, ["h1", "h2"]).filter(F.struct("doc", "line_no", "th") != F.col("keep"))
+    by_line = lines.groupBy("leaf", "h").agg(F.min(place).alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("rows"), F.first("open").alias("open"))
+    by_line, n_different = materialize_counted(by_line, "by_line")
+    # leaves with different lines, from several documents: only their lines can have open templates that recur
+    leaves = by_line.filter("open is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("first.doc").alias("a"), F.max("last").alias("b")).filter("n > 1 and a <> b").select("leaf", "n")
+    some = join_unevenly(by_line.filter("open is not null").select("leaf", "h", "first", "last", "open"), leaves, ["leaf"], "n", n_different)
+    opened, n_open = materialize_counted(some.select("leaf", "h", "first", "last", F.explode("open").alias("template")), "open")
+    templates = opened.groupBy("leaf", "template").agg(F.min("first").alias("keep"), F.max("last").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1 and keep.doc <> last").select("leaf", "template", "keep", "n")
+    varied = join_unevenly(opened.select("leaf", "h", "template"), materialize(templates, "templates"), ["leaf", "template"], "n", n_open)
+    # the one place that each line of a recurring template leaves alone: the first of all its templates
+    varied = varied.groupBy("leaf", "h").agg(F.min("keep").alias("other"))
+    keep = F.when(F.col("first.doc") != F.col("last"), F.least("first", F.coalesce("other", "first"))).otherwise(F.col("other"))
+    recurring = by_line.select("leaf", "h", "first", "last", "rows").join(varied, ["leaf", "h"], "left").select("leaf", "h", "rows", keep.alias("keep")).filter("keep is not null")
+    # a line that stands once, in the place to keep, loses nothing
+    recurring = materialize(recurring, "recurring")
+    gone = join_unevenly(lines.select("doc", "th", "line_no", "leaf", "h"), recurring, ["leaf", "h"], "rows", n_lines).filter(place != F.col("keep"))
     return gone.groupBy("doc", "th").agg(F.collect_set("line_no").alias("gone"))
 
 
@@ -82,7 +82,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     same lines. A template that recurs only inside one doc_id isn't dropped. Null texts stay null,
     with no lines; documents that lose all lines have an empty text. Rows without an id take no
     part and stay as they are. An empty table gives no rows. Columns named n_lines or n_dropped
-    are replaced.
+    are replaced. A document of very many lines takes time in proportion to them.
     """
     text = F.col(text_col)
     keyed = docs.withColumn("__doc", F.col(id_col).cast("long")).withColumn("__th", F.xxhash64(text))
@@ -90,7 +90,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = gone.select(F.col("doc").alias("__d"), F.col("th").alias("__t"), F.col("gone").alias("__gone"))
     out = keyed.hint("merge").join(gone.hint("merge"), (F.col("__doc") == F.col("__d")) & (F.col("__th") == F.col("__t")), "left")
     lines = F.split(text, "\n")
-    kept = F.filter(lines, lambda _, i: ~F.array_contains("__gone", i))
+    # places by a hash set, not line by line against all that go
+    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    out = out.withColumn("__lines", F.when(F.col("__gone").isNotNull(), lines))
+    kept = F.transform(left, lambda i: F.get(F.col("__lines"), i))
     out = out.withColumn("n_lines", F.when(text.isNull(), 0).otherwise(F.size(lines))).withColumn("n_dropped", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")))
     out = out.withColumn(text_col, F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n")).otherwise(text))
     extra = [c for c in ("n_lines", "n_dropped") if c not in docs.columns]

@@ -100,18 +100,13 @@ with each as (
   from documents where doc_id is not null and text is not null),
 spaced as (select doc_id, line_no, trim(regexp_replace(line, '[ \\t\\x0B\\f\\r]+', ' ', 'g'), ' ') as s from each),
 masked as (select doc_id, line_no, list_transform(string_split(s, ' '), lambda w: case when regexp_matches(w, '[0-9]') then '<*>' else w end) as words from spaced),
-lines as (select *, len(words) as n, len(words) || ' ' || array_to_string(words[1:{line_templates.DEPTH}], ' ') as leaf, array_to_string(words, ' ') as line from masked where len(words) >= {line_templates.SHORTEST}),
-by_line as (select leaf, line, any_value(words) as words, count(*) as n_rows, min(doc_id) as lo, max(doc_id) as hi from lines group by 1, 2),
-mixed as (select leaf from by_line group by 1 having count(*) > 1 and min(lo) <> max(hi)),
-tokens as (select leaf, line, n_rows, unnest(words) as token, unnest(range(len(words))) as spot from by_line where leaf in (select leaf from mixed)),
-votes as (select leaf, spot, token, sum(n_rows) as n from tokens group by 1, 2, 3),
-usual as (select leaf, spot, token from votes qualify row_number() over (partition by leaf, spot order by n desc, token) = 1),
-general as (select t.leaf, t.line from tokens t join usual u on t.leaf = u.leaf and t.spot = u.spot group by 1, 2 having sum((t.token = u.token)::int) >= {line_templates.SIMILAR} * count(*)),
-template as (select b.leaf, b.line, case when g.line is null then 'L' || b.line else 'T' end as template, lo, hi from by_line b left join general g on b.leaf = g.leaf and b.line = g.line),
-recurring as (select leaf, template from template group by 1, 2 having min(lo) <> max(hi)),
-repeats as (select l.doc_id, l.line_no, row_number() over (partition by l.leaf, t.template order by l.doc_id, l.line_no) as nth
-  from lines l join template t on l.leaf = t.leaf and l.line = t.line join recurring r on r.leaf = t.leaf and r.template = t.template),
-gone as (select doc_id, line_no from repeats where nth > 1),
+lines as (select doc_id, line_no, words, len(words) as n, len(words) // {line_templates.FIFTH} as run, len(list_filter(words, lambda w: w not in ('<*>', ''))) > 0 as says, len(list_filter(words[1:{line_templates.DEPTH}], lambda w: w not in ('<*>', ''))) > 0 as begins from masked),
+opened as (select *, unnest(range({line_templates.DEPTH}, n, run)) as at from lines where n >= {line_templates.FIFTH} and begins),
+template as (
+  select doc_id, line_no, -1 as at, array_to_string(words, ' ') as t from lines where says
+  union all select doc_id, line_no, at, n || ' ' || array_to_string(words[1:at], ' ') || chr(10) || array_to_string(words[at + run + 1:], ' ') from opened),
+places as (select doc_id, line_no, min((doc_id, line_no)) over w as first, min(doc_id) over w <> max(doc_id) over w as recurs from template window w as (partition by at, t)),
+gone as (select distinct doc_id, line_no from places where recurs and (doc_id, line_no) <> first),
 kept as (select e.doc_id, count(*) as n_lines, count(g.line_no) as n_dropped, coalesce(string_agg(e.line, chr(10) order by e.line_no) filter (where g.line_no is null), '') as kept
   from each e left join gone g on e.doc_id = g.doc_id and e.line_no = g.line_no group by 1)
 select doc_id, n_lines::bigint as n_lines, n_dropped::bigint as n_dropped, md5(kept) as kept_md5 from kept""",

@@ -1,65 +1,16 @@
-"""Where intermediate tables and files go: the folder that all executors share.
-
-A written table cuts lineage (a lost executor costs a re-read, not a re-run) and gives the
-optimizer true sizes. On a cluster the folder is the one named in ``spark.checkpoint.dir``;
-only where that is unset, as in unit tests, a temporary folder is made and set.
-"""
+"""The shared workspace, and the input tables."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
-from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edictum.workspace import broadcast_if_small, discard, fresh_path, materialize, materialize_counted, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, without a slash at the end."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="edictum-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def _delete(sc: SparkContext, path: str) -> None:
-    where = sc._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing uses yet, in a folder of the application that goes when the driver ends."""
-    sc = spark.sparkContext
-    own = f"{shared_dir(spark)}/edictum/{sc.applicationId}"
-    if getattr(sc, "_edictum_folder", None) != own:
-        sc._edictum_folder = own
+__all__ = ["broadcast_if_small", "discard", "fresh_path", "join_unevenly", "materialize", "materialize_counted", "shared_dir", "table"]
 
-        def clean() -> None:
-            with contextlib.suppress(Exception):  # the JVM may have ended first
-                _delete(sc, own)
-
-        atexit.register(clean)
-    return f"{own}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._edictum_path = path
-    return out
-
-
-def discard(df: DataFrame | None) -> None:
-    """Delete a materialized table that nothing will read again."""
-    path = getattr(df, "_edictum_path", None)
-    if path:
-        _delete(df.sparkSession.sparkContext, path)
+#: A key is heavy if it has over 1/HEAVY of an even partition's rows, so there are fewer than HEAVY heavy keys a partition.
+HEAVY = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows; else as it is, so that the join shuffles."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def join_unevenly(rows: DataFrame, verdicts: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """``rows`` joined with ``verdicts`` on keys of any skew; ``weight`` is not kept.
+
+    ``verdicts`` has each key once, with its number of rows as ``weight``; ``total`` is the number
+    of all rows. Rows of heavy keys stay where they are: their verdicts, of which there are fewer
+    than HEAVY a shuffle partition, are broadcast. The others are shuffled.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = F.col(weight) > total // (HEAVY * parts)
+    few, many = F.broadcast(verdicts.filter(heavy).drop(weight)), verdicts.filter(~heavy).drop(weight)
+    return rows.join(few, on).unionByName(rows.join(few, on, "left_anti").join(many, on))
