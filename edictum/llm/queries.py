@@ -101,11 +101,11 @@ with each as (
 spaced as (select doc_id, line_no, trim(regexp_replace(line, '[ \\t\\x0B\\f\\r]+', ' ', 'g'), ' ') as s from each),
 masked as (select doc_id, line_no, list_transform(string_split(s, ' '), lambda w: case when regexp_matches(w, '[0-9]') then '<*>' else w end) as words from spaced),
 lines as (select doc_id, line_no, words, len(words) as n, len(words) // {line_templates.FIFTH} as run, len(list_filter(words, lambda w: w not in ('<*>', ''))) > 0 as says, len(list_filter(words[1:{line_templates.DEPTH}], lambda w: w not in ('<*>', ''))) > 0 as begins from masked),
-opened as (select *, unnest(range({line_templates.DEPTH}, n, run)) as at from lines where n >= {line_templates.FIFTH} and begins),
+opened as (select *, unnest(range({line_templates.DEPTH}, n, run)) as spot from lines where n >= {line_templates.FIFTH} and begins),
 template as (
-  select doc_id, line_no, -1 as at, array_to_string(words, ' ') as t from lines where says
-  union all select doc_id, line_no, at, n || ' ' || array_to_string(words[1:at], ' ') || chr(10) || array_to_string(words[at + run + 1:], ' ') from opened),
-places as (select doc_id, line_no, min((doc_id, line_no)) over w as first, min(doc_id) over w <> max(doc_id) over w as recurs from template window w as (partition by at, t)),
+  select doc_id, line_no, -1 as spot, array_to_string(words, ' ') as t from lines where says
+  union all select doc_id, line_no, spot, n || ' ' || array_to_string(words[1:spot], ' ') || chr(10) || array_to_string(words[spot + run + 1:], ' ') from opened),
+places as (select doc_id, line_no, min((doc_id, line_no)) over w as first, min(doc_id) over w <> max(doc_id) over w as recurs from template window w as (partition by spot, t)),
 gone as (select distinct doc_id, line_no from places where recurs and (doc_id, line_no) <> first),
 kept as (select e.doc_id, count(*) as n_lines, count(g.line_no) as n_dropped, coalesce(string_agg(e.line, chr(10) order by e.line_no) filter (where g.line_no is null), '') as kept
   from each e left join gone g on e.doc_id = g.doc_id and e.line_no = g.line_no group by 1)
