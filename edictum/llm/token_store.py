@@ -3,16 +3,18 @@
 A shard (all numbers little-endian): MAGIC; the 64-bit words of all blocks; escaped ids (u64);
 the number of words of each block (u16); of each document doc_id (i64), whether it has one (u8)
 and its number of ids (i64); last a footer of 5 i64: numbers of ids, documents, blocks, words
-and escapes. Shards are numbered by the range of doc_id that they hold, so the concatenation
-of all shards is the corpus in order, and a reader finds any block by the sums of the word
-counts. Each task writes its shard under a name of its own and renames it when it is whole, so
-a repeated task does no harm.
+and escapes. Shards are numbered by the range of documents that they hold and the place in it,
+so the concatenation of all shards is the corpus in order, and a reader finds any block by the
+sums of the word counts. A task begins a new shard when the last one holds SHARD_IDS ids or
+SHARD_DOCS documents, so neither a shard nor a reader grows with the corpus. Each shard is
+written under a name of its own and renamed when it is whole, so a repeated task does no harm.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,9 @@ from edictum.shipping import ship_package
 MAGIC = b"EDS8B\x00\x00\x01"
 #: Ids that are coded or decoded at once.
 CHUNK = 1 << 20
-SHARDS = "shard int, path string, n_docs bigint, n_tokens bigint"
+#: Ids, and documents, after which a shard ends.
+SHARD_IDS, SHARD_DOCS = 1 << 26, 1 << 20
+SHARDS = "shard int, part int, path string, n_docs bigint, n_tokens bigint"
 
 
 def _open(uri: str) -> tuple[pa.fs.FileSystem, str]:
@@ -46,13 +50,15 @@ class ShardWriter:
         self.out.write(MAGIC)
         self.waiting: list[bytes] = []
         self.n_waiting = self.n_ids = self.n_escapes = self.n_words = 0
-        self.docs: list[tuple[int, int, int]] = []
+        self.doc_ids, self.known, self.lengths = array("q"), array("B"), array("q")
         self.escapes: list[np.ndarray] = []
         self.blocks: list[np.ndarray] = []
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         """Ids are unsigned 32-bit numbers in bytes."""
-        self.docs.append((doc_id or 0, doc_id is not None, len(ids) // 4))
+        self.doc_ids.append(doc_id or 0)
+        self.known.append(doc_id is not None)
+        self.lengths.append(len(ids) // 4)
         self.waiting.append(ids)
         self.n_waiting += len(ids) // 4
         if self.n_waiting >= CHUNK:
@@ -67,6 +73,11 @@ class ShardWriter:
         self.escapes.append(escapes)
         self.blocks.append(per_block)
 
+    @property
+    def full(self) -> bool:
+        """Whether the shard should end here."""
+        return self.n_ids + self.n_waiting >= SHARD_IDS or len(self.lengths) >= SHARD_DOCS
+
     def abort(self) -> None:
         """Leave nothing behind."""
         self.out.close()
@@ -76,12 +87,12 @@ class ShardWriter:
         """Numbers of documents and ids."""
         self._code(self.n_waiting)
         per_block = np.concatenate(self.blocks)
-        docs = np.array(self.docs, dtype=np.int64).reshape(-1, 3)
-        for x, kind in ((np.concatenate(self.escapes), "<u8"), (per_block, "<u2"), (docs[:, 0], "<i8"), (docs[:, 1], "u1"), (docs[:, 2], "<i8"), (np.array([self.n_ids, len(docs), len(per_block), self.n_words, self.n_escapes]), "<i8")):
-            self.out.write(x.astype(kind).tobytes())
+        n_docs = len(self.lengths)
+        for x, kind in ((np.concatenate(self.escapes), "<u8"), (per_block, "<u2"), (self.doc_ids, "<i8"), (self.known, "u1"), (self.lengths, "<i8"), ([self.n_ids, n_docs, len(per_block), self.n_words, self.n_escapes], "<i8")):
+            self.out.write(np.asarray(x).astype(kind).tobytes())
         self.out.close()
         self.fs.move(self.part, self.path)
-        return len(docs), self.n_ids
+        return n_docs, self.n_ids
 
 
 def read_shard(uri: str) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -118,30 +129,43 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int, id_
 
     ``out_dir`` is a URI that all executors can write to. Null and empty texts have the end id
     alone; null doc_ids come first; rows of one doc_id follow each other in the order of a hash
-    of the text, repeated rows side by side. An empty table gives shards without documents, or
-    none. The returned table is written out and has as many rows as shards, so reading it
-    doesn't encode again.
+    of the text, repeated rows side by side. Ranges end between any two rows, so neither an id nor
+    a repeated row has to fit in a task. An empty table gives shards without documents, or none.
+    The returned table is written out and has as many rows as shards, so reading it doesn't
+    encode again.
     """
     end = int(end_id).to_bytes(4, "little")
+    kinds = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId()
+        shard, part = TaskContext.get().partitionId(), 0
         fs, path = _open(out_dir)
         fs.create_dir(path, recursive=True)
-        uri = f"{out_dir}/shard-{shard:06d}.eds8b"
-        out, encode = ShardWriter(uri), encoder(tokenizer).encode_column
+        encode = encoder(tokenizer).encode_column
+        uri = lambda: f"{out_dir}/shard-{shard:06d}-{part:04d}.eds8b"
+        out = ShardWriter(uri())
+
+        def done() -> pa.RecordBatch:
+            n_docs, n_tokens = out.close()
+            return pa.RecordBatch.from_pylist([{"shard": shard, "part": part, "path": uri(), "n_docs": n_docs, "n_tokens": n_tokens}], kinds)
+
         try:
             for batch in batches:
                 for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                    if out.full:
+                        yield done()
+                        part += 1
+                        out = ShardWriter(uri())
                     out.add(doc_id, ids + end)
         except BaseException:
             out.abort()
             raise
-        n_docs, n_tokens = out.close()
-        yield pa.RecordBatch.from_pylist([{"shard": shard, "path": uri, "n_docs": n_docs, "n_tokens": n_tokens}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+        yield done()
 
     ship_package(docs.sparkSession)
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # the last key tells equal rows apart, so that they too can be split
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"), F.monotonically_increasing_id().alias("row"))
+    ordered = keyed.repartitionByRange("doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").select("doc_id", "text")
     spark = docs.sparkSession
     manifest = f"{out_dir}/manifest"
     ordered.mapInArrow(write, SHARDS).write.parquet(manifest)
@@ -152,10 +176,10 @@ def read_tokens(spark: SparkSession, shards: DataFrame, digests_only: bool = Fal
     """A row for each document of the shards: doc_id, start (ids of all documents before it), n_tokens, and the ids.
 
     ``ids`` is binary, of unsigned 32-bit numbers; with ``digests_only`` their crc32 takes its place.
-    The list of shards has a row for each writing task and goes through the driver.
+    The list of shards has a row for each SHARD_IDS ids or so and goes through the driver.
     """
     start, rows = 0, []
-    for r in sorted(shards.collect(), key=lambda r: r["shard"]):
+    for r in sorted(shards.collect(), key=lambda r: (r["shard"], r["part"])):
         if r["n_docs"]:
             rows.append((r["path"], start))
         start += r["n_tokens"]

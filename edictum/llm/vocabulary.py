@@ -7,7 +7,8 @@ ASCII letter and an ASCII punctuation mark (but the apostrophe), and the ids of
 together are those of the whole.
 A column of texts is cut by their bytes, its different parts are found by Arrow's dictionary
 encoding, and each goes through the library once; the parts' ids are then dealt out by index.
-Texts with rarer white space, control characters or names of special tokens are encoded whole.
+Texts with rarer white space, control characters or names of special tokens are encoded whole, so
+such names get the ids that the library gives them.
 Two generations of seen parts bound the memory.
 """
 
@@ -45,7 +46,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are text
         special = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.rare = re.compile(b"|".join([_RARE, *special]))
         self.leads = np.zeros(256, dtype=bool)  # first bytes of what the expression finds

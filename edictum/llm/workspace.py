@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from edictum.workspace import broadcast_if_small, discard, fresh_path, materialize, materialize_counted, shared_dir
 
-__all__ = ["broadcast_if_small", "discard", "fresh_path", "join_unevenly", "materialize", "materialize_counted", "shared_dir", "table"]
+__all__ = ["broadcast_if_small", "discard", "fresh_path", "join_unevenly", "materialize", "materialize_counted", "shared_dir", "HEAVY", "table"]
 
 #: A key is heavy if it has over 1/HEAVY of an even partition's rows, so there are fewer than HEAVY heavy keys a partition.
 HEAVY = 8

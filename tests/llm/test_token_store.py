@@ -15,13 +15,7 @@ PATHS = [str(public_tokenizers.path(n)) for n in ("byte_bpe_50k.json", "word_bpe
 SCHEMA = "doc_id long, text string"
 
 
-def library(path):
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out
-
-
-LIBRARY = {p: library(p) for p in PATHS}
+LIBRARY = {p: Tokenizer.from_file(p) for p in PATHS}
 ODD = st.lists(st.sampled_from(list("ab Z'.!9\n\t\r\x1c\x85\u00a0\u2003\u3000é́Σσ世界🙂") + ["<|endoftext|>", "don't", "  "]), max_size=40).map("".join)
 
 
@@ -59,7 +53,10 @@ def test_small_ids_are_packed():
 
 
 def expected(rows, path, end):
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    import xxhash
+
+    h = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) if t is not None else 42
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, h(r[1]) - (h(r[1]) >> 63 << 64)))
     out, at = [], 0
     for d, t in rows:
         ids = [*LIBRARY[path].encode(t or "", add_special_tokens=False).ids, end]
@@ -70,7 +67,7 @@ def expected(rows, path, end):
 
 @pytest.mark.parametrize("path", PATHS)
 def test_shards_read_back(spark, path):
-    rows = [(i * 7 % 101, f"Document number {i} has its own words, like w{i * i}.") for i in range(101)] + [(500, None), (501, ""), (502, "long word " * 40_000), (None, "no id"), (503, "same"), (503, "same")]
+    rows = [(i * 7 % 101, f"Document number {i} has its own words, like w{i * i}.") for i in range(101)] + [(500, None), (501, ""), (502, "long word " * 40_000), (None, "no id"), (503, "same"), (503, "same"), (504, "see <|endoftext|> here"), *((600, f"text {i % 3}") for i in range(90))]
     docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as start", "'x' as ids").repartition(5)
     where = fresh_path(spark, "tokens")
     shards = token_store.write_tokens(docs, where, path, 0)
@@ -82,6 +79,36 @@ def test_shards_read_back(spark, path):
     assert not [f for f in os.listdir(where.removeprefix("file://")) if f.endswith(".part")]
 
 
+def test_shards_end_at_a_size(spark, monkeypatch):
+    """Ranges and shards of a repeated id are split; the corpus stays in order."""
+    rows = [(7, "the same text in every row")] * 400 + [(i, f"number {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few rows would be one range
+    try:
+        shards = token_store.write_tokens(docs, fresh_path(spark, "tokens"), PATHS[0], 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["n_docs"] for r in shards.collect()) < 300  # the id's rows are in several ranges
+    want = expected(rows, PATHS[0], 0)
+    assert sorted(map(tuple, token_store.read_tokens(spark, shards, digests_only=True).collect()), key=lambda r: r[1]) == [w[:4] for w in want]
+    out = token_store.ShardWriter("file:///tmp/edictum-unused-shard")
+    monkeypatch.setattr(token_store, "SHARD_IDS", 10)
+    out.add(1, np.arange(9, dtype="<u4").tobytes())
+    assert not out.full
+    out.add(1, b"\x00" * 4)
+    assert out.full
+    out.abort()
+
+
+def test_the_query_on_a_table(spark):
+    """The query's rows are those of the plain library."""
+    from edictum.llm.queries import op6_simple8b
+
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = op6_simple8b(spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, got.select("doc_id", "start", "n_tokens", "ids_crc32").collect()), key=lambda r: r[1]) == [w[:4] for w in expected(rows, PATHS[0], 0)]
+
+
 def test_empty_table(spark):
     shards = token_store.write_tokens(spark.createDataFrame([], SCHEMA), fresh_path(spark, "tokens"), PATHS[0], 0)
     assert token_store.read_tokens(spark, shards).count() == 0
