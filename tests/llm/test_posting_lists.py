@@ -1,5 +1,5 @@
 import numpy as np
-from edictum.llm.posting_lists import Settings, nearest
+from edictum.llm.posting_lists import Settings, fit, nearest
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -34,11 +34,64 @@ def test_recall_on_the_given_table(spark):
     assert all([s for _, s in f] == sorted((s for _, s in f), reverse=True) and len(f) == 5 for f in found.values())
 
 
+def clustered(n, width=24, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(max(8, n // 40), width))
+    return [(i, v) for i, v in enumerate((centres[rng.integers(0, len(centres), n)] + 0.25 * rng.normal(size=(n, width))).tolist())]
+
+
+def test_what_a_query_reads_falls_with_the_table(spark):
+    """Recall holds while the share of the table that is read falls."""
+    shares = []
+    for n in (2_000, 16_000):
+        rows = clustered(n)
+        out = nearest(spark.createDataFrame(rows, SCHEMA), every=200).cache()
+        assert recall(got(out), brute(rows, every=200)) >= 0.95
+        reads = {r["query_id"]: (r["lists_read"], r["vectors_read"]) for r in out.collect()}
+        shares.append(np.mean([m for _, m in reads.values()]) / n)
+        assert min(k for k, _ in reads.values()) >= Settings().fewest
+        out.unpersist()
+    assert shares[1] < 0.6 * shares[0]
+
+
+def test_exact_mode(spark):
+    rows = clustered(1_500) + [(2_000 + i, [0.5] * 24) for i in range(12)]
+    found = got(nearest(spark.createDataFrame(rows, SCHEMA), settings=Settings(ratio=None, copies=1, shard=200)))
+    want = brute(rows)
+    assert {q: [i for i, _ in f] for q, f in found.items()} == {q: [i for i, _ in f] for q, f in want.items()}
+
+
+def test_search_goes_on_until_the_ratio_is_met():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4_000, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = fit(x, 40_000, Settings())
+    assert len(index.centroids) > 200
+    missed = total = 0
+    for q in x[:60]:
+        at, d = index.search(q, 1.5, 32)
+        every = np.sqrt(np.maximum(0, 2 - 2 * index.centroids @ q))
+        within = set(np.flatnonzero(every <= 1.5 * every.min()).tolist())
+        missed += len(within - set(at.tolist()))
+        total += len(within)
+        assert np.allclose(d, every[at])
+    assert missed <= 0.02 * total
+
+
+def test_the_query_on_a_table(spark):
+    """The query against brute force over the whole table."""
+    from edictum.llm.queries import op3_posting_lists
+
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    found, want = got(op3_posting_lists(spark, "/root/testdata/sf0.01")), brute(rows)
+    assert set(found) == set(want) and recall(found, want) >= 0.9 and all(len(f) == 5 for f in found.values())
+
+
 def test_clusters_with_a_hot_list_and_shards(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(8, 16)) * 4
     rows = [(i, (centres[0 if i % 3 == 0 else i % 8] + rng.normal(size=16)).tolist()) for i in range(1500)]
-    found = got(nearest(spark.createDataFrame(rows, SCHEMA), settings=Settings(sample=600, lists=8, per_list=20, shard=64)))
+    found = got(nearest(spark.createDataFrame(rows, SCHEMA), settings=Settings(sample=600, lists=0.3, per_list=20, shard=64)))
     assert recall(found, brute(rows)) >= 0.9
 
 
@@ -67,7 +120,7 @@ def test_a_third_copies_of_one_vector(spark):
     x = rng.normal(size=(2400, 24))
     x[::3] = x[0]
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    found = got(nearest(spark.createDataFrame(rows, SCHEMA), settings=Settings(sample=2000, lists=32, per_list=10)))
+    found = got(nearest(spark.createDataFrame(rows, SCHEMA), settings=Settings(sample=2000, per_list=10)))
     assert all(len(f) == 5 for f in found.values()) and recall(found, brute(rows)) >= 0.9
 
 
