@@ -49,10 +49,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back."""
+def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder, by the session's compression or another, and read it back."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._edictum_path = path
     return out
