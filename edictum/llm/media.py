@@ -1,9 +1,11 @@
 """Media columns: what bytes are, whatever they are declared to be.
 
-One Aho-Corasick automaton finds the magic bytes of all formats in one pass over the bytes
-(as Latin-1, a character a byte). Each hit goes to a validator of its format, which walks the
-structure and gives the exact length of the media or rejects the hit. A valid hit at the first
-byte corrects the declared type; valid hits further in are media to carve out.
+One Aho-Corasick automaton finds the magic bytes of all formats, and the end marks of those that
+are read from their end, in one pass over the bytes (as Latin-1, a character a byte). Each hit
+goes to a validator of its format, which walks the structure, or looks up the marks by binary
+search, and gives the exact length of the media or rejects the hit. A valid hit at the first byte
+corrects the declared type; valid hits further in are media to carve out, also those that stand
+inside a container (a document, an archive, a film).
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,14 +29,73 @@ from edictum.shipping import ship_package
 
 @dataclass(frozen=True)
 class Found:
-    """Media of ``kind`` in the bytes from ``start`` on, ``length`` long."""
+    """Media of ``kind`` in the bytes from ``start`` on, ``length`` long; ``inside`` is the start of the container, if it is in one."""
 
     kind: str
     start: int
     length: int
-
-
-def _png(b: bytes, at: int) -> int | None:
+    inside: int | None = None
+
+    def __str__(self) -> str:
+        return f"{self.kind}@{self.start}+{self.length}" + ("" if self.inside is None else f" in {self.inside}")
+
+
+class Scan:
+    """Bytes, and where the automaton found each mark in them."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.hits: list[tuple[int, str, Callable]] = []
+        self.marks: dict[bytes, list[int]] = {}
+        for end, of in _automaton().iter(data.decode("latin-1")) if data else ():
+            for back, kind, check in of:
+                if check is None:
+                    self.marks.setdefault(kind, []).append(end + 1 - back)
+                else:
+                    self.hits.append((end + 1 - back, kind, check))
+        self.hits.sort(key=lambda h: h[:2])
+        self._archives: dict[int, int] | None = None
+        self._zero = (0, -2)
+
+    def zero(self, at: int) -> int:
+        """The first zero byte from ``at`` on, or -1; what the last search saw isn't searched again."""
+        seen, found = self._zero
+        if not (seen <= at and (found == -1 or at <= found)):
+            self._zero = at, self.data.find(b"\0", at)
+        return self._zero[1]
+
+    def after(self, mark: bytes, at: int) -> int | None:
+        """The first such mark from ``at`` on."""
+        own = self.marks.get(mark, [])
+        i = bisect_left(own, at)
+        return own[i] if i < len(own) else None
+
+    def before(self, mark: bytes, at: int) -> int | None:
+        """The last such mark that begins before ``at``."""
+        own = self.marks.get(mark, [])
+        i = bisect_left(own, at)
+        return own[i - 1] if i else None
+
+    @property
+    def archives(self) -> dict[int, int]:
+        """For the first byte of each ZIP archive the byte after it: an end record tells where its archive begins."""
+        if self._archives is None:
+            self._archives, b = {}, self.data
+            for i in self.marks.get(ZIP_END, []):
+                if i + 22 <= len(b):
+                    size, start, note = struct.unpack_from("<IIH", b, i + 12)
+                    at = i - size - start
+                    if at >= 0 and (not size or b[at + start : at + start + 4] == b"PK\x01\x02") and i + 22 + note <= len(b):
+                        self._archives.setdefault(at, i + 22 + note)
+        return self._archives
+
+
+#: Fixed values of the formats: what the end of a PDF file has, and the end record of a ZIP archive.
+PDF_START, PDF_END, PDF_TABLE, ZIP_END = b"%PDF-", b"%%EOF", b"startxref", b"PK\x05\x06"
+
+
+def _png(scan: Scan, at: int) -> int | None:
+    b = scan.data
     i, first = at + 8, True
     while i + 12 <= len(b):
         n, kind = struct.unpack_from(">I4s", b, i)
@@ -45,7 +107,8 @@ def _png(b: bytes, at: int) -> int | None:
     return None
 
 
-def _gif(b: bytes, at: int) -> int | None:
+def _gif(scan: Scan, at: int) -> int | None:
+    b = scan.data
     if at + 13 > len(b):
         return None
     i = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0)
@@ -69,7 +132,8 @@ def _gif(b: bytes, at: int) -> int | None:
     return None
 
 
-def _jpeg(b: bytes, at: int) -> int | None:
+def _jpeg(scan: Scan, at: int) -> int | None:
+    b = scan.data
     i = at + 2
     while i + 4 <= len(b):
         if b[i] != 0xFF:
@@ -89,8 +153,9 @@ def _jpeg(b: bytes, at: int) -> int | None:
     return i + 2 - at if b[i : i + 2] == b"\xff\xd9" else None
 
 
-def _riff(form: bytes) -> Callable[[bytes, int], int | None]:
-    def of(b: bytes, at: int) -> int | None:
+def _riff(form: bytes) -> Callable[[Scan, int], int | None]:
+    def of(scan: Scan, at: int) -> int | None:
+        b = scan.data
         if at + 12 > len(b) or b[at + 8 : at + 12] != form:
             return None
         end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
@@ -108,44 +173,56 @@ def _riff(form: bytes) -> Callable[[bytes, int], int | None]:
     return of
 
 
-def _bmp(b: bytes, at: int) -> int | None:
+def _bmp(scan: Scan, at: int) -> int | None:
+    b = scan.data
     if at + 30 > len(b):
         return None
     size, _, pixels, header, _, _, planes = struct.unpack_from("<IIIIiiH", b, at + 2)
     return size if planes == 1 and header in (12, 40, 52, 56, 108, 124) and 14 + header <= pixels <= size and at + size <= len(b) else None
 
 
-def _pdf(b: bytes, at: int) -> int | None:
+def _pdf(scan: Scan, at: int) -> int | None:
+    """Up to the last end mark before the next document: files that were saved several times have several."""
+    b = scan.data
     if not (b[at + 5 : at + 6].isdigit() and b[at + 6 : at + 7] == b"."):
         return None
-    i = b.find(b"%%EOF", at)
-    return i + 5 - at if i >= 0 and b.find(b"startxref", at, i) >= 0 else None
+    end = scan.before(PDF_END, scan.after(PDF_START, at + 1) or len(b))
+    table = scan.after(PDF_TABLE, at)
+    return end + 5 - at if end is not None and table is not None and at < table < end else None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    i = b.find(b"PK\x05\x06", at)
-    while i >= 0 and i + 22 <= len(b):
-        size, start, note = struct.unpack_from("<IIH", b, i + 12)
-        if at + start + size == i and (not size or b[at + start : at + start + 4] == b"PK\x01\x02") and i + 22 + note <= len(b):
-            return i + 22 + note - at
-        i = b.find(b"PK\x05\x06", i + 4)
-    return None
+def _zip(scan: Scan, at: int) -> int | None:
+    end = scan.archives.get(at)
+    return end - at if end else None
 
 
-def _gzip(b: bytes, at: int) -> int | None:
-    d, i = zlib.decompressobj(31), at
+def _gzip(scan: Scan, at: int) -> int | None:
+    b, i = scan.data, at + 10
+    if i > len(b) or b[at + 3] & 0xE0:
+        return None
+    flags = b[at + 3]
+    if flags & 4:  # a field of its own length
+        i += 2 + int.from_bytes(b[i : i + 2], "little")
+    for flag in (8, 16):  # a name and a comment, each up to a zero
+        if flags & flag:
+            if (i := scan.zero(i) + 1) <= 0:
+                return None
+    i += 2 if flags & 2 else 0
+    d = zlib.decompressobj(-15)
     try:
         while i < len(b) and not d.eof:
-            d.decompress(b[i : i + 65536], 1 << 20)
+            d.decompress(b[i : i + 4096], 1 << 20)
             while d.unconsumed_tail and not d.eof:
                 d.decompress(d.unconsumed_tail, 1 << 20)
-            i += 65536
+            i += 4096
     except zlib.error:
         return None
-    return min(i, len(b)) - len(d.unused_data) - at if d.eof else None
+    end = min(i, len(b)) - len(d.unused_data) + 8  # a checksum and the length follow
+    return end - at if d.eof and end <= len(b) else None
 
 
-def _ogg(b: bytes, at: int) -> int | None:
+def _ogg(scan: Scan, at: int) -> int | None:
+    b = scan.data
     i = at
     while i + 27 <= len(b) and b[i : i + 5] == b"OggS\x00":
         kind, segments = b[i + 5], b[i + 26]
@@ -158,7 +235,8 @@ def _ogg(b: bytes, at: int) -> int | None:
     return None
 
 
-def _flac(b: bytes, at: int) -> int | None:
+def _flac(scan: Scan, at: int) -> int | None:
+    b = scan.data
     i = at + 4
     while i + 4 <= len(b):
         last, n = b[i] & 0x80, int.from_bytes(b[i + 1 : i + 4], "big")
@@ -171,7 +249,7 @@ def _flac(b: bytes, at: int) -> int | None:
 
 
 #: Fixed values of the formats: magic bytes, how far into the media they are, type, validator.
-SIGNATURES: tuple[tuple[bytes, int, str, Callable[[bytes, int], int | None]], ...] = (
+SIGNATURES: tuple[tuple[bytes, int, str, Callable[[Scan, int], int | None]], ...] = (
     (b"\x89PNG\r\n\x1a\n", 0, "image/png", _png),
     (b"GIF87a", 0, "image/gif", _gif),
     (b"GIF89a", 0, "image/gif", _gif),
@@ -188,11 +266,17 @@ SIGNATURES: tuple[tuple[bytes, int, str, Callable[[bytes, int], int | None]], ..
 )
 
 
+#: Types that can hold other media.
+CONTAINERS = frozenset(("application/pdf", "application/zip", "video/avi"))
+
+
 @lru_cache(maxsize=1)
 def _automaton() -> ahocorasick.Automaton:
     found: dict[bytes, list] = {}
     for magic, into, kind, check in SIGNATURES:
         found.setdefault(magic, []).append((into + len(magic), kind, check))
+    for mark in (PDF_START, PDF_END, PDF_TABLE, ZIP_END):
+        found.setdefault(mark, []).append((len(mark), mark, None))
     out = ahocorasick.Automaton()
     for magic, of in found.items():
         out.add_word(magic.decode("latin-1"), of)
@@ -201,14 +285,19 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 def sniff(data: bytes) -> list[Found]:
-    """All media in the bytes, in order of their start; media inside other media are not listed."""
-    hits = sorted((end + 1 - back, kind, check) for end, of in _automaton().iter(data.decode("latin-1")) for back, kind, check in of) if data else []
+    """All media in the bytes, in order of their start; of media inside other media, those in containers."""
+    scan = Scan(data)
     out: list[Found] = []
-    upto = 0
-    for start, kind, check in hits:
-        if start >= upto and (n := check(data, start)):
-            out.append(Found(kind, start, n))
-            upto = start + n
+    around: list[Found] = []  # media that the next hit may lie in
+    for start, kind, check in scan.hits:
+        while around and start >= around[-1].start + around[-1].length:
+            around.pop()
+        if around and (around[-1].kind not in CONTAINERS or start == around[-1].start):
+            continue
+        n = check(scan, start)
+        if n and (not around or start + n <= around[-1].start + around[-1].length):
+            out.append(Found(kind, start, n, around[-1].start if around else None))
+            around.append(out[-1])
     return out
 
 
@@ -219,6 +308,8 @@ def true_type(data: bytes | None, declared: str | None) -> str | None:
 
 
 RATE = 8000
+#: Bytes of media that a task holds before it sends them on (or one text, if it is longer).
+HELD = 1 << 22
 
 
 def to_wav(payload: bytes) -> bytes:
@@ -252,12 +343,20 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     and those with a null doc_id too; other columns are left out. An empty table gives no rows.
     """
 
+    kinds = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("declared", pa.string())])
+
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([to_wav(padded(t)) for t in texts], pa.binary()), pa.array(["application/octet-stream"] * len(texts))], ["doc_id", "n_bytes", "media", "declared"])
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
+                text = text.as_py() or b""
+                rows.append((doc_id, len(text), to_wav(padded(text)), "application/octet-stream"))
+                held += len(text)
+                if held > HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.types)], schema=kinds)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.types)], schema=kinds)
 
     ship_package(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(store, "doc_id bigint, n_bytes bigint, media binary, declared string")
@@ -267,7 +366,8 @@ def inspect_media(media: DataFrame) -> DataFrame:
     """Sniff a media column: for every row the corrected type, lengths and digests of the file and of its samples, and what is embedded.
 
     Media that are null or of no known type keep the declared type and have null payload columns.
-    ``embedded`` lists type, start and length of media found further in, also inside the samples.
+    ``embedded`` lists type, start and length of media found further in, also inside the samples, and of what containers hold.
+    A text full of start and end marks takes time in proportion to its length.
     """
     kinds = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("declared", pa.string()), ("media_type", pa.string()), ("embedded", pa.list_(pa.string()))])
 
@@ -277,9 +377,9 @@ def inspect_media(media: DataFrame) -> DataFrame:
         kind = first.kind if first else declared
         size, sha = (len(data), hashlib.sha256(data).hexdigest()) if data is not None else (None, None)
         if kind != "audio/wav" or not first:
-            return doc_id, n_bytes, None, None, None, size, sha, None, declared, kind, [f"{f.kind}@{f.start}+{f.length}" for f in found if f is not first]
+            return doc_id, n_bytes, None, None, None, size, sha, None, declared, kind, [str(f) for f in found if f is not first]
         samples = from_wav(data[: first.length])
-        inside = [f"{f.kind}@{f.start}+{f.length}" for f in sniff(samples)] + [f"{f.kind}@{f.start}+{f.length}" for f in found[1:]]
+        inside = [*map(str, sniff(samples)), *map(str, found[1:])]
         feature = f"{kind};pcm8;mono;{RATE}Hz;{len(samples)} samples;mean {np.frombuffer(samples, np.uint8).mean():.4f};max {np.frombuffer(samples, np.uint8).max()};embedded {len(inside)}" if samples else f"{kind};pcm8;mono;{RATE}Hz;0 samples"
         return doc_id, n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), size, sha, feature, declared, kind, inside
 

@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import zipfile
 import zlib
 
@@ -51,6 +52,43 @@ def test_embedded_media_are_carved_in_order():
     assert [f.kind for f in found] == list(FILES) and [blob[f.start : f.start + f.length] for f in found] == list(FILES.values())
 
 
+def test_saved_again_and_inside_containers():
+    """A PDF ends at its last end mark before the next one; what containers hold is listed with them."""
+    again = PDF + b"\n2 0 obj\n<<>>\nendobj\nstartxref\n60\n%%EOF"
+    assert media.sniff(b"x" + again + b"\n" + PDF) == [media.Found("application/pdf", 1, len(again)), media.Found("application/pdf", len(again) + 2, len(PDF))]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("p.png", FILES["image/png"])
+        z.writestr("g.gif", GIF)
+    data = b"##" + out.getvalue()
+    found = media.sniff(data)
+    assert [(f.kind, f.inside) for f in found] == [("application/zip", None), ("image/png", 2), ("image/gif", 2)]
+    assert all(data[f.start : f.start + f.length] == FILES[f.kind] for f in found[1:])
+    inner = b"%PDF-1.4\n" + JPEG + b"\nstartxref\n9\n%%EOF"
+    assert [str(f) for f in media.sniff(inner)] == [f"application/pdf@0+{len(inner)}", f"image/jpeg@9+{len(JPEG)} in 0"]
+
+
+@pytest.mark.parametrize("mark", [b"PK\x03\x04", b"%PDF-1.", b"PK\x05\x06", b"%PDF-1.4 startxref ", b"%%EOF", b"\x1f\x8b\x08", b"RIFF", b"GIF89a", b"BM"])
+def test_texts_full_of_marks(mark):
+    """5 MB of markers take seconds."""
+    start = time.perf_counter()
+    media.sniff(mark * (5_000_000 // len(mark)))
+    assert time.perf_counter() - start < 20
+
+
+def test_the_query_on_a_table(spark):
+    from edictum.llm.queries import op7_media
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = op7_media(spark, "/root/testdata/sf0.001").collect()
+    assert {r["doc_id"] for r in got} == set(texts) and len(got) == len(texts)
+    for r in got:
+        data = (texts[r["doc_id"]] or "").encode()
+        payload = data + b"\0" * (-len(data) % 64 if data else 64)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert r["media_bytes"] == len(payload) + 44 and r["media_sha256"] == hashlib.sha256(media.to_wav(payload)).hexdigest()
+
+
 @given(st.binary(max_size=300))
 @settings(max_examples=200, deadline=None)
 def test_any_bytes_round_trip(data):
