@@ -174,14 +174,17 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_ro
     """Fit on at most ``max_rows`` labelled documents, the least by a hash of their doc_id.
 
     Labels other than 0 and 1 and rows without doc_id are ignored; of several labels of a
-    document the more frequent counts, of ties 0. Only statistics reach the driver.
+    document the more frequent counts, of ties 0; of several texts, that of the least hash, so
+    that a model follows from its tables. Labels of documents that aren't there are ignored, and
+    null texts are learnt from as empty ones. Only statistics reach the driver.
     """
     ship_package(docs.sparkSession)
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("__id")).agg((F.avg(label_col) > 0.5).cast("int").alias("__label"))
     sample = known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), "text").join(F.broadcast(sample), F.col("__doc") == F.col("__id"))
-    got = texts.select("__id", "__label", statistics_column("text").alias("s")).select("__id", "__label", "s.*").dropDuplicates(["__id"]).toArrow()
+    stats = texts.select("__id", "__label", F.xxhash64("text").alias("__h"), statistics_column("text").alias("s"))
+    got = stats.groupBy("__id", "__label").agg(F.min_by("s", "__h").alias("s")).select("__id", "__label", "s.*").toArrow()
     got = got.sort_by("__id")
     raw = np.stack([got[n].to_numpy() for n in RAW], axis=1) if got.num_rows else np.zeros((0, len(RAW)), dtype=np.int64)
     return fit(feature_matrix(raw), got["__label"].to_numpy().astype(np.float64))

@@ -51,3 +51,42 @@ def test_held_out_labels_are_not_learnt(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
     flipped = spark.createDataFrame([(i, 1 - i % 2 if i in set(out) else i % 2) for i in range(400)], "doc_id long, quality int")
     assert re_.train(docs, labels) == re_.train(docs, flipped)
+
+
+def test_several_texts_of_an_id(spark):
+    """The model follows from the tables, however they are split."""
+    rows = [(i % 40, f"{'A' * (i % 9)} word {i} " * (1 + i % 3)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    models = {re_.train(d, labels) for d in (docs, docs.repartition(7), docs.orderBy(F.desc("text")).coalesce(1))}
+    assert len(models) == 1
+
+
+def test_the_query_against_plain_loops(spark):
+    """Each score of the query, from counts by loops and the model's rules one by one."""
+    import math
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = re_.train(docs, spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"))
+    got = {r["doc_id"]: r for r in op4_rule_ensemble(spark, sf).collect()}
+    assert model.rules and len(got) == docs.count()
+    for r in docs.collect():
+        b = (r["text"] or "").encode()
+        count = {n: sum(x in members for x in b) for n, members in re_.CLASSES.items()} | {"bytes": len(b), "words": len(b.split()), "distinct": len(set(b.split()))}
+        features = [count["words"], *(count[x] / (count[y] + 1) for _, x, y in re_.RATIOS)]
+        total = model.bias
+        for tests, weight in model.rules:
+            if all((features[t.feature] > t.at) == t.above for t in tests):
+                total += weight
+        score = 1 / (1 + math.exp(-total))
+        row = got[r["doc_id"]]
+        assert abs(row["score"] - score) < 1e-9 and row["predicted"] == int(row["score"] >= 0.7) and row["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_clashing_columns_and_whole_long_texts(spark):
+    """The end of a very long text counts; columns named like statistics stay."""
+    model = re_.Model(0.0, (((re_.Test(re_.FEATURES.index("digit_share"), 0.01, True),), 3.0),))
+    docs = spark.createDataFrame([(1, "word " * 400_000 + "1" * 200_000, 5, "x"), (2, "word " * 400_000, 6, "y")], "doc_id long, text string, words int, s string")
+    out = {r["doc_id"]: r for r in re_.score_documents(docs, model).collect()}
+    assert out[1]["score"] > 0.9 and out[2]["score"] == 0.5 and (out[1]["words"], out[2]["s"]) == (5, "y")
