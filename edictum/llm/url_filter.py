@@ -18,8 +18,14 @@ from edictum.llm.workspace import materialize
 AZ, az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path).
 Rule = tuple[str, str, str]
-_CANONICAL = (r"""(?is)<link\b[^>]*?\brel\s*=\s*["']?canonical\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", r"""(?is)<link\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)["']?[^>]*?\brel\s*=\s*["']?canonical\b""")
-_REFRESH = r"""(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["']?refresh\b[^>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
+#: Links in tags, with their attributes in either order, and what is no part of a page's markup.
+_LINKS = (
+    r"""(?is)<link\b[^>]*?\brel\s*=\s*["']?canonical\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""",
+    r"""(?is)<link\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)["']?[^>]*?\brel\s*=\s*["']?canonical\b""",
+    r"""(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["']?refresh\b[^>]*?\burl\s*=\s*["']?([^"'\s>]+)""",
+    r"""(?is)<meta\b[^>]*?\burl\s*=\s*["']?([^"'\s>]+)["']?[^>]*?\bhttp-equiv\s*=\s*["']?refresh\b""",
+)
+_NO_MARKUP = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)"
 
 
 def host_of(url: Column) -> Column:
@@ -46,14 +52,15 @@ def address(url: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``url``, ``alias``: canonical and redirect targets in the pages' heads, made absolute.
+    """``url``, ``alias``: all canonical and redirect targets in the pages, made absolute.
 
-    Relative targets are completed by scheme and host of the page; those without an absolute
+    Tags in comments and scripts don't count. Relative targets are completed by scheme and host of the page; those without an absolute
     page url are ignored, as are null urls and pages.
     """
     html, url = F.col(html_col), F.col(url_col)
     marked = pages.select(url.alias("url"), html.alias("html")).filter(F.col("html").rlike("(?i)canonical|refresh") & F.col("url").contains("://"))
-    found = F.array(*(F.regexp_extract("html", p, 1) for p in (*_CANONICAL, _REFRESH)))
+    marked = marked.withColumn("html", F.regexp_replace("html", _NO_MARKUP, " "))
+    found = F.concat(*(F.regexp_extract_all("html", F.lit(p), F.lit(1)) for p in _LINKS))
     each = marked.select("url", F.explode(F.array_distinct(found)).alias("t")).filter("t <> ''").withColumn("t", F.replace("t", F.lit("&amp;"), F.lit("&")))
     scheme, site = F.regexp_extract("url", r"(?s)^(.*?)://", 1), F.regexp_extract("url", r"(?s)^.*?://[^/?#]*", 0)
     folder = F.concat(site, F.coalesce(F.nullif(F.regexp_extract(path_of(F.col("url")), r"(?s)^.*/", 0), F.lit("")), F.lit("/")))

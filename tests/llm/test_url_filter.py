@@ -61,6 +61,21 @@ def test_blocks_reach_aliases_but_not_allowed_ones(spark):
     assert {r[0]: r[4] for r in out} == {0: "block", 1: "block", 2: "block", 3: "block", 9: "allow", 10: "allow", 11: "allow"}
 
 
+def test_every_link_counts_but_those_in_comments(spark):
+    """Several links of a kind, either order of attributes, comments, scripts and unclosed ones."""
+    html = {
+        1: LINK.format("http://n.net/") + LINK.format("http://b.com/de/1"),
+        2: "<meta content='0; url=http://b.com/de/2' http-equiv='refresh'>",
+        3: "<!-- " + LINK.format("http://b.com/de/3") + " -->",
+        4: "<script>var x = '<link rel=canonical href=http://b.com/de/4>'</script >",
+        5: "<!-- never closed " + LINK.format("http://b.com/de/5"),
+        6: "<meta http-equiv=refresh content='1;url=http://n.net/x'><meta http-equiv=refresh content='1;url=http://b.com/de/6'>",
+        7: "<!-- a --><link rel=canonical href=http://b.com/de/7><!-- b -->",
+    }
+    pages = spark.createDataFrame([(i, f"http://p{i}.net/", h) for i, h in html.items()], SCHEMA)
+    assert {r["page_id"]: r["verdict"] for r in judge(pages, RULES).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "block", 7: "block"}
+
+
 def test_known_redirects_ties_and_repeated_rows(spark):
     pages = [(1, "http://x.net/", ""), (1, "http://x.net/", ""), (2, None, LINK.format("http://a.com/de/")), (None, "http://x.net/", None)]
     known = spark.createDataFrame([("http://x.net/", "http://z.com/de/"), ("http://x.net/", "http://z.com/de/"), (None, "http://q.net/")], "url string, alias string")
