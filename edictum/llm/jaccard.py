@@ -1,10 +1,14 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: candidates by MinHash bands, then an exact check.
+"""SimHash near-dedup at a Jaccard similarity of word shingles: wider than fingerprints reach, and checked exactly.
 
 A text's set holds the hashes of its shingles of WORDS words (words as in simhash; a text with
 fewer words is one shingle, one without words has the empty set). Texts with equal sets are one
-entry. Entries that agree in all ROWS minima of one of BANDS bands meet in a bucket: a pair at a
-similarity of 0.8 misses all buckets with a probability of 1.2e-7, one above it with less. Every
-link is checked on the whole sets, with integers.
+entry. Entries meet in buckets. One bucket is the entry's class of SimHash fingerprints, found by
+anchor-point covering as in simhash. Such classes hold the closest copies only: at a similarity
+of 0.8 two fingerprints differ in 10 of 64 bits on average, and a covering that wide would need
+thousands of anchors a fingerprint. So that none at 0.8 is lost, entries meet in BANDS further
+buckets, by all ROWS minima of a band of hashes: a pair at 0.8 misses all of these with a
+probability of 1.2e-7, one above it with less. Every link is checked on the whole sets, with
+integers, so fingerprints that agree by chance link nothing.
 
 Only classes are wanted, so a bucket isn't compared all against all: its members are checked
 against one pivot, round by round, and those that are in the pivot's class already drop out. Once
@@ -21,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edictum.llm.components import connected_components
-from edictum.llm.simhash import SEED, one_of_each
-from edictum.llm.workspace import materialize
+from edictum.llm.simhash import SEED, fingerprint_classes, fingerprint_of, one_of_each, shingle_hashes
+from edictum.llm.workspace import discard, materialize
 from edictum.shipping import ship_package
 
 WORDS = 5
@@ -38,9 +42,7 @@ FEW_PAIRS = 4
 
 def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
     """Hashes of the different shingles of a UTF-8 text, in order."""
-    w = (text or b"").lower().split()
-    shingles = set(map(b" ".join, zip(*(w[i:] for i in range(words))))) if len(w) >= words else {b" ".join(w)} if w else ()
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype=np.uint64))
+    return np.unique(shingle_hashes(text, words))
 
 
 def bands_of(hashes: np.ndarray) -> list[int]:
@@ -58,14 +60,16 @@ def _signed(numbers: list[int]) -> list[int]:
 
 
 def _sketch(text: Column, words: int) -> Column:
-    @F.arrow_udf("entry bigint, bands array<bigint>")
+    @F.arrow_udf("entry bigint, fp bigint, bands array<bigint>")
     def of(texts: pa.Array) -> pa.Array:
-        entries, bands = [], []
+        entries, fps, bands = [], [], []
         for t in texts.cast(pa.binary()).to_pylist():
-            s = shingle_set(t, words)
+            hashes = shingle_hashes(t, words)
+            s = np.unique(hashes)
             entries.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
+            fps.append(fingerprint_of(hashes))
             bands.append(_signed(bands_of(s)))
-        return pa.StructArray.from_arrays([pa.array(_signed(entries), pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["entry", "bands"])
+        return pa.StructArray.from_arrays([pa.array(_signed(entries), pa.int64()), pa.array(_signed(fps), pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["entry", "fp", "bands"])
 
     return of(text)
 
@@ -90,12 +94,14 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicate_entries(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc``, ``th``, ``class`` of every row of ``docs`` (doc, th, text; doc and th name the text)."""
     ship_package(docs.sparkSession)
-    placed = materialize(docs.select("doc", "th", _sketch(F.col("text"), words).alias("s")).select("doc", "th", "s.entry", "s.bands"), "sketches")
-    entries = placed.groupBy("entry").agg(F.min(F.struct("doc", "th")).alias("rep"), F.first("bands").alias("bands"))
+    placed = materialize(docs.select("doc", "th", _sketch(F.col("text"), words).alias("s")).select("doc", "th", "s.entry", "s.fp", "s.bands"), "sketches")
+    # of texts with one set the fingerprints can differ, by shingles that repeat: the least stands for them
+    entries = placed.groupBy("entry").agg(F.min(F.struct("doc", "th")).alias("rep"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
     entries = materialize(entries, "entries")
-    each = entries.select("entry", F.explode("bands").alias("band"))
+    classes = materialize(fingerprint_classes(entries.select("fp")), "classes")
+    each = entries.select("entry", F.explode("bands").alias("band")).unionByName(entries.filter(F.size("bands") > 0).join(classes, "fp").select("entry", F.xxhash64(F.lit("class"), "class").alias("band")))
     shared = materialize(each.groupBy("band").agg(F.min("entry").alias("lo"), F.max("entry").alias("hi")).filter("lo <> hi").select("band"), "bands")
-    members = materialize(each.join(shared, "band").withColumn("class", F.col("entry")), "members")
+    kept = members = materialize(each.join(shared, "band").withColumn("class", F.col("entry")), "members")
     wanted = materialize(entries.join(members.select("entry").distinct(), "entry", "left_semi").select("entry", F.col("rep.doc").alias("doc"), F.col("rep.th").alias("th")), "wanted")
     texts = docs.join(wanted, ["doc", "th"]).groupBy("entry").agg(F.first("text").alias("text"))
     sets = materialize(texts.select("entry", _sets(F.col("text"), words).alias("shingles")), "sets")
@@ -108,7 +114,9 @@ def near_duplicate_entries(docs: DataFrame, words: int = WORDS) -> DataFrame:
         else:
             pivot = members.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "entry").alias("h"), F.col("entry").alias("p"), F.col("class").alias("q"))).alias("m"))
             pairs = members.join(pivot, "band").filter("class <> m.q").select(F.least("entry", "m.p").alias("a"), F.greatest("entry", "m.p").alias("b"))
-        new = materialize(_checked(materialize(pairs.select("a", "b").distinct(), "pairs"), sets), "links")
+        pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
+        new = materialize(_checked(pairs, sets), "links")
+        discard(pairs)
         more = not new.isEmpty()
         if more:
             links = new if links is None else links.unionByName(new)
@@ -119,10 +127,14 @@ def near_duplicate_entries(docs: DataFrame, words: int = WORDS) -> DataFrame:
             members = members.drop("class").join(found, members["entry"] == found["node"], "left").select("band", "entry", F.coalesce("component", "entry").alias("class"))
         split = members.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("band")
         members = materialize(members.join(split, "band"), "members")
+        discard(kept)
+        kept = members
         by_class = members.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
         size = by_class.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
         last = not more or (size["pairs"] or 0) <= FEW_PAIRS * (size["rows"] or 0)
         turn += 1
+    for done in (kept, entries, classes, shared, wanted, sets):
+        discard(done)
     if found is None:
         return placed.select("doc", "th", F.col("entry").alias("class"))
     return placed.select("doc", "th", "entry").join(found, F.col("entry") == F.col("node"), "left").select("doc", "th", F.coalesce("component", "entry").alias("class"))

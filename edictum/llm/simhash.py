@@ -39,17 +39,24 @@ PAIRS = np.array([[0] * 31] + [[1 << (p - 1) | 1 << ((p ^ s) - 1) for p in range
 TOP = np.uint64(1 << 63)
 
 
-def fingerprint(text: bytes | None, words: int = 3) -> int:
-    """The fingerprint of a UTF-8 text, as an unsigned 64-bit number."""
+def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
+    """The hash of each shingle of a UTF-8 text, repeats included; none for a text without words."""
     w = (text or b"").lower().split()
-    if not w:
-        return 0
-    shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype=np.uint64)
+    shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)] if w else []
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype=np.uint64)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes, as an unsigned 64-bit number; 0 for none."""
     total = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(h), 1 << 16):  # the bits of a very long text are counted in blocks
-        total += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(h)).view(np.uint64)[0])
+    for at in range(0, len(hashes), 1 << 16):  # the bits of a very long text are counted in blocks
+        total += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(hashes)).view(np.uint64)[0])
+
+
+def fingerprint(text: bytes | None, words: int = 3) -> int:
+    """The fingerprint of a UTF-8 text, as an unsigned 64-bit number."""
+    return fingerprint_of(shingle_hashes(text, words))
 
 
 def fingerprint_column(text: Column | str, words: int = 3) -> Column:
@@ -151,6 +158,14 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return fps.join(classes, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def fingerprint_classes(fps: DataFrame) -> DataFrame:
+    """``fp``, ``class`` for each different ``fp`` (signed, not null): one class for all that 2 or fewer bits link, step by step."""
+    # a fingerprint is named by itself: an id that has several would join their classes
+    distinct = materialize(fps.select("fp").distinct().withColumn("rep", F.col("fp")), "distinct")
+    found = connected_components(near_duplicate_links(distinct), "a", "b")
+    return distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("class"))
+
+
 def one_of_each(docs: DataFrame, classes_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The documents without all but the one of least (doc_id, text hash) of each class.
 
@@ -170,20 +185,3 @@ def one_of_each(docs: DataFrame, classes_of: Callable[[DataFrame], DataFrame]) -
     if not repeated.isEmpty():
         out = out.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates(["__doc", "__th"]))
     return out.select(*docs.columns)
-
-
-def keep_one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
-    """The documents without all but the one of least (doc_id, text hash) of each class of fingerprints.
-
-    Repeated rows count as copies; rows without a doc_id are kept. Columns are those of ``docs``.
-    """
-
-    def classes_of(keyed: DataFrame) -> DataFrame:
-        ship_package(keyed.sparkSession)
-        fps = materialize(keyed.select("doc", "th", fingerprint_column("text", words).alias("fp")), "fingerprints")
-        # a fingerprint is named by itself: an id that has several would join their classes
-        distinct = materialize(fps.select("fp").distinct().withColumn("rep", F.col("fp")), "distinct")
-        found = connected_components(near_duplicate_links(distinct), "a", "b")
-        return fps.join(found, fps["fp"] == found["node"], "left").select("doc", "th", F.coalesce("component", "fp").alias("class"))
-
-    return one_of_each(docs, classes_of)

@@ -6,7 +6,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from edictum.llm import simhash
+from edictum.llm import jaccard, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -90,7 +90,7 @@ def test_chains_of_links_are_one_class(spark):
 def test_one_of_each_is_kept(spark):
     t, u = " ".join(words(1, 80)), " ".join(words(2, 80))
     rows = [(3, t, "a"), (2, t, "b"), (2, t, "b"), (9, u, "c"), (None, t, "d"), (5, "", "e"), (4, None, "f")]
-    out = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    out = jaccard.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     assert out.columns == ["doc_id", "text", "source"]
     assert sorted(((r["doc_id"], r["source"]) for r in out.collect()), key=str) == [(2, "b"), (4, "f"), (9, "c"), (None, "d")]
 
@@ -108,5 +108,16 @@ def test_very_long_text(spark):
 def test_texts_of_one_id_stay_or_go_with_their_own_class(spark):
     a, b, c = (" ".join(words(i, 80)) for i in (1, 2, 3))
     rows = [(3, a), (5, a), (5, b), (7, c), (7, c), (5, c)] + [(9, " ".join(words(i, 80))) for i in range(10, 20)]
-    out = [(r["doc_id"], r["text"]) for r in simhash.keep_one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()]
+    out = [(r["doc_id"], r["text"]) for r in jaccard.keep_one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()]
     assert sorted(out) == sorted([(3, a), (5, b), (5, c), *rows[6:]])
+
+
+def test_the_query_on_a_table(spark):
+    """The query against brute force over the whole table."""
+    from edictum.llm.queries import op5_simhash
+
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    want = {(d, f): c for d, f, c in brute(rows)}
+    out = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in op5_simhash(spark, "/root/testdata/sf0.01").collect()}
+    assert {(d, int(f, 16)): c for (d, f), c in out.items()} == {(d, f % 2**64): c for (d, f), c in want.items()} and len(out) == len(rows)
+    assert all(len(f) == 16 and f == f.lower() for _, f in out)
