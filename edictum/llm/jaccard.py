@@ -10,14 +10,17 @@ buckets, by all ROWS minima of a band of hashes: a pair at 0.8 misses all of the
 probability of 1.2e-7, one above it with less. Every link is checked on the whole sets, with
 integers, so fingerprints that agree by chance link nothing.
 
-Only classes are wanted, so a bucket isn't compared all against all: its members are checked
-against one pivot, round by round, and those that are in the pivot's class already drop out. Once
-few pairs of different classes are left in the buckets, or a round links nothing more, all of
-these are checked. No pair that meets in a bucket is left out unless its class is known.
+Only classes are wanted, so large buckets aren't compared all against all: in TURNS rounds the
+members of each bucket are checked against one pivot, and those that are in one class with it
+need no more. Where members of different classes are left in a bucket, those outside its largest
+class meet all others, dealt out in blocks of bounded size, whose sets are compared inside a task;
+only links leave it. No pair that meets in a bucket is left out unless its class is known.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,8 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edictum.llm.components import connected_components
-from edictum.llm.simhash import SEED, fingerprint_classes, fingerprint_of, one_of_each, shingle_hashes
-from edictum.llm.workspace import discard, materialize
+from edictum.llm.simhash import SEED, fingerprint_classes, fingerprint_of, forest, one_of_each, shingle_hashes
+from edictum.llm.workspace import discard, join_unevenly, materialize
 from edictum.shipping import ship_package
 
 WORDS = 5
@@ -36,8 +39,12 @@ BANDS, ROWS = 40, 5
 _random = np.random.default_rng(SEED)
 FACTOR, SHIFT = (_random.integers(0, 2**64, (BANDS * ROWS, 1), dtype=np.uint64) for _ in range(2))
 FACTOR |= np.uint64(1)
-#: Pairs a row of the buckets, up to which all pairs that are left are checked at once.
-FEW_PAIRS = 4
+#: Rounds of pivots.
+TURNS = 2
+#: Shingles of a block, about; a set counts for at least LEAST.
+BLOCK, LEAST = 1 << 17, 128
+#: Shingles that are held against all members of a group at once.
+COLUMNS = 4_096
 
 
 def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
@@ -60,16 +67,17 @@ def _signed(numbers: list[int]) -> list[int]:
 
 
 def _sketch(text: Column, words: int) -> Column:
-    @F.arrow_udf("entry bigint, fp bigint, bands array<bigint>")
+    @F.arrow_udf("entry bigint, fp bigint, n bigint, bands array<bigint>")
     def of(texts: pa.Array) -> pa.Array:
-        entries, fps, bands = [], [], []
+        entries, fps, sizes, bands = [], [], [], []
         for t in texts.cast(pa.binary()).to_pylist():
             hashes = shingle_hashes(t, words)
             s = np.unique(hashes)
             entries.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
             fps.append(fingerprint_of(hashes))
+            sizes.append(len(s))
             bands.append(_signed(bands_of(s)))
-        return pa.StructArray.from_arrays([pa.array(_signed(entries), pa.int64()), pa.array(_signed(fps), pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["entry", "fp", "bands"])
+        return pa.StructArray.from_arrays([pa.array(_signed(entries), pa.int64()), pa.array(_signed(fps), pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["entry", "fp", "n", "bands"])
 
     return of(text)
 
@@ -91,52 +99,101 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return sized.select("a", "b", "n", common.alias("common")).filter(F.col("common") * DENOMINATOR >= (F.col("n") - F.col("common")) * NUMERATOR).select("a", "b")
 
 
+def close_sets(sets: list[np.ndarray]) -> np.ndarray:
+    """Which of the sets (arrays of different numbers) are similar enough, as a matrix."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    different, column = np.unique(np.concatenate(sets), return_inverse=True)
+    shared = np.bincount(column, minlength=len(different)) > 1
+    number, owner = np.cumsum(shared) - 1, np.repeat(np.arange(len(sets)), sizes)
+    owner, column = owner[shared[column]], number[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(sets), len(sets)), dtype=np.int64)
+    for at in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, (at, at + COLUMNS))
+        held = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        held[owner[a:b], column[a:b] - at] = 1
+        common += (held @ held.T).astype(np.int64)
+    np.fill_diagonal(common, sizes)  # shingles that only one set has weren't counted
+    return common * DENOMINATOR >= (sizes[:, None] + sizes[None, :] - common) * NUMERATOR
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (group, entry, shingles) sorted by group: links between members of a group, at most one fewer than it has members."""
+    now, entries, sets = None, [], []
+
+    def settle() -> pa.RecordBatch:
+        i, j = forest(close_sets(sets)) if len(sets) > 1 else (np.empty(0, int), np.empty(0, int))
+        e = np.array(entries, dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(e[i], pa.int64()), pa.array(e[j], pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        for group, entry, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            if group != now:
+                if len(sets) > 1:
+                    yield settle()
+                now, entries, sets = group, [], []
+            entries.append(entry)
+            sets.append(own.values.to_numpy())
+    if len(sets) > 1:
+        yield settle()
+
+
+def _across_classes(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a``, ``b``: links between members (band, entry, class, n) of one band that lie in different classes, and some inside a class."""
+    weight = F.greatest("n", F.lit(LEAST))
+    by_class = members.groupBy("band", "class").agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("rows"))
+    bands = by_class.groupBy("band").agg(F.max(F.struct("w", "class")).alias("most"), F.sum("w").alias("w"), F.sum("rows").alias("rows"))
+    blocks = lambda w: F.greatest(F.ceil(w / BLOCK), F.lit(1)).cast("int")
+    bands = bands.select("band", F.col("most.class").alias("major"), blocks(F.col("most.w")).alias("nm"), blocks(F.col("w") - F.col("most.w")).alias("no"), "rows")
+    bands, n = materialize(bands, "blocks"), members.count()
+    each = join_unevenly(members.select("band", "entry", "class"), bands, ["band"], "rows", n)
+    place = lambda parts: F.pmod(F.xxhash64("entry"), parts).cast("int")
+    upto = lambda parts: F.sequence(F.lit(0), parts - 1)
+    pair = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    own = place(F.col("no"))
+    outside = F.concat(F.transform(upto(F.col("nm")), lambda j: pair(0, own, j)), F.transform(upto(F.col("no")), lambda j: pair(1, F.least(own, j), F.greatest(own, j))))
+    major = F.transform(upto(F.col("no")), lambda j: pair(0, j, place(F.col("nm"))))
+    dealt = each.select("entry", "band", F.explode(F.when(F.col("class") == F.col("major"), major).otherwise(outside)).alias("p"))
+    dealt = dealt.select("entry", F.xxhash64("band", "p.kind", "p.x", "p.y").alias("grp"))
+    found = dealt.join(sets, "entry").select("grp", "entry", "shingles").repartition("grp").sortWithinPartitions("grp", "entry").mapInArrow(_linked, "a bigint, b bigint")
+    return found.distinct()
+
+
 def near_duplicate_entries(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc``, ``th``, ``class`` of every row of ``docs`` (doc, th, text; doc and th name the text)."""
     ship_package(docs.sparkSession)
-    placed = materialize(docs.select("doc", "th", _sketch(F.col("text"), words).alias("s")).select("doc", "th", "s.entry", "s.fp", "s.bands"), "sketches")
+    placed = materialize(docs.select("doc", "th", _sketch(F.col("text"), words).alias("s")).select("doc", "th", "s.*"), "sketches")
     # of texts with one set the fingerprints can differ, by shingles that repeat: the least stands for them
-    entries = placed.groupBy("entry").agg(F.min(F.struct("doc", "th")).alias("rep"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
+    entries = placed.groupBy("entry").agg(F.min(F.struct("doc", "th")).alias("rep"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     entries = materialize(entries, "entries")
     classes = materialize(fingerprint_classes(entries.select("fp")), "classes")
-    each = entries.select("entry", F.explode("bands").alias("band")).unionByName(entries.filter(F.size("bands") > 0).join(classes, "fp").select("entry", F.xxhash64(F.lit("class"), "class").alias("band")))
+    each = entries.select("entry", "n", F.explode("bands").alias("band")).unionByName(entries.filter("n > 0").join(classes, "fp").select("entry", "n", F.xxhash64(F.lit("class"), "class").alias("band")))
     shared = materialize(each.groupBy("band").agg(F.min("entry").alias("lo"), F.max("entry").alias("hi")).filter("lo <> hi").select("band"), "bands")
-    kept = members = materialize(each.join(shared, "band").withColumn("class", F.col("entry")), "members")
+    members = materialize(each.join(shared, "band").withColumn("class", F.col("entry")), "members")
     wanted = materialize(entries.join(members.select("entry").distinct(), "entry", "left_semi").select("entry", F.col("rep.doc").alias("doc"), F.col("rep.th").alias("th")), "wanted")
     texts = docs.join(wanted, ["doc", "th"]).groupBy("entry").agg(F.first("text").alias("text"))
     sets = materialize(texts.select("entry", _sets(F.col("text"), words).alias("shingles")), "sets")
+    for done in (entries, classes, shared, wanted):
+        discard(done)
     links = found = None
-    turn, last = 0, False
-    while not members.isEmpty():
-        if last:
-            left, right = (members.select("band", F.col("entry").alias(c), F.col("class").alias(f"class_{c}")) for c in "ab")
-            pairs = left.join(right, "band").filter("a < b and class_a <> class_b")
-        else:
+    for turn in range(TURNS + 1):
+        if turn < TURNS:
             pivot = members.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "entry").alias("h"), F.col("entry").alias("p"), F.col("class").alias("q"))).alias("m"))
             pairs = members.join(pivot, "band").filter("class <> m.q").select(F.least("entry", "m.p").alias("a"), F.greatest("entry", "m.p").alias("b"))
-        pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
-        new = materialize(_checked(pairs, sets), "links")
-        discard(pairs)
-        more = not new.isEmpty()
-        if more:
-            links = new if links is None else links.unionByName(new)
-            found = materialize(connected_components(links, "a", "b"), "found")
-        if last:
-            break
-        if found is not None:
-            members = members.drop("class").join(found, members["entry"] == found["node"], "left").select("band", "entry", F.coalesce("component", "entry").alias("class"))
-        split = members.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("band")
-        members = materialize(members.join(split, "band"), "members")
-        discard(kept)
-        kept = members
-        by_class = members.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        size = by_class.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
-        last = not more or (size["pairs"] or 0) <= FEW_PAIRS * (size["rows"] or 0)
-        turn += 1
-    for done in (kept, entries, classes, shared, wanted, sets):
+            new = materialize(_checked(pairs.distinct(), sets), "links")
+        else:
+            new = materialize(_across_classes(members, sets), "links")
+        discard(found)
+        links = new if links is None else links.unionByName(new)
+        found = materialize(connected_components(links, "a", "b"), "found")
+        if turn < TURNS:
+            classed = members.drop("class").join(found, members["entry"] == found["node"], "left").select("band", "entry", "n", F.coalesce("component", "entry").alias("class"))
+            split = classed.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("band")
+            members, before = materialize(classed.join(split, "band"), "members"), members
+            discard(before)
+    for done in (members, sets):
         discard(done)
-    if found is None:
-        return placed.select("doc", "th", F.col("entry").alias("class"))
     return placed.select("doc", "th", "entry").join(found, F.col("entry") == F.col("node"), "left").select("doc", "th", F.coalesce("component", "entry").alias("class"))
 
 

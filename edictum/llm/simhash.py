@@ -90,17 +90,17 @@ def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(fp[at : at + 4096][i]), pa.array(rep[at : at + 4096][i])], ["anchor", "fp", "rep"])
 
 
-def _forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For the members of one anchor: each with the first member of its class, if that is another."""
-    label = np.arange(len(fp))
-    close = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= THRESHOLD
+def forest(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the members of a group, of which ``close`` tells who is linked: each with the first member of its class, if that is another."""
+    n = len(close)
+    label = np.arange(n)
     while True:
-        new = np.where(close, label[None, :], len(fp)).min(axis=1)
+        new = np.where(close, label[None, :], n).min(axis=1)
         new = new[new]
         if (new == label).all():
             break
         label = new
-    moved = np.flatnonzero(label != np.arange(len(fp)))
+    moved = np.flatnonzero(label != np.arange(n))
     return moved, label[moved]
 
 
@@ -116,7 +116,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= THRESHOLD]
         a, b = [rep[two]], [rep[two + 1]]
         for at, n in zip(starts[sizes > 2], sizes[sizes > 2]):
-            i, j = _forest(fp[at : at + n])
+            own = fp[at : at + n]
+            i, j = forest(np.bitwise_count(own[:, None] ^ own[None, :]) <= THRESHOLD)
             a.append(rep[at + i])
             b.append(rep[at + j])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])

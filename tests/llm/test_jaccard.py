@@ -58,6 +58,24 @@ def test_all_pairs_are_checked_when_pivots_link_nothing(spark):
     assert got == survivors(rows)
 
 
+def test_blocks_of_a_large_bucket(spark, monkeypatch):
+    """Members of a bucket meet whichever blocks they are dealt to, in the largest class or outside it."""
+    monkeypatch.setattr(jaccard, "BLOCK", 1_000)
+    monkeypatch.setattr(jaccard, "TURNS", 0)
+    base = prose(21, 200)
+    rows = [(i, changed(base, i, 2 + i % 14)) for i in range(120)]
+    got = sorted((r["doc_id"], r["text"]) for r in jaccard.keep_one_of_each(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == survivors(rows) and 10 < len(got) < 100
+
+
+def test_close_sets():
+    rng = np.random.default_rng(4)
+    base = rng.choice(100_000, 6_000, replace=False)
+    sets = [np.unique(np.concatenate([base[: rng.integers(3_000, 6_000)], rng.integers(100_000, 200_000, rng.integers(0, 900))])) for _ in range(30)] + [np.array([], dtype=np.int64)]
+    want = [[a is b or 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)) for b in sets] for a in sets]
+    assert (jaccard.close_sets(sets) == np.array(want)).all()
+
+
 def test_pairs_at_the_threshold_share_a_bucket():
     rng = np.random.default_rng(3)
     for _ in range(300):
