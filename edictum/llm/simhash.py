@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edictum.llm.components import connected_components
-from edictum.llm.workspace import materialize
+from edictum.llm.workspace import join_unevenly, materialize, materialize_counted
 from edictum.shipping import ship_package
 
 THRESHOLD = 2
@@ -176,9 +176,10 @@ def one_of_each(docs: DataFrame, classes_of: Callable[[DataFrame], DataFrame]) -
     """
     keyed = docs.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__th", F.xxhash64("text"))
     classed = classes_of(keyed.filter("__doc is not null").select(F.col("__doc").alias("doc"), F.col("__th").alias("th"), "text"))
-    classed = materialize(classed.groupBy("doc", "th").agg(F.first("class").alias("class"), F.count(F.lit(1)).alias("n")), "classed")
-    first = classed.groupBy("class").agg(F.min(F.struct("doc", "th")).alias("keep"))
-    status = classed.join(first, "class").select(F.col("doc").alias("__d"), F.col("th").alias("__t"), (F.struct("doc", "th") == F.col("keep")).alias("kept"), "n")
+    classed, total = materialize_counted(classed.groupBy("doc", "th").agg(F.first("class").alias("class"), F.count(F.lit(1)).alias("n")), "classed")
+    first = materialize(classed.groupBy("class").agg(F.min(F.struct("doc", "th")).alias("keep"), F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "first")
+    alone = classed.filter("n > 1").join(first.select("class"), "class", "left_anti").withColumn("keep", F.struct("doc", "th"))
+    status = join_unevenly(classed, first, ["class"], "rows", total).unionByName(alone).select(F.col("doc").alias("__d"), F.col("th").alias("__t"), (F.struct("doc", "th") == F.col("keep")).alias("kept"), "n")
     gone = materialize(status.filter("not kept or n > 1"), "gone")
     same = (F.col("__doc") == F.col("__d")) & (F.col("__th") == F.col("__t"))
     out = keyed.join(gone, same, "left_anti")
