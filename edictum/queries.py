@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from edictum.functions import pic, text
 from edictum.operators import algebra, codec, metrics, search, store, verify
 from edictum.operators import graph as graphs
-from edictum.operators.ordered import previous
 from edictum.plans import compile as rc
 from edictum.plans.ir import Action, Condition, Rule, Trace, leaf
 from edictum.sources import rule_reader, program_text, program_tree
@@ -328,21 +327,6 @@ def agreement_per_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.agreement_by_rule(_diff(spark, sf_dir)).select("rule_id", "n", F.round("agreement", 6).alias("agreement"))
 
 
-@_query(f"select out_a, out_b, count(*) as n, min(o_orderkey) as witness from {_DIFF} where out_a <> out_b group by 1, 2")
-def drift_witness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each kind of difference how many rows show it, and one."""
-    return _diff(spark, sf_dir).filter("not agree").groupBy("out_a", "out_b").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("witness"))
-
-
-@_query(f"select o_orderkey from {_OC} where {_AMT} > 100000 and {_BAL} < 500")
-def conflict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows on which two rules set different values."""
-    df, b = _orders(spark, sf_dir)
-    pair = [Rule("X-R1", leaf(AMOUNT, ">", 100000), (_set("LIMIT", "UP"),)), Rule("Y-R1", leaf(BALANCE, "<", 500), (_set("LIMIT", "DOWN"),))]
-    scope = rc.Scope.of(df, b)
-    return df.filter(rc.condition(pair[0].conditions, scope) & rc.condition(pair[1].conditions, scope)).select("o_orderkey")
-
-
 def _some_rules() -> list[Rule]:
     t = lambda n, p="P1": Trace("PRG", "prg", p, n, n + 2)
     return [
@@ -460,50 +444,12 @@ def impact_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.closure(e, spark.range(1).select(F.lit("region:1").alias("node")))
 
 
-@_query("select p_partkey from part where not exists (select 1 from lineitem where l_partkey = p_partkey)")
-def anti_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that nothing refers to."""
-    return _t(spark, sf_dir, "part").select("p_partkey").join(_t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
-
-
-@_query("select s_suppkey, count(l_orderkey) as n, count(l_orderkey) = 0 as missing from supplier left join lineitem on l_suppkey = s_suppkey and l_quantity > 49 group by 1")
-def missing_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers and their links, those without any marked."""
-    used = _t(spark, sf_dir, "lineitem").filter("l_quantity > 49").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("c"))
-    return _t(spark, sf_dir, "supplier").join(used, F.col("s_suppkey") == F.col("l_suppkey"), "left").select("s_suppkey", F.coalesce("c", F.lit(0)).alias("n"), F.col("c").isNull().alias("missing"))
-
-
 @_query("select o_custkey, o_orderkey, o_orderstatus from orders qualify row_number() over (partition by o_custkey order by o_orderkey desc) = 1")
 def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last order of each customer."""
     return store.latest(_t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey", "o_orderkey")
 
 
-@_query("select c_custkey, coalesce(case when c_acctbal > 9000 then null else c_acctbal end, 0) as confidence from customer where c_mktsegment in ('BUILDING', 'FURNITURE') order by 2, 1 limit 50")
-def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The least sure first, missing confidence as 0."""
-    df = _t(spark, sf_dir, "customer").filter(F.col("c_mktsegment").isin("BUILDING", "FURNITURE"))
-    return df.select("c_custkey", F.coalesce(F.when(F.col("c_acctbal") <= 9000, F.col("c_acctbal")), F.lit(0.0)).alias("confidence")).orderBy("confidence", "c_custkey").limit(50)
-
-
-@_query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25 offset 25")
-def page_2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second page of a ranking."""
-    return _t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(25).limit(25)
-
-
-@_query("with h as (select event_id, sha256(event_type || '|' || user_id) as own from events), c as (select event_id, own, lag(own) over (order by event_id) as prev from h) select count(*) as entries, min(event_id) filter (where event_id = 500) as broken_at, false as ok from c")
-def audit_chain_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chain of hashes with one tampered row, found where it breaks."""
-    e = _t(spark, sf_dir, "events").select("event_id", F.concat_ws("|", "event_type", "user_id").alias("payload"))
-    # each link is made over the stored hash before it, as a log's writer does
-    base = previous(e.withColumn("seed", F.sha2("payload", 256)), "event_id", "seed", "p").withColumn("prev_hash", F.coalesce("p", F.lit(store.GENESIS)))
-    log = base.withColumn("payload", F.when(F.col("event_id") == 500, F.lit("forged")).otherwise(F.col("payload"))).withColumn("hash", F.col("seed"))
-    linked = previous(log, "event_id", "hash", "__before")
-    bad = (F.col("prev_hash") != F.coalesce("__before", F.lit(store.GENESIS))) | (F.col("hash") != F.sha2("payload", 256))
-    return linked.agg(F.count(F.lit(1)).alias("entries"), F.min(F.when(bad, F.col("event_id"))).alias("broken_at")).withColumn("ok", F.col("broken_at").isNull())
-
-
 @_query("select le, n::bigint as n from (select unnest(['5', '10', '50', '100', '+Inf']) as le, unnest([sum((value <= 5)::int), sum((value <= 10)::int), sum((value <= 50)::int), sum((value <= 100)::int), count(value)]) as n from events)")
 def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative buckets of event values."""
@@ -516,13 +462,6 @@ def p95_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.percentile_by_index(_t(spark, sf_dir, "events"), F.col("value"))
 
 
-@_query("select coalesce(o_orderstatus, '*') as status, coalesce(o_orderpriority, '*') as priority, count(*) as n, count(distinct o_custkey) as customers from orders group by grouping sets ((o_orderstatus), (o_orderpriority), ())")
-def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by status, by priority, and over all."""
-    _t(spark, sf_dir, "orders").createOrReplaceTempView("edictum_orders")
-    return spark.sql("select coalesce(o_orderstatus, '*') as status, coalesce(o_orderpriority, '*') as priority, count(*) as n, count(distinct o_custkey) as customers from edictum_orders group by grouping sets ((o_orderstatus), (o_orderpriority), ())")
-
-
 RECORD = """
 IDENTIFICATION DIVISION.
 PROGRAM-ID. CUSTREC.
@@ -556,14 +495,6 @@ def record_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("c_custkey"), "record", F.col("c_acctbal").cast("double").alias("acctbal"), F.col("c_whole").alias("whole"))
 
 
-@_query("select a.v::double as amount, s.v as status from (values (99999.99), (100000.00), (100000.01), (0.0), (0.01)) a(v) cross join (values ('F'), ('O'), (''), ('Z')) s(v)")
-def boundary_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inputs at and next to thresholds, with texts and none."""
-    amounts = spark.createDataFrame([(x,) for x in (99999.99, 100000.0, 100000.01, 0.0, 0.01)], "amount double")
-    states = spark.createDataFrame([(x,) for x in ("F", "O", "", "Z")], "status string")
-    return amounts.crossJoin(states)
-
-
 @_query()
 def boundary_grid_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A generated grid, with what two rule sets decide on it."""
@@ -613,58 +544,6 @@ def visible_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.visible(_t(spark, sf_dir, "customer"), "ann", ["audit"], grants, "c_mktsegment", "c_name").select("c_custkey")
 
 
-@_query("select o_orderstatus as status, count(*) as n from orders group by 1")
-def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by status."""
-    return _t(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@_query("select l_orderkey, count(distinct l_suppkey) as approvers, count(distinct l_suppkey) >= 2 as enough from lineitem group by 1")
-def approvals_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Different approvers of each thing, and whether they are enough."""
-    out = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("approvers"))
-    return out.withColumn("enough", F.col("approvers") >= 2)
-
-
-@_query("select event_id, user_id, event_type from events where event_type = 'purchase' order by event_id desc limit 200")
-def newest_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest 200."""
-    return _t(spark, sf_dir, "events").filter("event_type = 'purchase'").select("event_id", "user_id", "event_type").orderBy(F.desc("event_id")).limit(200)
-
-
-@_query("select event_id from events where ts >= (select max(ts) from events) - interval 3 day")
-def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the last three days."""
-    e = _t(spark, sf_dir, "events").select("event_id", "ts")
-    last = F.broadcast(e.agg(F.max("ts").alias("last")))
-    return e.crossJoin(last).filter(F.col("ts") >= F.col("last") - F.make_dt_interval(F.lit(3))).select("event_id")
-
-
-@_query("select l_orderkey, l_linenumber, l_suppkey from lineitem qualify row_number() over (partition by l_orderkey, l_returnflag order by l_linenumber) = 1")
-def first_edge_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first of several equal edges."""
-    w = Window.partitionBy("l_orderkey", "l_returnflag").orderBy("l_linenumber")
-    return _t(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(w)).filter("n = 1").select("l_orderkey", "l_linenumber", "l_suppkey")
-
-
-@_query("select o_custkey, list(o_orderkey order by o_orderkey)[1] as first_key, count(*) as versions, string_agg(o_orderstatus, '' order by o_orderkey) as states from orders group by 1")
-def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions of each thing in order."""
-    ordered = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus")))
-    out = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(ordered.alias("v"))
-    return out.select("o_custkey", F.col("v")[0]["o_orderkey"].alias("first_key"), F.size("v").cast("long").alias("versions"), F.array_join(F.transform("v", lambda x: x["o_orderstatus"]), "").alias("states"))
-
-
-@_query("""with w as (select o_orderkey, o_custkey, o_totalprice, sum(case when gap > 50000 then 1 else 0 end) over (partition by o_custkey order by o_orderkey rows unbounded preceding) as block from (select *, abs(o_totalprice - lag(o_totalprice, 1, o_totalprice) over (partition by o_custkey order by o_orderkey)) as gap from orders))
- select o_custkey, block::bigint as block, count(*) as n from w group by 1, 2""")
-def rule_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of neighbours that belong together, as numbered blocks."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    o = _t(spark, sf_dir, "orders").withColumn("gap", F.abs(F.col("o_totalprice") - F.lag("o_totalprice", 1).over(w)))
-    o = o.withColumn("block", F.sum(F.when(F.col("gap") > 50000, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return o.groupBy("o_custkey", F.col("block").cast("long").alias("block")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @_query("select event_id, list_sort(list_distinct(regexp_extract_all(lower(event_type || ' ' || props), '[a-z0-9]+')))::varchar as words, len(regexp_extract_all(props, '[0-9]+')) as numbers from events")
 def words_and_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and numbers of a text."""
