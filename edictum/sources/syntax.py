@@ -20,6 +20,8 @@ CLASSES = {"NUMERIC": "is_numeric", "ALPHABETIC": "is_alphabetic", "POSITIVE": "
 SECTIONS = {"WORKING-STORAGE", "LOCAL-STORAGE", "LINKAGE", "FILE", "SCREEN", "REPORT", "COMMUNICATION"}
 USAGES = {"COMP", "COMP-1", "COMP-2", "COMP-3", "COMP-4", "COMP-5", "COMPUTATIONAL", "COMPUTATIONAL-1", "COMPUTATIONAL-2", "COMPUTATIONAL-3", "COMPUTATIONAL-4", "COMPUTATIONAL-5", "BINARY", "PACKED-DECIMAL", "DISPLAY", "INDEX", "POINTER"}
 CLAUSES = {"PIC", "PICTURE", "USAGE", "VALUE", "VALUES", "REDEFINES", "OCCURS", "SIGN", "JUSTIFIED", "JUST", "SYNC", "SYNCHRONIZED", "BLANK", "EXTERNAL", "GLOBAL", "INDEXED", "DEPENDING", "ASCENDING", "DESCENDING", "LEADING", "TRAILING"} | USAGES
+#: Words that end a statement; other names that begin so are names, such as END-PARA.
+ENDS = frozenset(f"END-{v}" for v in (*VERBS, "EXEC", "INVOKE"))
 HANDLERS = ("NOT ON SIZE ERROR", "ON SIZE ERROR", "NOT SIZE ERROR", "SIZE ERROR", "NOT ON EXCEPTION", "ON EXCEPTION", "NOT EXCEPTION", "EXCEPTION", "NOT AT END", "AT END", "NOT INVALID KEY", "INVALID KEY", "NOT INVALID", "INVALID", "NOT ON OVERFLOW", "ON OVERFLOW", "NOT AT END-OF-PAGE", "AT END-OF-PAGE")
 RELATION_WORDS = (("GREATER THAN OR EQUAL TO", ">="), ("GREATER OR EQUAL TO", ">="), ("GREATER THAN OR EQUAL", ">="), ("LESS THAN OR EQUAL TO", "<="), ("LESS OR EQUAL TO", "<="), ("LESS THAN OR EQUAL", "<="), ("GREATER THAN", ">"), ("GREATER", ">"), ("LESS THAN", "<"), ("LESS", "<"), ("EQUAL TO", "=="), ("EQUALS", "=="), ("EQUAL", "=="), ("UNEQUAL TO", "!="), ("UNEQUAL", "!="))
 SYMBOLS = {"=": "==", "<>": "!=", "<": "<", "<=": "<=", ">": ">", ">=": ">="}
@@ -217,7 +219,7 @@ class Parser:
                 self.to_period()
                 here = Paragraph("", section, t.file, t.line)
                 self.program.paragraphs.append(here)
-            elif t.kind in ("WORD", "NUM") and self.peek(1).kind == "PERIOD" and t.value not in VERBS and not t.value.startswith("END-"):
+            elif t.kind in ("WORD", "NUM") and self.peek(1).kind == "PERIOD" and t.value not in VERBS and t.value not in ENDS:
                 self.at += 2
                 here = Paragraph(t.value, section, t.file, t.line)
                 self.program.paragraphs.append(here)
@@ -235,7 +237,7 @@ class Parser:
         """Statements up to a period (left there), a stop word, END-x, ELSE or WHEN."""
         out: list[Statement] = []
         while (t := self.peek()).kind == "WORD":
-            if t.value in ("ELSE", "WHEN") or t.value.startswith("END-") or t.value in stop or self._handler(look=True):
+            if t.value in ("ELSE", "WHEN") or t.value in ENDS or t.value in stop or self._handler(look=True):
                 break
             if t.value not in VERBS:
                 break
@@ -245,7 +247,7 @@ class Parser:
             except (ParseError, ValueError, IndexError) as e:
                 self.program.problems.append(f"{t.file}:{t.line}: {e}")
                 self.at = max(self.at, start + 1)
-                while self.peek().kind not in ("PERIOD", "END") and not (self.peek().kind == "WORD" and (self.peek().value in VERBS or self.peek().value in ("ELSE", "WHEN") or self.peek().value.startswith("END-"))):
+                while self.peek().kind not in ("PERIOD", "END") and not (self.peek().kind == "WORD" and (self.peek().value in VERBS or self.peek().value in ("ELSE", "WHEN") or self.peek().value in ENDS)):
                     self.at += 1
                 continue
             s.end = max(s.line, self.tokens[self.at - 1].line if self.tokens[self.at - 1].file == s.file else s.line)
@@ -283,7 +285,7 @@ class Parser:
                 if self._handler():
                     s.parts.append(Part("handler", None, t.line, self.statements()))
                     continue
-                if t.value in VERBS or t.value in ("ELSE", "WHEN") or t.value.startswith("END-"):
+                if t.value in VERBS or t.value in ("ELSE", "WHEN") or t.value in ENDS:
                     break
             toks.append(self.next())
         s.text = " ".join([s.verb, *(repr(x.value) if x.kind == "STR" else x.value for x in toks)])
@@ -380,7 +382,7 @@ class Parser:
 
     def _s_perform(self, s: Statement) -> None:
         t = self.peek()
-        inline = t.kind == "WORD" and (t.value in VERBS or t.value in ("UNTIL", "VARYING", "WITH", "TEST", "FOREVER") or t.value.startswith("END-")) or (t.kind in ("WORD", "NUM") and self.word("TIMES", ahead=1))
+        inline = t.kind == "WORD" and (t.value in VERBS or t.value in ("UNTIL", "VARYING", "WITH", "TEST", "FOREVER") or t.value in ENDS) or (t.kind in ("WORD", "NUM") and self.word("TIMES", ahead=1))
         if not inline:
             s.targets = [self.next().value]
             if self.skip("OF", "IN"):
@@ -430,7 +432,7 @@ class Parser:
 
     def _names(self) -> list[str]:
         out = []
-        while self.peek().kind == "WORD" and self.peek().value not in VERBS and not self.word("ELSE", "WHEN", "GIVING", "ROUNDED", "REMAINDER", "ON", "NOT", "SIZE", "TO", "UP", "DOWN", "FROM", "BY", "INTO") and not self.peek().value.startswith("END-"):
+        while self.peek().kind == "WORD" and self.peek().value not in VERBS and not self.word("ELSE", "WHEN", "GIVING", "ROUNDED", "REMAINDER", "ON", "NOT", "SIZE", "TO", "UP", "DOWN", "FROM", "BY", "INTO") and not self.peek().value in ENDS:
             out.append(self._reference())
             self.skip("ROUNDED")
         return out
@@ -481,7 +483,7 @@ class Parser:
 
     def _operands_or_names(self) -> list[str]:
         out = []
-        while self.peek().kind == "NUM" or (self.peek().kind == "WORD" and self.peek().value not in VERBS and not self.word("GIVING", "ON", "NOT", "SIZE", "ELSE", "WHEN", "REMAINDER") and not self.peek().value.startswith("END-")):
+        while self.peek().kind == "NUM" or (self.peek().kind == "WORD" and self.peek().value not in VERBS and not self.word("GIVING", "ON", "NOT", "SIZE", "ELSE", "WHEN", "REMAINDER") and not self.peek().value in ENDS):
             out.append(self.next().value if self.peek().kind == "NUM" else self._reference())
             self.skip("ROUNDED")
         return out
@@ -528,7 +530,7 @@ class Parser:
 
     def _s_go(self, s: Statement) -> None:
         self.skip("TO")
-        while self.peek().kind in ("WORD", "NUM") and not self.word("DEPENDING") and self.peek().value not in VERBS and not self.word("ELSE", "WHEN") and not self.peek().value.startswith("END-"):
+        while self.peek().kind in ("WORD", "NUM") and not self.word("DEPENDING") and self.peek().value not in VERBS and not self.word("ELSE", "WHEN") and not self.peek().value in ENDS:
             s.targets.append(self.next().value)
         if self.skip("DEPENDING"):
             self.skip("ON")
