@@ -24,11 +24,11 @@ import numpy as np
 import pyarrow as pa
 
 #: Parts kept in each of two generations, a few hundred bytes each.
-KEPT = 300_000
+KEPT = 450_000
 #: Longer parts are not kept.
 LONGEST = 64
 #: Bytes of text that are cut and encoded at once (or one text, if it is longer).
-BLOCK = 1 << 22
+BLOCK = 1 << 23
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[list(b" \t\n\v\f\r")] = True
 _LETTER, _MARK = np.zeros((2, 256), dtype=bool)
