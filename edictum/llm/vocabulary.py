@@ -24,11 +24,11 @@ import numpy as np
 import pyarrow as pa
 
 #: Parts kept in each of two generations, a few hundred bytes each.
-KEPT = 450_000
+KEPT = 400_000
 #: Longer parts are not kept.
 LONGEST = 64
 #: Bytes of text that are cut and encoded at once (or one text, if it is longer).
-BLOCK = 1 << 23
+BLOCK = 1 << 22
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[list(b" \t\n\v\f\r")] = True
 _LETTER, _MARK = np.zeros((2, 256), dtype=bool)
@@ -88,12 +88,16 @@ class Encoder:
         coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, bounds, pa.py_buffer(data)]).dictionary_encode()
         of_part = self._parts(coded.dictionary.to_pylist())
         index = coded.indices.to_numpy()
-        sizes = np.fromiter(map(len, of_part), dtype=np.int64, count=len(of_part)) // 4
-        first = np.cumsum(sizes) - sizes
+        # a text has less than 2**31 bytes, so 32 bits number its ids
+        sizes = np.fromiter(map(len, of_part), dtype=np.int32, count=len(of_part)) // 4
+        first = np.cumsum(sizes, dtype=np.int32) - sizes
         counts = sizes[index]
-        ends = np.cumsum(counts)
-        ids = np.frombuffer(b"".join(of_part), dtype="<u4")[np.repeat(first[index] - (ends - counts), counts) + np.arange(ends[-1])].tobytes()
-        upto = np.append(0, ends)[np.searchsorted(starts, offsets)] * 4
+        ends = np.cumsum(counts, dtype=np.int32)
+        at = np.repeat(first[index] - (ends - counts), counts)
+        at += np.arange(ends[-1], dtype=np.int32)
+        ids = np.frombuffer(b"".join(of_part), dtype="<u4")[at].tobytes()
+        del at
+        upto = np.append(0, ends).astype(np.int64)[np.searchsorted(starts, offsets)] * 4
         return [ids[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
 
     def encode_column(self, texts: pa.Array) -> Iterator[bytes]:
