@@ -26,7 +26,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates (5-word shingles, similarity 0.8 or more) stays, that of least doc_id."""
+    """One document of each class of near-duplicates stays, that of least doc_id.
+
+    SimHash classes of 5-word shingles, widened so that no pair at a similarity of 0.8 or more is lost; each link is checked.
+    """
     return jaccard.keep_one_of_each(docs)
 
 
