@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edictum.llm import chat, line_templates, media, mixing, packing, posting_lists, rule_ensemble, simhash, token_store, url_filter
+from edictum.llm import chat, conversation_repair, line_templates, media, mixing, packing, posting_lists, rule_ensemble, simhash, token_store, url_filter
 from edictum.llm.workspace import fresh_path, materialize, table
 
 RULES: list[url_filter.Rule] = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -84,6 +84,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), _vocabulary("word_bpe_49k.json"), end_id=1, capacity=2048)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and digest of every conversation, after planted damage."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    repaired, counts = conversation_repair.repair_conversations(conversation_repair.damaged(said))
+    longs = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    none = said.select(F.col("conv_id").cast("long").alias("conv_id")).distinct().select("conv_id", *(F.lit(0).cast("long").alias(c) for c in longs), F.lit("").alias("audit"), F.lit("").alias("repaired_sha256"))
+    found = none.unionByName(counts, allowMissingColumns=True).unionByName(conversation_repair.digests(repaired), allowMissingColumns=True)
+    # a row of each kind for a conversation, so the greatest value is that of the row that has one
+    out = found.groupBy("conv_id").agg(*(F.max(c).alias(c) for c in (*longs, "audit", "repaired_sha256")))
+    return out.withColumn("repaired_sha256", F.when(F.col("repaired_sha256") == "", F.sha2(F.lit(""), 256)).otherwise(F.col("repaired_sha256")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline over documents."""
     import corpus_pipeline
@@ -91,7 +103,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_templates, op2_url_equivalence, op3_posting_lists, op4_rule_ensemble, op5_simhash, op6_simple8b, op7_media, op8_mixing, op9_chat, op10_packing, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_templates, op2_url_equivalence, op3_posting_lists, op4_rule_ensemble, op5_simhash, op6_simple8b, op7_media, op8_mixing, op9_chat, op10_packing, op13_conversation_repair, pipeline)}
 
 ORACLES: dict[str, str] = {
     "op1_line_templates": f"""
@@ -137,4 +149,30 @@ t as (select source, source_size, coalesce(least(cap, flat * w), cap) as target
 e as (select *, coalesce(floor(target / nullif(source_size, 0)::double), 0)::bigint as whole from t),
 o as (select d.*, e.source_size, e.target, e.whole, e.target - e.whole * e.source_size as extra, coalesce(sum(d.size) over (partition by d.source order by key, doc_id rows between unbounded preceding and 1 preceding), 0) + d.size / 2.0::double as mid from d join e on d.source is not distinct from e.source)
 select doc_id, size, source_size, target, (size * (whole + case when size > 0 and mid < extra then 1 else 0 end))::bigint as taken from o""",
+    "op13_conversation_repair": r"""
+with recursive said as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), '') as chars, row_number() over () as id from conversations),
+letters as (select id, unnest(chars) as c, unnest(range(len(chars))) as pos from said),
+bytes as (select id, list(unicode(c)::bigint order by pos) as b from letters group by 1),
+checksum(id, b, pos, crc) as (
+  select id, b, 0, 4294967295::bigint from bytes
+  union all select id, b, pos + 1, list_reduce([xor(crc, b[pos + 1])] || [0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) from checksum where pos < len(b)),
+faulty as (select s.conv_id, s.turn, s.role, s.text, xor(c.crc, 4294967295) % 20 as fault from said s join checksum c on s.id = c.id and c.pos = len(c.b)),
+damaged as (select conv_id, turn, case when fault = 4 then 'user' else role end as role, case when fault = 1 then '' when fault = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case when fault = 3 then 2 else 1 end)) as copy from faulty where fault <> 0),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as pos, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 as again, lag(role) over (partition by conv_id order by turn nulls first, role, text, copy) as former, count(*) over (partition by conv_id) as n, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare from damaged),
+rows as (select *, case when bare = '' then 'blank' when again then 'duplicate' when right(bare, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault, left(role, 1) as k, former is not null and left(former, 1) || left(role, 1) not in ('su', 'ua', 'au') as wrong from placed),
+counts as (select conv_id, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate, count(*) filter (where fault = 'truncated') as truncated, count(*) filter (where wrong) as illegal from rows group by 1),
+way(conv_id, pos, e, s, u, a) as (
+  select conv_id, max(pos), {'c': 0, 'w': '', 't': ''}, {'c': 10, 'w': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}, {'c': 5, 'w': 'I', 't': chr(10) || 'assistant:'}, {'c': 0, 'w': '', 't': ''} from rows group by 1
+  union all
+  select conv_id, pos, least(e, {'c': u.c + 5, 'w': 'I' || u.w, 't': chr(10) || 'user:' || u.t}), least(s, {'c': u.c + 5, 'w': 'I' || u.w, 't': chr(10) || 'user:' || u.t}), u, least(a, {'c': u.c + 5, 'w': 'I' || u.w, 't': chr(10) || 'user:' || u.t})
+  from (select conv_id, pos, e, s, least(u, {'c': a.c + 5, 'w': 'I' || a.w, 't': chr(10) || 'assistant:' || a.t}) as u, a
+    from (select w.conv_id, w.pos - 1 as pos,
+        least({'c': e.c + 2, 'w': 'D' || e.w, 't': e.t}, {'c': s.c + more + case when k = 's' then 0 else 900000 end, 'w': 'K' || s.w, 't': own || s.t}, {'c': u.c + more + case when k = 'u' then 0 else 900000 end, 'w': 'K' || u.w, 't': own || u.t}, {'c': u.c + more + 1, 'w': 'R' || u.w, 't': chr(10) || 'user:' || text || u.t}) as e,
+        least({'c': s.c + 2, 'w': 'D' || s.w, 't': s.t}, {'c': u.c + more + case when k = 'u' then 0 else 900000 end, 'w': 'K' || u.w, 't': own || u.t}, {'c': u.c + more + 1, 'w': 'R' || u.w, 't': chr(10) || 'user:' || text || u.t}) as s,
+        least({'c': u.c + 2, 'w': 'D' || u.w, 't': u.t}, {'c': a.c + more + case when k = 'a' then 0 else 900000 end, 'w': 'K' || a.w, 't': own || a.t}, {'c': a.c + more + 1, 'w': 'R' || a.w, 't': chr(10) || 'assistant:' || text || a.t}) as u,
+        least({'c': a.c + 2, 'w': 'D' || a.w, 't': a.t}, {'c': u.c + more + case when k = 'u' then 0 else 900000 end, 'w': 'K' || u.w, 't': own || u.t}, {'c': u.c + more + 1, 'w': 'R' || u.w, 't': chr(10) || 'user:' || text || u.t}) as a
+      from way w join (select *, case when fault in ('blank', 'duplicate') then 900000 when fault = 'truncated' then 5 else 0 end as more, chr(10) || role || ':' || text as own from rows) r on w.conv_id is not distinct from r.conv_id and w.pos = r.pos))),
+repaired as (select conv_id, e.c as cost, e.w as audit, e.t[2:] as kept from way where pos = 0)
+select i.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit, sha256(coalesce(kept, '')) as repaired_sha256
+from (select distinct conv_id from conversations) i left join counts c on i.conv_id is not distinct from c.conv_id left join repaired r on i.conv_id is not distinct from r.conv_id""",
 }
