@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edictum.llm import chat, conversation_repair, line_templates, media, mixing, packing, posting_lists, rule_ensemble, simhash, token_store, url_filter
+from edictum.llm import chat, contamination, conversation_repair, line_templates, media, mixing, packing, posting_lists, rule_ensemble, simhash, token_store, url_filter
 from edictum.llm.workspace import fresh_path, materialize, table
 
 RULES: list[url_filter.Rule] = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -84,6 +84,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), _vocabulary("word_bpe_49k.json"), end_id=1, capacity=2048)
 
 
+def op11_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document stands in benchmark items."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contamination.digest(contamination.match_documents(docs, table(spark, sf_dir, "benchmark"), length=10, coverage=1.0))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest repair and digest of every conversation, after planted damage."""
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -103,7 +109,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_templates, op2_url_equivalence, op3_posting_lists, op4_rule_ensemble, op5_simhash, op6_simple8b, op7_media, op8_mixing, op9_chat, op10_packing, op13_conversation_repair, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_templates, op2_url_equivalence, op3_posting_lists, op4_rule_ensemble, op5_simhash, op6_simple8b, op7_media, op8_mixing, op9_chat, op10_packing, op11_suffix_automaton, op13_conversation_repair, pipeline)}
 
 ORACLES: dict[str, str] = {
     "op1_line_templates": f"""
@@ -149,6 +155,18 @@ t as (select source, source_size, coalesce(least(cap, flat * w), cap) as target
 e as (select *, coalesce(floor(target / nullif(source_size, 0)::double), 0)::bigint as whole from t),
 o as (select d.*, e.source_size, e.target, e.whole, e.target - e.whole * e.source_size as extra, coalesce(sum(d.size) over (partition by d.source order by key, doc_id rows between unbounded preceding and 1 preceding), 0) + d.size / 2.0::double as mid from d join e on d.source is not distinct from e.source)
 select doc_id, size, source_size, target, (size * (whole + case when size > 0 and mid < extra then 1 else 0 end))::bigint as taken from o""",
+    "op11_suffix_automaton": r"""
+with d as (select row_number() over () as id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select coalesce(item_id::varchar, '') as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+sized as (select item, w, least(10, len(w))::bigint as n from b where len(w) > 0),
+windows as (select distinct item, n, array_to_string(w[i + 1:i + n], ' ') as s from (select *, unnest(range(len(w) - n + 1)) as i from sized)),
+sizes as (select distinct n from windows),
+runs as (select id, n, i, array_to_string(w[i + 1:i + n], ' ') as s from (select d.id, d.w, z.n, unnest(range(greatest(len(d.w) - z.n + 1, 0))) as i from d join sizes z on len(d.w) >= z.n)),
+hits as (select r.id, r.n, r.i, x.item from runs r join windows x using (n, s)),
+hit as (select id, count(distinct p) as n_hit from (select id, unnest(range(i, i + n)) as p from hits) group by 1),
+held as (select id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct id, item from hits) group by 1),
+m as (select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, d.id from d left join hit using (id) left join held using (id))
+select doc_id, n_words, n_hit, n_items, items_sha256, n_hit > 0 as contaminated from m""",
     "op13_conversation_repair": r"""
 with recursive said as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), '') as chars, row_number() over () as id from conversations),
 letters as (select id, unnest(chars) as c, unnest(range(len(chars))) as pos from said),
