@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edictum.llm import chat, contamination, conversation_repair, line_templates, media, mixing, packing, posting_lists, rule_ensemble, simhash, token_store, url_filter
+from edictum.llm import chat, contamination, conversation_repair, line_templates, media, mixing, packing, posting_lists, rule_ensemble, simhash, token_store, url_filter, whitening
 from edictum.llm.workspace import fresh_path, materialize, table
 
 RULES: list[url_filter.Rule] = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -90,6 +90,13 @@ def op11_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.digest(contamination.match_documents(docs, table(spark, sf_dir, "benchmark"), length=10, coverage=1.0))
 
 
+def op12_subspace_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first 32 components, whitened."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors, k=32)
+    return whitening.by_component(whitening.whiten(vectors, model), model)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest repair and digest of every conversation, after planted damage."""
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -109,7 +116,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_templates, op2_url_equivalence, op3_posting_lists, op4_rule_ensemble, op5_simhash, op6_simple8b, op7_media, op8_mixing, op9_chat, op10_packing, op11_suffix_automaton, op13_conversation_repair, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_templates, op2_url_equivalence, op3_posting_lists, op4_rule_ensemble, op5_simhash, op6_simple8b, op7_media, op8_mixing, op9_chat, op10_packing, op11_suffix_automaton, op12_subspace_whitening, op13_conversation_repair, pipeline)}
 
 ORACLES: dict[str, str] = {
     "op1_line_templates": f"""
