@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -56,6 +57,67 @@ class Scan:
         self.hits.sort(key=lambda h: h[:2])
         self._archives: dict[int, int] | None = None
         self._zero = (0, -2)
+        self._chains: dict[str, array] = {}
+        self._chunks: dict[int, tuple[int, int, int, int, int]] = {}
+        self._upto: list[int] | None = None
+
+    def end_of(self, name: str, at: int, step: Callable[[bytes, int], tuple[int | None, bool]]) -> int | None:
+        """Where a chain of blocks ends that begins at ``at``; None if it breaks.
+
+        ``step`` gives the place after the block at a place and whether the chain ends there. All blocks of a chain share
+        its end, so it is kept for each, and no block is walked twice, however many hits lead to it.
+        """
+        ends = self._chains.get(name)
+        if ends is None:
+            ends = self._chains[name] = array("q", bytes(8 * (len(self.data) + 1)))
+        path, i, end, last = [], at, -1, False
+        while i < len(self.data):
+            if ends[i]:
+                end = ends[i]
+                break
+            path.append(i)
+            to, last = step(self.data, i)
+            if to is None or to > len(self.data):
+                break
+            i = to
+            if last:
+                end = i
+                break
+        for i in path:
+            ends[i] = end
+        return end if end > 0 else None
+
+    def chunk(self, at: int) -> tuple[int, int, int, int, int]:
+        """Of the RIFF chunk at ``at``: the place after it, its rank from the end, a place further on, and how many fmt and data chunks follow, itself included.
+
+        Places further on make it quick to find where a chain passes a bound.
+        """
+        b, path, i = self.data, [], at
+        while i + 8 <= len(b) and i not in self._chunks:
+            path.append(i)
+            i += 8 + (n := struct.unpack_from("<I", b, i + 4)[0]) + (n & 1)
+        if i + 8 > len(b):
+            self._chunks[i] = (i, 0, i, 0, 0)
+        for i in reversed(path):
+            n = struct.unpack_from("<I", b, i + 4)[0]
+            to = i + 8 + n + (n & 1)
+            _, rank, far, formats, samples = self._chunks[to]
+            _, middle, farther, *_ = self._chunks[far]
+            skip = farther if rank - middle == middle - self._chunks[farther][1] else to
+            kind = b[i : i + 4]
+            self._chunks[i] = (to, rank + 1, skip, formats + (kind == b"fmt "), samples + (kind == b"data"))
+        return self._chunks[at]
+
+    def crc(self, a: int, z: int) -> int:
+        """The crc32 of the bytes from ``a`` to ``z``; of many, from the sums up to every 4,096th byte."""
+        if z - a <= 2 * _STEP:
+            return zlib.crc32(self.data[a:z])
+        if self._upto is None:
+            self._upto = [0]
+            for i in range(0, len(self.data), _STEP):
+                self._upto.append(zlib.crc32(self.data[i : i + _STEP], self._upto[-1]))
+        before, after = (zlib.crc32(self.data[i // _STEP * _STEP : i], self._upto[i // _STEP]) for i in (a, z))
+        return after ^ _shifted(before, z - a)
 
     def zero(self, at: int) -> int:
         """The first zero byte from ``at`` on, or -1; what the last search saw isn't searched again."""
@@ -90,67 +152,94 @@ class Scan:
         return self._archives
 
 
+#: Sums of all bytes so far are kept for every so many bytes.
+_STEP = 4096
 #: Fixed values of the formats: what the end of a PDF file has, and the end record of a ZIP archive.
 PDF_START, PDF_END, PDF_TABLE, ZIP_END = b"%PDF-", b"%%EOF", b"startxref", b"PK\x05\x06"
 
 
+def _product(a: int, b: int) -> int:
+    """Of two polynomials over one bit, as crc32 has them (highest power first, in the lowest bit), modulo its own."""
+    out = 0
+    while a:
+        if a & 0x80000000:
+            out ^= b
+        a = a << 1 & 0xFFFFFFFF
+        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+    return out
+
+
+@lru_cache(maxsize=1)
+def _powers() -> list[int]:
+    """x to 8, 16, 32, ...: what a crc32 is multiplied by as a byte, two bytes, four bytes, ... follow."""
+    out = [0x00800000]
+    while len(out) < 40:
+        out.append(_product(out[-1], out[-1]))
+    return out
+
+
+def _shifted(crc: int, n: int) -> int:
+    """What a crc32 adds to that of its bytes and ``n`` more."""
+    for k, power in enumerate(_powers()):
+        if n >> k & 1:
+            crc = _product(crc, power)
+    return crc
+
+
 def _png(scan: Scan, at: int) -> int | None:
     b = scan.data
-    i, first = at + 8, True
-    while i + 12 <= len(b):
+    if b[at + 8 : at + 16] != b"\0\0\0\rIHDR":
+        return None
+
+    def step(b: bytes, i: int) -> tuple[int | None, bool]:
+        if i + 12 > len(b):
+            return None, False
         n, kind = struct.unpack_from(">I4s", b, i)
-        if i + 12 + n > len(b) or (first and (kind != b"IHDR" or n != 13)) or zlib.crc32(b[i + 4 : i + 8 + n]) != struct.unpack_from(">I", b, i + 8 + n)[0]:
-            return None
-        i, first = i + 12 + n, False
-        if kind == b"IEND":
-            return i - at
-    return None
+        whole = i + 12 + n <= len(b) and scan.crc(i + 4, i + 8 + n) == struct.unpack_from(">I", b, i + 8 + n)[0]
+        return (i + 12 + n if whole else None), kind == b"IEND"
+
+    end = scan.end_of("png", at + 8, step)
+    return end - at if end else None
 
 
 def _gif(scan: Scan, at: int) -> int | None:
     b = scan.data
     if at + 13 > len(b):
         return None
-    i = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0)
 
-    def blocks(i: int) -> int | None:
-        while i < len(b):
-            if not b[i]:
-                return i + 1
-            i += 1 + b[i]
-        return None
+    def data(b: bytes, i: int) -> tuple[int | None, bool]:
+        return i + 1 + b[i], not b[i]
 
-    while i is not None and i < len(b):
+    def step(b: bytes, i: int) -> tuple[int | None, bool]:
         if b[i] == 0x3B:
-            return i + 1 - at
+            return i + 1, True
         if b[i] == 0x21:
-            i = blocks(i + 2)
-        elif b[i] == 0x2C and i + 10 < len(b):
-            i = blocks(i + 11 + (3 << (b[i + 9] & 7) + 1 if b[i + 9] & 0x80 else 0))
-        else:
-            return None
-    return None
+            return scan.end_of("gif data", i + 2, data), False
+        if b[i] == 0x2C and i + 10 < len(b):
+            return scan.end_of("gif data", i + 11 + (3 << (b[i + 9] & 7) + 1 if b[i + 9] & 0x80 else 0), data), False
+        return None, False
+
+    end = scan.end_of("gif", at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0), step)
+    return end - at if end else None
 
 
 def _jpeg(scan: Scan, at: int) -> int | None:
-    b = scan.data
-    i = at + 2
-    while i + 4 <= len(b):
-        if b[i] != 0xFF:
-            return None
-        kind = b[i + 1]
-        if kind == 0xD9:
-            return i + 2 - at
-        n = struct.unpack_from(">H", b, i + 2)[0]
+    def step(b: bytes, i: int) -> tuple[int | None, bool]:
+        if b[i : i + 2] == b"\xff\xd9":
+            return i + 2, True
+        if i + 4 > len(b) or b[i] != 0xFF:
+            return None, False
+        kind, n = b[i + 1], struct.unpack_from(">H", b, i + 2)[0]
         if kind < 0xC0 or 0xD0 <= kind <= 0xD8 or n < 2:
-            return None
+            return None, False
         i += 2 + n
         if kind == 0xDA:  # entropy-coded data: up to a marker that is neither stuffing nor a restart
             while (i := b.find(b"\xff", i)) >= 0 and i + 1 < len(b) and (b[i + 1] == 0 or 0xD0 <= b[i + 1] <= 0xD7):
                 i += 2
-            if i < 0:
-                return None
-    return i + 2 - at if b[i : i + 2] == b"\xff\xd9" else None
+        return (i if i >= 0 else None), False
+
+    end = scan.end_of("jpeg", at + 2, step)
+    return end - at if end else None
 
 
 def _riff(form: bytes) -> Callable[[Scan, int], int | None]:
@@ -161,12 +250,12 @@ def _riff(form: bytes) -> Callable[[Scan, int], int | None]:
         end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
         if end > len(b):
             return None
-        i, seen = at + 12, set()
-        while i + 8 <= end:
-            kind, n = struct.unpack_from("<4sI", b, i)
-            seen.add(kind)
-            i += 8 + n + (n & 1)
-        if i not in (end, end + 1) or (form == b"WAVE" and not {b"fmt ", b"data"} <= seen):
+        first, i = scan.chunk(at + 12), at + 12
+        while i + 8 <= end:  # the first chunk that doesn't fit
+            to, _, far, *_ = scan.chunk(i)
+            i = far if far + 8 <= end else to
+        *_, formats, samples = scan.chunk(i)
+        if i not in (end, end + 1) or (form == b"WAVE" and (first[3] == formats or first[4] == samples)):
             return None
         return end - at
 
@@ -222,30 +311,25 @@ def _gzip(scan: Scan, at: int) -> int | None:
 
 
 def _ogg(scan: Scan, at: int) -> int | None:
-    b = scan.data
-    i = at
-    while i + 27 <= len(b) and b[i : i + 5] == b"OggS\x00":
-        kind, segments = b[i + 5], b[i + 26]
-        end = i + 27 + segments + sum(b[i + 27 : i + 27 + segments])
-        if end > len(b) or i + 27 + segments > len(b):
-            return None
-        i = end
-        if kind & 4:
-            return i - at
-    return None
+    def step(b: bytes, i: int) -> tuple[int | None, bool]:
+        if i + 27 > len(b) or b[i : i + 5] != b"OggS\x00":
+            return None, False
+        segments = b[i + 26]
+        return i + 27 + segments + sum(b[i + 27 : i + 27 + segments]), bool(b[i + 5] & 4)
+
+    end = scan.end_of("ogg", at, step)
+    return end - at if end else None
 
 
 def _flac(scan: Scan, at: int) -> int | None:
+    def step(b: bytes, i: int) -> tuple[int | None, bool]:
+        return (i + 4 + int.from_bytes(b[i + 1 : i + 4], "big") if i + 4 <= len(b) else None), bool(b[i] & 0x80)
+
     b = scan.data
-    i = at + 4
-    while i + 4 <= len(b):
-        last, n = b[i] & 0x80, int.from_bytes(b[i + 1 : i + 4], "big")
-        if i == at + 4 and (b[i] & 0x7F or n != 34) or i + 4 + n > len(b):
-            return None
-        i += 4 + n
-        if last:
-            return len(b) - at if b[i : i + 1] in (b"\xff", b"") else None  # frames have no length: they go to the end
-    return None
+    if b[at + 4 : at + 5] not in (b"\x00", b"\x80") or b[at + 5 : at + 8] != b"\x00\x00\x22":
+        return None
+    end = scan.end_of("flac", at + 4, step)
+    return len(b) - at if end and b[end : end + 1] in (b"\xff", b"") else None  # frames have no length: they go to the end
 
 
 #: Fixed values of the formats: magic bytes, how far into the media they are, type, validator.
@@ -367,7 +451,8 @@ def inspect_media(media: DataFrame) -> DataFrame:
 
     Media that are null or of no known type keep the declared type and have null payload columns.
     ``embedded`` lists type, start and length of media found further in, also inside the samples, and of what containers hold.
-    A text full of start and end marks takes time in proportion to its length.
+    A text full of start and end marks takes time in proportion to its length, times its logarithm for chunks and
+    checksums; only gzip streams are inflated for each hit, up to where they break.
     """
     kinds = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("declared", pa.string()), ("media_type", pa.string()), ("embedded", pa.list_(pa.string()))])
 

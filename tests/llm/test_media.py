@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import io
+import random
 import struct
 import time
 import zipfile
@@ -76,6 +77,57 @@ def test_texts_full_of_marks(mark):
     assert time.perf_counter() - start < 20
 
 
+OGG = b"OggS\0\0" + bytes(20) + b"\1\0"
+HOSTILE = {
+    "ogg pages without an end": OGG * 180_000,
+    "gif heads and blocks": (b"GIF89a" + bytes(7) + b"!\xf9\x01") * 300_000,
+    "gif data of one byte": b"GIF89a" * 400_000 + bytes(7) + b"!\xf9" + b"\x01" * 2_500_000,
+    "jpeg heads and segments": (b"\xff\xd8\xff\xe0\x00\x02" + b"\xff\xe1\x00\x02") * 500_000,
+    "flac blocks": b"fLaC\x00\x00\x00\x22" * 300_000 + b"\x01\x00\x00\x00" * 600_000,
+    "png chunks to the end": b"".join(b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + bytes(13) + struct.pack(">I", zlib.crc32(b"IHDR" + bytes(13))) + struct.pack(">I4s", 41 * (50_000 - i - 1), b"tEXt") for i in range(50_000)) + b"abcd",
+    "riff heads before small chunks": b"".join(b"RIFF" + struct.pack("<I", 12 * (150_000 - i) - 8 + 8 * (i % 1000)) + b"WAVE" for i in range(150_000)) + b"abcd\0\0\0\0" * 300_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_chains_that_many_hits_share(name):
+    """No chain of blocks is walked for each hit on it."""
+    start = time.perf_counter()
+    media.sniff(HOSTILE[name])
+    assert time.perf_counter() - start < 20
+
+
+@given(st.integers(0, 9), st.integers(0, 30_000), st.integers(0, 30_000))
+@settings(max_examples=100, deadline=None)
+def test_checksums_of_parts(seed, a, z):
+    data = random.Random(seed).randbytes(30_000)
+    a, z = min(a, z), max(a, z)
+    assert media.Scan(data).crc(a, z) == zlib.crc32(data[a:z])
+
+
+def _plain_riff(b, at, form):
+    if at + 12 > len(b) or b[at + 8 : at + 12] != form:
+        return None
+    end, i, seen = at + 8 + struct.unpack_from("<I", b, at + 4)[0], at + 12, set()
+    if end > len(b):
+        return None
+    while i + 8 <= end:
+        kind, n = struct.unpack_from("<4sI", b, i)
+        seen.add(kind)
+        i += 8 + n + (n & 1)
+    return None if i not in (end, end + 1) or (form == b"WAVE" and not {b"fmt ", b"data"} <= seen) else end - at
+
+
+@given(st.lists(st.sampled_from([b"RIFF", b"WAVE", b"AVI ", b"fmt ", b"data", b"abcd", bytes(4), b"\4\0\0\0", b"\x10\0\0\0", b"\x18\0\0\0", b"\x24\0\0\0", b"\x44\0\0\0"]), max_size=60).map(b"".join))
+@settings(max_examples=500, deadline=None)
+def test_riff_chunks_against_a_plain_walk(data):
+    scan = media.Scan(data)
+    for at in range(len(data)):
+        if data[at : at + 4] == b"RIFF":
+            for form in (b"WAVE", b"AVI "):
+                assert media._riff(form)(scan, at) == _plain_riff(data, at, form)
+
+
 def test_the_query_on_a_table(spark):
     from edictum.llm.queries import op7_media
 
