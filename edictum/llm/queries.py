@@ -139,10 +139,9 @@ select doc_id, n_lines::bigint as n_lines, n_dropped::bigint as n_dropped, md5(k
 with recursive p as (select page_id, url, html, lower(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)) as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
 rules(verdict, h, pre) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 markup as (select url, regexp_replace(html, '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)', ' ', 'g') as html from pages where url like '%://%' and regexp_matches(html, '(?i)canonical|refresh')),
-found as (
-  select url, unnest(list_concat(list_concat(regexp_extract_all(html, '(?is)<link\b[^>]*?\brel\s*=\s*["'']?canonical\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)', 1), regexp_extract_all(html, '(?is)<link\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*?\brel\s*=\s*["'']?canonical\b', 1)),
-    list_concat(regexp_extract_all(html, '(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*?\burl\s*=\s*["'']?([^"''\s>]+)', 1), regexp_extract_all(html, '(?is)<meta\b[^>]*?\burl\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*?\bhttp-equiv\s*=\s*["'']?refresh\b', 1)))) as t
-  from markup),
+tags as (select url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^<>]*>')) as tag from markup),
+found as (select url, case when regexp_matches(tag, '(?is)^<link\b.*[\s"''/]rel\s*=\s*["'']?canonical\b') then regexp_extract(tag, '(?i)[\s"''/]href\s*=\s*["'']?([^"''\s>]+)', 1)
+  when regexp_matches(tag, '(?is)^<meta\b.*[\s"''/]http-equiv\s*=\s*["'']?refresh\b') then regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) end as t from tags),
 edge as (select regexp_replace(url, '#.*$', '', 's') as a, regexp_replace(case when t like '%://%' then t when t like '/%' then regexp_extract(url, '^.*?://[^/?#]*') || t else regexp_extract(url, '^.*?://[^?#]*/') || t end, '#.*$', '', 's') as b from found where t <> ''),
 sym as (select a, b from edge union select b, a from edge),
 reach(a, b) as (select a, a from sym union select reach.a, sym.b from reach join sym on reach.b = sym.a),

@@ -18,13 +18,10 @@ from edictum.llm.workspace import materialize
 AZ, az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path).
 Rule = tuple[str, str, str]
-#: Links in tags, with their attributes in either order, and what is no part of a page's markup.
-_LINKS = (
-    r"""(?is)<link\b[^>]*?\brel\s*=\s*["']?canonical\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""",
-    r"""(?is)<link\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)["']?[^>]*?\brel\s*=\s*["']?canonical\b""",
-    r"""(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["']?refresh\b[^>]*?\burl\s*=\s*["']?([^"'\s>]+)""",
-    r"""(?is)<meta\b[^>]*?\burl\s*=\s*["']?([^"'\s>]+)["']?[^>]*?\bhttp-equiv\s*=\s*["']?refresh\b""",
-)
+#: Tags that can hold links (one ends before the next ``<``, so no page is searched twice), what makes them do, and what is no part of a page's markup.
+_TAGS = r"(?i)<(?:link|meta)\b[^<>]*+>"
+_CANONICAL, _HREF = r"""(?is)^<link\b.*[\s"'/]rel\s*=\s*["']?canonical\b""", r"""(?i)[\s"'/]href\s*=\s*["']?([^"'\s>]+)"""
+_REFRESH, _URL = r"""(?is)^<meta\b.*[\s"'/]http-equiv\s*=\s*["']?refresh\b""", r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""
 _NO_MARKUP = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)"
 
 
@@ -54,14 +51,16 @@ def address(url: Column) -> Column:
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``url``, ``alias``: all canonical and redirect targets in the pages, made absolute.
 
-    Tags in comments and scripts don't count. Relative targets are completed by scheme and host of the page; those without an absolute
+    Tags in comments and scripts don't count; neither do tags with ``<`` or ``>`` in their attributes, or without an end. A page takes
+    time in proportion to its length. Relative targets are completed by scheme and host of the page; those without an absolute
     page url are ignored, as are null urls and pages.
     """
     html, url = F.col(html_col), F.col(url_col)
     marked = pages.select(url.alias("url"), html.alias("html")).filter(F.col("html").rlike("(?i)canonical|refresh") & F.col("url").contains("://"))
     marked = marked.withColumn("html", F.regexp_replace("html", _NO_MARKUP, " "))
-    found = F.concat(*(F.regexp_extract_all("html", F.lit(p), F.lit(1)) for p in _LINKS))
-    each = marked.select("url", F.explode(F.array_distinct(found)).alias("t")).filter("t <> ''").withColumn("t", F.replace("t", F.lit("&amp;"), F.lit("&")))
+    tags = marked.select("url", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(_TAGS), F.lit(0)))).alias("tag"))
+    target = F.when(F.col("tag").rlike(_CANONICAL), F.regexp_extract("tag", _HREF, 1)).when(F.col("tag").rlike(_REFRESH), F.regexp_extract("tag", _URL, 1))
+    each = tags.select("url", target.alias("t")).filter("t <> ''").withColumn("t", F.replace("t", F.lit("&amp;"), F.lit("&")))
     scheme, site = F.regexp_extract("url", r"(?s)^(.*?)://", 1), F.regexp_extract("url", r"(?s)^.*?://[^/?#]*", 0)
     folder = F.concat(site, F.coalesce(F.nullif(F.regexp_extract(path_of(F.col("url")), r"(?s)^.*/", 0), F.lit("")), F.lit("/")))
     full = F.when(F.col("t").contains("://"), F.col("t")).when(F.col("t").startswith("//"), F.concat(scheme, F.lit(":"), F.col("t"))).when(F.col("t").startswith("/"), F.concat(site, F.col("t"))).otherwise(F.concat(folder, F.col("t")))

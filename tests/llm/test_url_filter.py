@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -95,3 +96,15 @@ def test_large_class_and_empty_table(spark):
 def test_very_long_url_and_page(spark):
     pages = [(1, "http://long.net/" + "a" * 200_000, "x" * 500_000 + LINK.format("http://q.com/de/"))]
     assert got(judge(spark.createDataFrame(pages, SCHEMA), RULES)) == brute(pages, [(pages[0][1], "http://q.com/de/")])
+
+
+def test_hostile_pages(spark):
+    """Megabytes of beginnings that never come to an end take seconds."""
+    parts = ["<link rel=canonical ", "<link rel = canonical href", "<meta http-equiv=refresh content=url ", "rel=canonical ", "href=" + " " * 50, "<!-- canonical ", "<script canonical "]
+    link = "<link rel=canonical href=http://b.com/de/1>"
+    htmls = [("<link " if p == "rel=canonical " else "") + p * (1_000_000 // len(p)) + link for p in parts]
+    pages = spark.createDataFrame([(i, f"http://a.net/{i}", h) for i, h in enumerate(htmls)], SCHEMA)
+    start = time.perf_counter()
+    got = {r.page_id: r.verdict for r in judge(pages, RULES).collect()}
+    assert time.perf_counter() - start < 60
+    assert got == {i: "allow" if p.startswith(("<!", "<s")) else "block" for i, p in enumerate(parts)}
