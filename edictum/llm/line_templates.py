@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edictum.llm.workspace import join_unevenly, materialize, materialize_counted
+from edictum.llm.workspace import OWN, apart, join_unevenly, materialize, materialize_counted
 
 DEPTH = 4
 FIFTH = 5
@@ -84,8 +84,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     part and stay as they are. An empty table gives no rows. Columns named n_lines or n_dropped
     are replaced. A document of very many lines takes time in proportion to them.
     """
-    text = F.col(text_col)
-    keyed = docs.withColumn("__doc", F.col(id_col).cast("long")).withColumn("__th", F.xxhash64(text))
+    text = F.col(f"{OWN}.`{text_col}`")
+    keyed = apart(docs).withColumn("__doc", F.col(f"{OWN}.`{id_col}`").cast("long")).withColumn("__th", F.xxhash64(text))
     gone = dropped_lines(keyed.filter(F.col("__doc").isNotNull() & text.isNotNull()).select(F.col("__doc").alias("doc"), F.col("__th").alias("th"), text.alias("text")))
     gone = gone.select(F.col("doc").alias("__d"), F.col("th").alias("__t"), F.col("gone").alias("__gone"))
     out = keyed.hint("merge").join(gone.hint("merge"), (F.col("__doc") == F.col("__d")) & (F.col("__th") == F.col("__t")), "left")
@@ -94,7 +94,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     out = out.withColumn("__lines", F.when(F.col("__gone").isNotNull(), lines))
     kept = F.transform(left, lambda i: F.get(F.col("__lines"), i))
-    out = out.withColumn("n_lines", F.when(text.isNull(), 0).otherwise(F.size(lines))).withColumn("n_dropped", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")))
-    out = out.withColumn(text_col, F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n")).otherwise(text))
-    extra = [c for c in ("n_lines", "n_dropped") if c not in docs.columns]
-    return out.select(*docs.columns, *extra)
+    counts = {"n_lines": F.when(text.isNull(), 0).otherwise(F.size(lines)), "n_dropped": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone"))}
+    new = counts | {text_col: F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n")).otherwise(text)}
+    names = [*docs.columns, *(c for c in counts if c not in docs.columns)]
+    return out.select(*(new[c].alias(c) if c in new else F.col(f"{OWN}.`{c}`") for c in names))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edictum.llm.workspace import broadcast_if_small, materialize
+from edictum.llm.workspace import OWN, apart, broadcast_if_small, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources up to this number are broadcast, with their targets.
@@ -108,15 +108,19 @@ def with_plan(rows: DataFrame, plan: DataFrame, source: Column) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is taken. Rows without words have nothing to take and go."""
+    """The mix itself: the rows of ``docs`` with all their columns, each as often as it is taken.
+
+    Rows without words, of null or empty texts too, have nothing to take and go. Very long texts are rows like others. An empty table gives no rows.
+    """
     sized, plan = mix(docs, **options)
-    id_col, text, source = F.col(options.get("id_col", "doc_id")), F.col(options.get("text_col", "text")), F.col(options.get("source_col", "source")).cast("string")
+    id_col, text, source = (F.col(f"{OWN}.`{options.get(f'{c}_col', n)}`") for c, n in (("id", "doc_id"), ("text", "text"), ("source", "source")))
+    source = source.cast("string")
     # of the rows that are equal in id and text and hold the cut: all, and those taken once more
     at_cut = with_plan(sized.filter("size > 0").withColumnRenamed("source", "__of"), plan.select("source", "cut"), F.col("__of")).filter(F.substring("key", 1, GROUP) == F.substring("cut", 1, GROUP))
     at_cut = at_cut.groupBy(F.col("__of").alias("of")).agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("key") <= F.col("cut")).alias("some"))
     plan = plan.join(at_cut, F.col("source").eqNullSafe(F.col("of")), "left")
     plan = materialize(plan.select("source", F.col("whole").alias("__whole"), F.substring("cut", 1, GROUP).alias("__cut"), F.coalesce(F.col("all"), F.lit(0)).alias("__all"), F.coalesce(F.col("some"), F.lit(0)).alias("__some")), "plan")
-    keyed = docs.withColumn("__key", order_key(id_col, text, options.get("seed", 17))).filter(F.coalesce(text.rlike(WORD), F.lit(False)))
+    keyed = apart(docs).withColumn("__key", order_key(id_col, text, options.get("seed", 17))).filter(F.coalesce(text.rlike(WORD), F.lit(False)))
     out = with_plan(keyed, plan, source)
     parted = plan.filter("0 < __some and __some < __all")
     more = F.col("__key") < F.col("__cut")
@@ -132,4 +136,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         out = out.filter(~split).withColumn("__more", more | (F.col("__key") == F.col("__cut")) & (F.col("__some") > 0))
         out = out.unionByName(equal.select(*out.columns))
     n = F.col("__whole") + F.when(F.col("__more"), 1).otherwise(0)
-    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*docs.columns)
+    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(f"{OWN}.*")

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edictum.llm.workspace import OWN, apart
 from edictum.shipping import ship_package
 
 #: Byte classes of UTF-8 text; their counts are the raw statistics.
@@ -193,5 +194,6 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_ro
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text; null texts are scored as empty ones. A column named as the score is replaced."""
     ship_package(docs.sparkSession)
-    stats = docs.withColumn("__stats", statistics_column(F.col(text_col)))
-    return stats.withColumn(score_col, model.column(feature_columns("__stats"))).drop("__stats")
+    stats = apart(docs).select(OWN, statistics_column(F.col(f"{OWN}.`{text_col}`")).alias("stats"))
+    score = model.column(feature_columns("stats")).alias(score_col)
+    return stats.select(*(score if c == score_col else F.col(f"{OWN}.`{c}`") for c in docs.columns), *([] if score_col in docs.columns else [score]))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edictum.llm.components import connected_components
-from edictum.llm.workspace import join_unevenly, materialize, materialize_counted
+from edictum.llm.workspace import OWN, apart, join_unevenly, materialize, materialize_counted
 from edictum.shipping import ship_package
 
 THRESHOLD = 2
@@ -174,8 +174,8 @@ def one_of_each(docs: DataFrame, classes_of: Callable[[DataFrame], DataFrame]) -
     are told apart by id and text: different texts of one id each stay or go with their own
     class. Of rows repeated in both, one stays. Rows without a doc_id are kept.
     """
-    keyed = docs.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__th", F.xxhash64("text"))
-    classed = classes_of(keyed.filter("__doc is not null").select(F.col("__doc").alias("doc"), F.col("__th").alias("th"), "text"))
+    keyed = apart(docs).withColumn("__doc", F.col(f"{OWN}.doc_id").cast("long")).withColumn("__th", F.xxhash64(f"{OWN}.text"))
+    classed = classes_of(keyed.filter("__doc is not null").select(F.col("__doc").alias("doc"), F.col("__th").alias("th"), f"{OWN}.text"))
     classed, total = materialize_counted(classed.groupBy("doc", "th").agg(F.first("class").alias("class"), F.count(F.lit(1)).alias("n")), "classed")
     first = materialize(classed.groupBy("class").agg(F.min(F.struct("doc", "th")).alias("keep"), F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "first")
     alone = classed.filter("n > 1").join(first.select("class"), "class", "left_anti").withColumn("keep", F.struct("doc", "th"))
@@ -186,4 +186,4 @@ def one_of_each(docs: DataFrame, classes_of: Callable[[DataFrame], DataFrame]) -
     repeated = materialize(gone.filter("kept"), "repeated")
     if not repeated.isEmpty():
         out = out.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates(["__doc", "__th"]))
-    return out.select(*docs.columns)
+    return out.select(f"{OWN}.*")

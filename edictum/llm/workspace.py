@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 from edictum.workspace import broadcast_if_small, discard, fresh_path, materialize, materialize_counted, shared_dir
 
-__all__ = ["broadcast_if_small", "discard", "fresh_path", "join_unevenly", "materialize", "materialize_counted", "shared_dir", "HEAVY", "table"]
+__all__ = ["OWN", "apart", "broadcast_if_small", "discard", "fresh_path", "join_unevenly", "materialize", "materialize_counted", "shared_dir", "HEAVY", "table"]
 
 #: A key is heavy if it has over 1/HEAVY of an even partition's rows, so there are fewer than HEAVY heavy keys a partition.
 HEAVY = 8
 
 
+OWN = "own"
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """``df`` as one column OWN, a struct of all its columns, so that columns put beside it can have any name."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(OWN))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

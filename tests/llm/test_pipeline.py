@@ -3,6 +3,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests_llm_helpers import kept_lines, survivors
 
 from edictum.llm import mixing, queries, rule_ensemble
@@ -85,3 +86,17 @@ def test_odd_rows_in_each_stage(spark, name):
         assert all(r["text"] for r in got) and max(Counter((r["doc_id"], r["text"]) for r in got).values()) <= 4
     if name == "pack":
         assert Counter(r["doc_id"] for r in got if r["start"] == 0) == Counter(r[0] for r in ODD)
+
+
+HELPERS = ["own", "__key", "__doc", "__th", "__lines", "__gone", "__stats", "__score", "__whole", "__more", "__copy", "__source", "stats", "score", "class", "n", "n_lines", "n_dropped"]
+
+
+@pytest.mark.parametrize("name", ["quality", "line_dedup", "near_duplicates", "mix"])
+def test_columns_of_any_name_keep_their_values(spark, name):
+    """Names that operators use for their own columns, and one with a dot."""
+    names = [*HELPERS, "a.b"]
+    docs = table(spark, SF, "documents").select("*", *((F.col("doc_id") * 100 + j).alias(c) for j, c in enumerate(names)))
+    out = dict(corpus_pipeline.STAGES)[name](spark, materialize(docs, "named"), SF)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert got and all(tuple(r)[5:] == tuple(100 * r["doc_id"] + j for j in range(len(names))) for r in got)
