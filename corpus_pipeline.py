@@ -10,19 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edictum.llm import jaccard, line_templates, mixing, packing, queries, rule_ensemble
-from edictum.llm.workspace import materialize, table
+from edictum.llm.workspace import OWN, apart, materialize, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble rejects go."""
+    """Documents that the rule ensemble rejects go. Null texts are scored as empty ones; rows are kept or not by themselves, other columns stay as they are."""
     model = rule_ensemble.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    return rule_ensemble.score_documents(docs, model, score_col="__score").filter(F.col("__score") >= queries.QUALITY).select(*docs.columns)
+    scored = rule_ensemble.score_documents(apart(docs).select(OWN, F.col(f"{OWN}.text")), model)
+    return scored.filter(F.col("score") >= queries.QUALITY).select(f"{OWN}.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go but in their first place; documents stay, if empty, and n_chars follows the text."""
-    out = line_templates.dedup_lines(docs).select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    out = line_templates.dedup_lines(apart(docs).select(OWN, F.col(f"{OWN}.doc_id"), F.col(f"{OWN}.text")))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    return out.select(*(new.get(c, F.col(f"{OWN}.`{c}`")).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; those without words, with null texts too, go."""
     return mixing.mixed_documents(docs)
 
 
