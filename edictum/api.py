@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edictum.functions.glossary import Glossary
-from edictum.operators import algebra, export, graph, search, store, verify
+from edictum.operators import algebra, export, graph, index, search, store, verify
 from edictum.plans.compile import score
 from edictum.plans.evaluate import decide
 from edictum.plans.ir import Rule, inputs, rule_from
@@ -93,9 +93,12 @@ class Workbench:
     def list_rules(self, question: str | None = None, page: int = 1, page_size: int = 50, user: str = "", groups: Iterable[str] = (), grants: list[dict] | None = None, **filters: Any) -> DataFrame:
         """A page of the rules that match filters and question and that the user may see."""
         rows = store.visible(self.store.latest_rules(**filters), user, groups, grants, "program_id", "name", "program_file")
-        table = search.rules_table(self.spark, [rule_from(json.loads(r["document"])) for r in rows.select("document").collect()])
         size = max(1, min(page_size, 200))
-        return search.search(table, question, size, (page - 1) * size)
+        return search.search(search.rule_rows(rows), question, size, (page - 1) * size)
+
+    def write_index(self, path: str) -> index.Index:
+        """An inverted index of all current rules, for stores in which a search shouldn't read every rule."""
+        return index.Index.write(search.rule_rows(self.store.latest_rules()), path)
 
     def rule_trace(self, rule_id: str, context: int = 3) -> DataFrame:
         """The source around a rule."""

@@ -6,14 +6,16 @@ table of rules, ranking a top-k with rule_id as the last word.
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edictum.plans.ir import Rule, leaves
+from edictum.plans.ir import Rule, leaves, rule_from
+from edictum.shipping import ship_package
 
 #: Words that stand for other words, words without weight, and phrases that compare.
 SYNONYMS = {
@@ -62,15 +64,36 @@ def has_stem(text: Column, term: str) -> Column:
     return F.lower(text).rlike(f"(?<![a-z0-9])(?:{'|'.join(map(re.escape, words))})(?![a-z0-9])") if words else F.lit(False)
 
 
+ROWS = "rule_id string, title string, concepts array<string>, body string, tests array<struct<op:string,values:array<double>>>"
+_TEST = pa.struct([("op", pa.string()), ("values", pa.list_(pa.float64()))])
+_ROWS = pa.schema([("rule_id", pa.string()), ("title", pa.string()), ("concepts", pa.list_(pa.string())), ("body", pa.string()), ("tests", pa.list_(_TEST))])
+
+
+def _search_row(r: Rule) -> tuple:
+    """What of a rule is searched, in the order of ROWS."""
+    tests = list(leaves(r.conditions))
+    said = [r.title, r.intent, *r.concepts, *(x["field"] for x in tests), *(a.target or "" for a in (*r.actions, *r.else_actions)), r.domain.replace("_", " ")]
+    values = lambda x: [float(v) for v in (x["value"] if isinstance(x.get("value"), (list, tuple)) else [x.get("value")]) if isinstance(v, (int, float))]
+    return r.rule_id, r.title, list(r.concepts), " ".join(said), [(x["op"], values(x)) for x in tests]
+
+
 def rules_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
     """Rules as rows to search: rule_id, title, concepts, body, and their comparisons (op, values)."""
-    rows = []
-    for r in rules:
-        tests = list(leaves(r.conditions))
-        body = " ".join([r.title, r.intent, *r.concepts, *(x["field"] for x in tests), *(a.target or "" for a in (*r.actions, *r.else_actions)), r.domain.replace("_", " ")])
-        values = lambda x: [float(v) for v in (x["value"] if isinstance(x.get("value"), (list, tuple)) else [x.get("value")]) if isinstance(v, (int, float))]
-        rows.append((r.rule_id, r.title, list(r.concepts), body, [(x["op"], values(x)) for x in tests]))
-    return spark.createDataFrame(rows, "rule_id string, title string, concepts array<string>, body string, tests array<struct<op:string,values:array<double>>>")
+    return spark.createDataFrame(list(map(_search_row, rules)), ROWS)
+
+
+def rule_rows(rules: DataFrame, document: str = "document") -> DataFrame:
+    """The same rows from a table of rule documents (JSON), read in tasks; rows without a document are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_search_row(rule_from(json.loads(d))) for d in batch.column(0).to_pylist()]
+            cols = [list(c) for c in zip(*rows)] or [[] for _ in _ROWS]
+            cols[4] = [[{"op": op, "values": v} for op, v in tests] for tests in cols[4]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ROWS)], schema=_ROWS)
+
+    ship_package(rules.sparkSession)
+    return rules.select(F.col(document).cast("string")).filter(F.col(document).isNotNull()).mapInArrow(run, ROWS)
 
 
 def keyword_score(terms: set[str], numbers: list[tuple[tuple[str, ...], float]], title: Column, concepts: Column | None, body: Column, tests: Column | None = None) -> Column:
