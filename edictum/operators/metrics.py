@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from edictum.operators.ordered import running_sum
 from edictum.shipping import ship_package
+from edictum.workspace import materialize
 
 #: Upper bounds of latency buckets, in seconds.
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
@@ -47,24 +48,41 @@ def auroc(df: DataFrame, score: Column, positive: Column) -> DataFrame:
     return won.select(F.try_divide(F.col("w").cast("double"), (F.col("p") * F.col("n")).cast("double")).alias("auroc"))
 
 
+#: Stacks of blocks that are put together at a time.
+MERGED = 8
+_BLOCKS = "at long, s double, w double, first double, last double"
+
+
+def _pooled(blocks: pd.DataFrame) -> pd.DataFrame:
+    """Blocks in order (sum, weight, first and last x), with neighbours that don't rise put together."""
+    out: list[tuple[float, float, float, float]] = []
+    for s, w, first, last in blocks.sort_values("first")[["s", "w", "first", "last"]].itertuples(index=False):
+        while out and out[-1][0] * w >= s * out[-1][1]:
+            s, w, first = s + out[-1][0], w + out[-1][1], out.pop()[2]
+        out.append((s, w, first, last))
+    return pd.DataFrame(out, columns=["s", "w", "first", "last"])
+
+
 def isotonic_knots(df: DataFrame, score: Column, correct: Column) -> DataFrame:
     """Knots (x, y) of the non-decreasing fit of outcomes to scores, by pooling adjacent violators.
 
-    Rows are summed by score first, so what is pooled in one task has a row a different score.
+    Rows are summed by score and dealt out by ranges of it. Each range pools its own blocks; then stacks of blocks of
+    neighbouring ranges are put together, MERGED at a time, which pools across their bounds, until one is left: that of the fit.
+    Scores and outcomes that are null take no part.
     """
-    per = df.groupBy(score.cast("double").alias("x")).agg(F.avg(correct.cast("double")).alias("y"), F.count(F.lit(1)).alias("w")).filter("x is not null and y is not null")
+    per = df.groupBy(score.cast("double").alias("first")).agg(F.sum(correct.cast("double")).alias("s"), F.count(correct).cast("double").alias("w")).filter("first is not null and w > 0")
+    ship_package(df.sparkSession)
+    ranges = materialize(per.repartitionByRange("first").withColumn("at", F.spark_partition_id().cast("long")).withColumn("last", F.col("first")), "ranges")
+    most = ranges.agg(F.max("at")).first()[0] or 0
 
-    def pool(rows: pd.DataFrame) -> pd.DataFrame:
-        blocks: list[list[float]] = []  # sum of wy, w, first x, last x
-        for r in rows.sort_values("x").itertuples():
-            blocks.append([r.y * r.w, r.w, r.x, r.x])
-            while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
-                s, w, _, last = blocks.pop()
-                blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + w, blocks[-1][2], last]
-        return pd.DataFrame([(x, s / w) for s, w, a, b in blocks for x in ([a, b] if a < b else [a])], columns=["x", "y"])
+    def pool(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return _pooled(rows).assign(at=key[0])[["at", "s", "w", "first", "last"]]
 
-    ship_package(df.sparkSession)
-    return per.groupBy(F.lit(1).alias("__all")).applyInPandas(pool, "x double, y double")
+    blocks = ranges.groupBy("at").applyInPandas(pool, _BLOCKS)
+    while most:
+        blocks, most = blocks.groupBy(F.floor(F.col("at") / MERGED).alias("at")).applyInPandas(pool, _BLOCKS), most // MERGED
+    ends = F.when(F.col("first") < F.col("last"), F.array("first", "last")).otherwise(F.array("first"))
+    return blocks.select(F.explode(ends).alias("x"), (F.col("s") / F.col("w")).alias("y"))
 
 
 def interpolate(x: Column, knots: list[tuple[float, float]]) -> Column:

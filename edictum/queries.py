@@ -385,10 +385,15 @@ def auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.auroc(_scored(spark, sf_dir), F.col("p"), F.col("quality") == 1).select(F.round("auroc", 6).alias("auroc"))
 
 
-@_query()
+@_query(f"""with s as (select round(p, 2) as x, sum(quality)::double as s, count(*)::double as w from {_SCORED} group by 1),
+ c as (select x, sum(s) over (order by x) as s1, sum(w) over (order by x) as w1, sum(s) over (order by x) - s as s0, sum(w) over (order by x) - w as w0 from s),
+ spans as (select a.x as a, b.x as b, (b.s1 - a.s0) / (b.w1 - a.w0) as m from c a join c b on a.x <= b.x),
+ low as (select i.x, a, min(m) as m from c i join spans on a <= i.x and b >= i.x group by 1, 2), fit as (select x, round(max(m), 9) as y from low group by 1),
+ ends as (select y, min(x) as lo, max(x) as hi from fit group by 1) select lo as x, round(y, 6) as y from ends union select hi, round(y, 6) from ends""")
 def calibration_knots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The isotonic fit of quality to score."""
-    return metrics.isotonic_knots(_scored(spark, sf_dir), F.round("p", 2), F.col("quality"))
+    """The isotonic fit of quality to score, against the formula of least and greatest means."""
+    knots = metrics.isotonic_knots(_scored(spark, sf_dir), F.round("p", 2), F.col("quality"))
+    return knots.select("x", F.round("y", 6).alias("y"))
 
 
 @_query("""with w as (select doc_id, list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: case when length(x) > 3 and x like '%s' then x[:-2] else x end)) as b, list_distinct(regexp_extract_all(lower(lang || ' ' || source), '[a-z0-9]+')) as t from documents)

@@ -92,3 +92,22 @@ def test_running_sums_and_previous_rows_over_ranges(spark):
         assert got[k] == (sums, before)
         sums, before = sums + v, v
     assert running_sum(df.limit(0), "k", "v", "s").count() == 0
+
+
+def test_isotonic_fit_against_min_max(spark):
+    """Pooled in many ranges and put together, the fit is that of the min-max formula."""
+    rnd = random.Random(8)
+    rows = [(rnd.randrange(60) / 10, int(rnd.random() < 0.3 + rnd.random() * 0.4)) for _ in range(400)] + [(None, 1), (3.0, None)]
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = dict(map(tuple, metrics.isotonic_knots(spark.createDataFrame(rows, "x double, y int"), F.col("x"), F.col("y")).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = [r for r in rows if None not in r]
+    xs = sorted({x for x, _ in rows})
+    mean = lambda a, b: sum(ys := [y for x, y in rows if a <= x <= b]) / len(ys)
+    fit = {x: max(min(mean(a, b) for b in xs if b >= x) for a in xs if a <= x) for x in xs}
+    assert got and all(abs(fit[x] - y) < 1e-9 for x, y in got.items())
+    assert {round(y, 9) for y in fit.values()} == {round(y, 9) for y in got.values()}
