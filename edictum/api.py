@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edictum.functions.glossary import Glossary
-from edictum.operators import algebra, export, graph, index, search, store, verify
+from edictum.operators import algebra, boxes, export, export_sink, graph, index, search, store, verify
 from edictum.plans.compile import score
 from edictum.plans.evaluate import decide
 from edictum.plans.ir import Rule, inputs, rule_from
@@ -111,6 +111,15 @@ class Workbench:
         """Duplicates and conflicting writes among all current rules."""
         return algebra.conflicts(self.spark, self.rules(), df, dict(bindings) if bindings else None)
 
+    def conflicts_table(self, numeric: Iterable[str] = ()) -> DataFrame:
+        """Conflicting writes among all current rules as a table, without the driver; see boxes.conflicts()."""
+        return boxes.conflicts(boxes.boxed(self.store.latest_rules(), numeric))
+
+    def export_files(self, path: str, kind: str) -> DataFrame:
+        """A file of current rules a program, as their documents are in the store, written in tasks; the manifest."""
+        rules = self.store.latest_rules().select(F.col("program_id").alias("rule_set"), F.regexp_extract("rule_id", r"(\d+)$", 1).try_cast("long").alias("seq"), "document")
+        return export_sink.write_files(rules, path, kind)
+
     def export(self, kind: str, program: str | None = None) -> str:
         """Rules as json, tree, pmml or dmn."""
         rules = self.rules(program=program)

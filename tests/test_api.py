@@ -4,6 +4,7 @@ import pytest
 
 from edictum import cli
 from edictum.api import Workbench
+from edictum.operators import export_sink
 from edictum.operators.store import StoreError
 from edictum.queries import LOAN
 
@@ -27,7 +28,7 @@ def test_rules_and_trace(bench):
         bench.rule_trace("NOPE")
 
 
-def test_only_approved_rules_decide(bench, spark):
+def test_only_approved_rules_decide(bench, spark, tmp_path):
     with pytest.raises(StoreError):
         bench.rule_set("p1")
     for r in bench.rules():
@@ -41,6 +42,13 @@ def test_only_approved_rules_decide(bench, spark):
     shares = dict(bench.explain("p1", "band", n=100))
     assert sum(shares.values()) == pytest.approx(1, abs=0.01)
     assert bench.conflicts() == [] and "HIGH" in bench.export("json") and "decisionTable" in bench.export("dmn") and json.loads(bench.export("tree"))
+    assert bench.conflicts_table().collect() == []
+    files = str(tmp_path / "files")
+    assert [r.rules for r in bench.export_files(files, "json").collect()] == [len(bench.rules())]
+    (read,) = export_sink.read_files(bench.spark, files).collect()
+    assert read.whole and [d["rule_id"] for d in json.loads(read.content)] == [r.rule_id for r in bench.rules()]
+    found = bench.write_index(str(tmp_path / "index")).page("band over 5000", 2).collect()
+    assert [(r.id, r.score) for r in found] == [(r.rule_id, r.score) for r in bench.list_rules("band over 5000", page_size=2).collect()]
 
 
 def test_drift_between_uploads(bench):
