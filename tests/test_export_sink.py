@@ -42,3 +42,20 @@ def test_lost_and_changed_files_show(spark, tmp_path):
 def test_unknown_kind(spark):
     with pytest.raises(ValueError):
         export_sink.contents(spark.createDataFrame([], "rule_set string, seq int, document string"), "xls")
+
+
+def test_files_are_found_by_name_and_not_listed(spark, tmp_path):
+    """Any name of a set is read back, and what is planned doesn't grow with the sets."""
+    names = ["", "__HIVE_DEFAULT_PARTITION__", "a%2Fb", "x^[{y", "."] + [f"S{i}" for i in range(40)]
+    doc = json.dumps(some_sets()["A"][0].document())
+    export_sink.write_files(spark.createDataFrame([(n, 0, doc) for n in names], "rule_set string, seq int, document string"), str(tmp_path), "json")
+    read = export_sink.read_files(spark, str(tmp_path))
+    assert {r.rule_set for r in read.collect() if r.whole} == set(names)
+    assert not [f for f in read.inputFiles() if "/files/" in f]
+
+
+def test_an_export_replaces_the_one_before(spark, tmp_path):
+    schema, doc = "rule_set string, seq int, document string", json.dumps(some_sets()["A"][0].document())
+    for names in (["A", "B"], ["B"]):
+        export_sink.write_files(spark.createDataFrame([(n, 0, doc) for n in names], schema), str(tmp_path), "json")
+    assert os.listdir(tmp_path / "files") == ["rule_set=B"]
