@@ -14,7 +14,7 @@ from edictum.plans import canon, solver
 from edictum.plans.ir import Action, Rule, Trace, leaf
 from edictum.queries import _query, _t
 from edictum.sources import program_text, programs, rule_reader
-from edictum.workspace import fresh_path
+from edictum.workspace import fresh_path, spread
 
 
 def _repository(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -274,7 +274,7 @@ END-PARA.
 def program_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A program with a loop and jumps, run for every customer."""
     read = rule_reader.extract(program_text.read_source("sums.cbl", LOOP))
-    rows = _t(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("int").alias("n"))
+    rows = spread(_t(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("int").alias("n")), "c_custkey")
     out = interpret.run_program(rows, read, {"LAST-ONE": "n"}, ["TOTAL", "ODD-ONES", "KIND"])
     return out.select("c_custkey", F.col("total").cast("decimal(9,0)").cast("long").alias("total"), F.col("odd_ones").cast("decimal(9,0)").cast("long").alias("over_ten"), F.btrim("kind").alias("kind"), "outcome")
 
