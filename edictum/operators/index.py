@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edictum.operators import search
+from edictum.workspace import discard, materialize, spread
 
 #: Folders of a table.
 FOLDERS = 64
@@ -24,20 +25,22 @@ def _folder(c: Column) -> Column:
 
 
 def postings(rows: DataFrame) -> DataFrame:
-    """``stem``, ``id``, ``weight`` of each different word of each row (rule_id, title, concepts, body)."""
+    """``stem``, ``id``, ``weight`` of each different word of each row (rule_id, title, concepts, body): made in the row, nothing is shuffled."""
     places = [(F.concat_ws(" ", "concepts"), search.CONCEPT), (F.coalesce("title", F.lit("")), search.TITLE), (F.coalesce("body", F.lit("")), search.BODY)]
-
-    def weighed(text: Column, weight: int) -> Column:
-        return F.transform(search.stemmed_words(text), lambda w: F.struct(w.alias("stem"), F.lit(weight).alias("weight")))
-
-    words = F.flatten(F.array(*(weighed(text, weight) for text, weight in places)))
-    return rows.select(F.col("rule_id").alias("id"), F.explode(words).alias("w")).groupBy("w.stem", "id").agg(F.max("w.weight").alias("weight"))
+    stems = rows.select(F.col("rule_id").alias("id"), *(search.stemmed_words(text).alias(f"w{weight}") for text, weight in places))
+    # the best place counts: words of a better one are taken out of the others
+    better, own = F.array().cast("array<string>"), []
+    for _, weight in places:
+        own.append(F.struct(F.lit(weight).alias("weight"), F.array_except(f"w{weight}", better).alias("stems")))
+        better = F.concat(better, F.col(f"w{weight}"))
+    each = stems.select("id", F.explode(F.array(*own)).alias("p"))
+    return each.select(F.explode("p.stems").alias("stem"), "id", "p.weight")
 
 
 def numbers(rows: DataFrame) -> DataFrame:
-    """``value``, ``op``, ``id`` of each literal that a row's tests compare with."""
-    each = rows.select(F.col("rule_id").alias("id"), F.explode("tests").alias("t"))
-    return each.select(F.explode("t.values").alias("value"), F.col("t.op").alias("op"), "id").distinct()
+    """``value``, ``op``, ``id`` of each different literal that a row's tests compare with."""
+    each = F.flatten(F.transform("tests", lambda t: F.transform(t["values"], lambda v: F.struct(v.alias("value"), t["op"].alias("op")))))
+    return rows.select(F.col("rule_id").alias("id"), F.explode(F.array_distinct(each)).alias("t")).select("t.value", "t.op", "id")
 
 
 @dataclass(frozen=True)
@@ -50,14 +53,22 @@ class Index:
     @staticmethod
     def write(rows: DataFrame, path: str) -> Index:
         """Index ``rows``: rule_id, title, concepts, body and tests as search.rule_rows() gives them, an id once. Nulls say nothing."""
-        postings(rows).withColumn("folder", _folder(F.col("stem"))).repartition("folder", "stem").write.partitionBy("folder").mode("overwrite").parquet(f"{path}/postings")
-        numbers(rows).withColumn("folder", _folder(F.round("value", 6))).repartition("folder", "value").write.partitionBy("folder").mode("overwrite").parquet(f"{path}/numbers")
+        rows = materialize(spread(rows, "rule_id"), "indexed")  # both tables come from it; making rows may be dear
+        Index._put(rows, path, "overwrite")
+        discard(rows)
         return Index(rows.sparkSession, path)
 
+    @staticmethod
+    def _put(rows: DataFrame, path: str, mode: str) -> None:
+        """Both tables in their folders. A folder's rows are dealt to tasks by their id too, so a word that all rows say is no task's alone."""
+        lots = max(1, -(-rows.sparkSession.sparkContext.defaultParallelism * 2 // FOLDERS))
+        for name, made, by in (("postings", postings(rows), F.col("stem")), ("numbers", numbers(rows), F.round("value", 6))):
+            lot = F.pmod(F.xxhash64("id"), F.lit(lots))
+            made.withColumn("folder", _folder(by)).repartition("folder", lot).write.partitionBy("folder").mode(mode).parquet(f"{path}/{name}")
+
     def add(self, rows: DataFrame) -> None:
         """Rows with new ids; nothing that is there is rewritten."""
-        postings(rows).withColumn("folder", _folder(F.col("stem"))).write.partitionBy("folder").mode("append").parquet(f"{self.path}/postings")
-        numbers(rows).withColumn("folder", _folder(F.round("value", 6))).write.partitionBy("folder").mode("append").parquet(f"{self.path}/numbers")
+        Index._put(rows, self.path, "append")
 
     def _read(self, name: str, values: list, kind: str) -> DataFrame:
         """Rows of a table in the folders of the values."""
@@ -71,7 +82,7 @@ class Index:
         found = self.spark.createDataFrame([], "id string, part double")
         if terms:
             own = self._read("postings", sorted(terms), "string").filter(F.col("stem").isin(sorted(terms)))
-            found = found.unionByName(own.select("id", F.col("weight").cast("double").alias("part")))
+            found = found.unionByName(own.groupBy("stem", "id").agg(F.max("weight").cast("double").alias("part")).select("id", "part"))
         for relations, n in asked:
             near = self._read("numbers", [round(n, 6)], "double").filter(F.abs(F.col("value") - n) < 1e-9)
             part = F.when(F.col("op").isin(*relations), search.SAME_COMPARISON).when(F.col("op").isin("between", "==", "<", "<=", ">", ">="), search.SAME_NUMBER)

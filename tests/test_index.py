@@ -57,3 +57,21 @@ def test_pages_go_through_all(asked):
 def test_nothing_indexed(spark, tmp_path):
     none = spark.createDataFrame([], search.ROWS)
     assert index.Index.write(none, str(tmp_path)).page("fees under 5", 3).collect() == []
+
+
+def test_a_word_of_all_rows_is_no_task_of_its_own(spark, tmp_path, monkeypatch):
+    """Postings are made without a shuffle and dealt out by word and row; a word counts by its best place, once."""
+    monkeypatch.setattr(index, "FOLDERS", 2)
+    rows = spark.createDataFrame([(f"R{i}", "fee", ["fees"], "fee late fees", [("==", [1.0, 1.0]), ("==", [1.0])]) for i in range(200)], search.ROWS)
+    made = index.postings(rows)
+    assert sorted(map(tuple, made.filter("id = 'R7'").collect())) == [("fee", "R7", 3), ("late", "R7", 1)]
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert index.numbers(rows).count() == 200
+    held = index.Index.write(rows, str(tmp_path))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        index.Index.write(rows, str(tmp_path / "plain"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    said = spark.read.parquet(str(tmp_path / "plain" / "postings")).filter("stem = 'fee'").selectExpr("input_file_name() as f").distinct().count()
+    assert said > 1 and held.page("fees", 3).count() == 3
