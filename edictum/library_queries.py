@@ -332,7 +332,7 @@ def printed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _t(spark, sf_dir, "lineitem")
     price, disc = F.col("l_extendedprice").cast("decimal(15,2)"), F.col("l_discount").cast("double")
     shown = F.concat(F.lit("PRICE= +"), price.cast("string"), F.lit("\nQTY="), F.col("l_quantity").cast("int").cast("string"))
-    said = codec.printed_map(shown)
+    df, said = df.withColumn("said", codec.printed_map(shown)), F.col("said")  # two values are taken of one map
     return df.select("l_orderkey", "l_linenumber", codec.same_bytes(F.concat(F.lit(" 0"), price.cast("string")), price.cast("string")).alias("same"), text.grounded(F.concat(F.lit("limit "), said["QTY"]), F.array(F.lit(17.0), F.lit(0.25))).alias("grounded"), codec.printed_number(said["PRICE"], pic.parse_picture("9(11)V99")).cast("double").alias("printed"), verify.same_value(disc, F.lit(0.05), 0.010001).alias("near"))
 
 
