@@ -113,7 +113,7 @@ class Workbench:
 
     def conflicts_table(self, numeric: Iterable[str] = ()) -> DataFrame:
         """Conflicting writes among all current rules as a table, without the driver; see boxes.conflicts()."""
-        return boxes.conflicts(boxes.boxed(self.store.latest_rules(), numeric))
+        return boxes.each(boxes.conflicts_alike(self.store.latest_rules(), numeric))
 
     def export_files(self, path: str, kind: str) -> DataFrame:
         """A file of current rules a program, as their documents are in the store, written in tasks; the manifest."""
